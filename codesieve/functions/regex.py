@@ -158,41 +158,62 @@ def gate_sql(pattern: str, ignore_case: bool = False, code: str = "code", lowere
     return (f"({odd} OR ({text}))" if fold else f"({text})"), pure and not fold
 
 
+def running_sums_sql(values: str) -> str:
+    """struct(d, o): the values and the total before each chunk of them.
+
+    ``before(i)`` of the pair is ``o[i div chunk]`` plus the values of the chunk before ``i``: the
+    work stays near linear, where a running total appended to an array copies it every time.
+    """
+    add = "0L, (a, b) -> a + b"
+    chunk_sums = (
+        f"transform(array({values}), d -> named_struct('d', d, 'c', transform("
+        f"sequence(0, cast(size(d) div {_CHUNK} as int)), j -> aggregate(slice(d, j * {_CHUNK} + 1, {_CHUNK}), {add}))))"
+    )
+    return (
+        f"transform({chunk_sums}, v -> named_struct('d', v.d, 'o',"
+        f" transform(v.c, (y, j) -> aggregate(slice(v.c, 1, j), {add}))))[0]"
+    )
+
+
+def sum_before_sql(pair: str, i: str) -> str:
+    """Sum of the values before index ``i`` of a ``running_sums_sql`` pair."""
+    at = f"cast({i} div {_CHUNK} as int)"
+    return f"({pair}.o[{at}] + aggregate(slice({pair}.d, {at} * {_CHUNK} + 1, {i} % {_CHUNK}), 0L, (a, b) -> a + b))"
+
+
+def _measure(text: str) -> str:
+    """Length and line feeds of a text in one number, so that one running sum serves both."""
+    return f"(length({text}) + shiftleft(cast(length({text}) - length(replace({text}, '\\n', '')) as bigint), 32))"
+
+
 def spans_sql(code: str, pattern: str, group: int = 0) -> str:
-    """Array of struct(m, g, start, end) of all matches of a Java pattern, left to right.
+    """Array of struct(m, g, start, end, line) of all matches of a Java pattern, left to right.
 
-    Offsets are prefix sums of the text between matches and the matches.  They are taken over
-    chunks of the match list, so that the work stays near linear for texts with many matches.
+    Offsets and lines are running sums over the texts between the matches and the matches.
     """
     p = sql_str(pattern)
     groups = f"regexp_extract_all({code}, {p}, {group})" if group else "cast(null as array<string>)"
-    add = "0, (a, b) -> a + b"
-    first = (
+    found = (
         f"transform(array(named_struct('m', regexp_extract_all({code}, {p}, 0), 'g', {groups},"
-        f" 's', transform(split({code}, {p}, -1), x -> length(x)))),"
-        " v -> named_struct('m', v.m, 'g', v.g, 's', v.s, 'd', transform(v.m, (x, i) -> length(x) + v.s[i])))"
-    )
-    chunks = (
-        f"transform({first}, v -> named_struct('m', v.m, 'g', v.g, 's', v.s, 'd', v.d, 'c',"
-        f" transform(sequence(0, cast(size(v.m) div {_CHUNK} as int)),"
-        f" j -> aggregate(slice(v.d, j * {_CHUNK} + 1, {_CHUNK}), {add}))))"
-    )
-    offsets = (
-        f"transform({chunks}, v -> named_struct('m', v.m, 'g', v.g, 's', v.s, 'd', v.d, 'o',"
-        f" transform(v.c, (y, j) -> aggregate(slice(v.c, 1, j), {add}))))"
+        f" 's', transform(split({code}, {p}, -1), x -> {_measure('x')}))),"
+        f" v -> named_struct('m', v.m, 'g', v.g, 's', v.s, 'r',"
+        f" {running_sums_sql('transform(v.m, (x, i) -> ' + _measure('x') + ' + v.s[i])')}))"
     )
-    starts = (
-        f"transform({offsets}, v -> transform(v.m, (x, i) -> named_struct('m', x, 'g', v.g[i], 'b',"
-        f" v.o[cast(i div {_CHUNK} as int)] + aggregate(slice(v.d, cast(i div {_CHUNK} as int) * {_CHUNK} + 1,"
-        f" i % {_CHUNK}), {add}) + v.s[i])))[0]"
+    placed = (
+        f"transform({found}, v -> transform(v.m, (x, i) -> named_struct('m', x, 'g', v.g[i],"
+        f" 'b', {sum_before_sql('v.r', 'i')} + v.s[i])))[0]"
     )
     if group:
-        begin, width = "x.b + instr(x.m, x.g) - 1", "length(x.g)"
+        begin = "x.b + instr(x.m, x.g) - 1"
+        before = "substring(x.m, 1, instr(x.m, x.g) - 1)"
+        line = f"shiftright(x.b, 32) + 1 + length({before}) - length(replace({before}, '\\n', ''))"
+        width = "length(x.g)"
     else:
-        begin, width = "x.b", "length(x.m)"
+        begin, width, line = "x.b", "length(x.m)", "shiftright(x.b, 32) + 1"
+    start = f"cast(({begin}) & 4294967295L as int)"
     return (
-        f"transform({starts}, x -> named_struct('m', x.m, 'g', x.g,"
-        f" 'start', {begin}, 'end', {begin} + {width}))"
+        f"transform({placed}, x -> named_struct('m', x.m, 'g', x.g, 'start', {start},"
+        f" 'end', {start} + {width}, 'line', cast({line} as int)))"
     )
 
 

@@ -13,7 +13,7 @@ from codesieve import rules as R
 from codesieve.functions import regex, text
 from codesieve.operators.findings import as_findings, union_findings
 
-_HIT = "array<struct<rule_ix:int,match:string,grp:string,start:int,end:int>>"
+_HIT = "array<struct<rule_ix:int,match:string,grp:string,start:int,end:int,at_line:int>>"
 
 
 def _applies(rule: dict, columns: list[str]) -> str:
@@ -45,13 +45,13 @@ def _hits_sql(ix: int, rule: dict, columns: list[str]) -> str:
     if rule["exists_only"]:
         hits = (
             f"array(named_struct('rule_ix', {ix}, 'match', cast(null as string), 'grp', cast(null as string),"
-            " 'start', cast(null as int), 'end', cast(null as int)))"
+            " 'start', cast(null as int), 'end', cast(null as int), 'at_line', cast(null as int)))"
         )
     else:
         spans = regex.spans_sql("code", java, rule["match_group"] or 0)
         hits = (
             f"transform({spans}, h -> named_struct('rule_ix', {ix}, 'match', h.m, 'grp', h.g,"
-            " 'start', cast(h.start as int), 'end', cast(h.end as int)))"
+            " 'start', h.start, 'end', h.end, 'at_line', h.line))"
         )
     return f"CASE WHEN {' AND '.join(conditions) or 'true'} THEN {hits} END"
 
@@ -72,10 +72,11 @@ def _python_hits(files: DataFrame, rules: list[tuple[int, dict]]) -> DataFrame:
                 for ix, pattern, group in compiled:
                     for m in pattern.finditer(code or ""):
                         out.append((batch_id, file_ord, path, ix, m.group(0), m.group(group) if group else None,
-                                    m.start(group), m.end(group)))
-            yield pd.DataFrame(out, columns=["batch_id", "file_ord", "path", "rule_ix", "match", "grp", "start", "end"])
+                                    m.start(group), m.end(group), code.count("\n", 0, m.start(group)) + 1))
+            yield pd.DataFrame(out, columns=["batch_id", "file_ord", "path", "rule_ix", "match", "grp", "start", "end",
+                                             "at_line"])
 
-    schema = "batch_id string, file_ord bigint, path string, rule_ix int, match string, grp string, start int, end int"
+    schema = "batch_id string, file_ord bigint, path string, rule_ix int, match string, grp string, start int, end int, at_line int"
     return files.select("batch_id", "file_ord", "path", "code").mapInPandas(scan, schema)
 
 
@@ -136,6 +137,7 @@ def detect(files: DataFrame, rules: DataFrame | list[dict]) -> DataFrame:
         pattern=F.when(in_reports | (F.col("family") == "sector"), F.col("pattern")),
         start=F.when(with_offsets, F.col("start")),
         end=F.when(with_offsets, F.col("end")),
+        at_line=F.when(with_offsets, F.col("at_line")),
         license=F.when(F.col("family") == "license_ip", spoken),
         message=F.replace("message", F.lit("{}"), F.coalesce(spoken, F.lit(""))),
     )
@@ -180,7 +182,7 @@ def flag_generated(findings: DataFrame, files: DataFrame | None = None) -> DataF
     copies = F.when(F.coalesce(echo, F.lit(False)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     both = flagged.select("*", F.explode(copies).alias("copy"))
     derived = F.col("copy") == 1
-    keep = ["batch_id", "file_ord", "path", "family", "rule_ord", "pattern_ord", "start", "end"]
+    keep = ["batch_id", "file_ord", "path", "family", "rule_ord", "pattern_ord", "start", "end", "at_line"]
     values = {
         "detector": F.lit("copilot_insecure_suggestion"),
         "detector_ord": F.lit(9),

@@ -22,7 +22,7 @@ FINDING_FIELDS = {
     "batch_id": "string", "file_ord": "bigint", "path": "string",
     "family": "string", "detector": "string", "detector_ord": "int", "rule_ord": "int", "pattern_ord": "int",
     "type": "string", "category": "string", "label": "string", "rule_id": "string", "pattern": "string",
-    "match": "string", "start": "int", "end": "int", "line": "int",
+    "match": "string", "start": "int", "end": "int", "line": "int", "at_line": "int",
     "original_file": "string", "original_line": "int", "snippet": "string", "license": "string",
     "message": "string", "explanation": "string", "suggestion": "string", "note": "string",
     "cwe": "string", "owasp": "string", "references": "array<string>", "severity": "string",
@@ -58,7 +58,8 @@ STATIC_RESULTS = (
     "metadata:struct<cwe:array<string>,owasp:array<string>,references:array<string>>>>>"
 )
 
+# Entries of a reviewer's answer; every field is read as text and checked afterwards.
 REVIEW_ITEM = (
-    "struct<type:string,category:string,severity:string,message:string,explanation:string,suggestion:string,"
-    "references:array<string>,line:int>"
+    "type string, category string, severity string, message string, explanation string, suggestion string,"
+    " references string, line string"
 )
