@@ -82,15 +82,14 @@ def _all_security_sql() -> str:
   'warning' AS severity FROM f WHERE path IN (SELECT path FROM gen) AND type <> 'copilot_generated_code'""")
 def _d9(spark, sf):
     files = corpus(spark, sf)
-    found = detect.flag_generated(detect.security(files))
+    found = detect.security(files)
     return found.where("detector_ord = 9").select("path", "type", "related_issue", "start", F.col("end").alias("stop"), "severity")
 
 
 @query("A12_generated_files", f"""WITH {CORPUS} SELECT path, true AS is_generated FROM files WHERE """ + " OR ".join(
     f"regexp_matches(code, {_sql(p)})" for p in fv.GENERATED_MARKER_PATTERNS))
 def _a12(spark, sf):
-    found = detect.flag_generated(detect.security(corpus(spark, sf)))
-    return found.groupBy("path").agg(F.bool_or(F.coalesce("copilot_generated", F.lit(False))).alias("is_generated")).where("is_generated")
+    return detect.generated_files(corpus(spark, sf)).where("is_generated").select("path", "is_generated")
 
 
 def _coding_query(key: str, detector: str, lang: str, rows: list[tuple[str, int, str]], toggle_lang: str | None = None):
@@ -278,7 +277,7 @@ def _a8(spark, sf):
 @query("F1_span_extraction", f"WITH {CORPUS} SELECT path, match, start FROM ({spans('[a-z]+_[a-z]+', '')})")
 def _f1(spark, sf):
     p = regex.java_pattern("[a-z]+_[a-z]+")
-    hits = corpus(spark, sf).select("path", F.expr(regex.spans_sql("code", p)).alias("h"))
+    hits = corpus(spark, sf).select("path", F.expr(regex.spans_sql("code", regex.sql_str(p))).alias("h"))
     return hits.select("path", F.inline_outer("h")).where("start is not null").select("path", F.col("m").alias("match"), F.col("start").cast("int").alias("start"))
 
 

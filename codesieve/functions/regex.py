@@ -186,34 +186,29 @@ def _measure(text: str) -> str:
     return f"(length({text}) + shiftleft(cast(length({text}) - length(replace({text}, '\\n', '')) as bigint), 32))"
 
 
-def spans_sql(code: str, pattern: str, group: int = 0) -> str:
-    """Array of struct(m, g, start, end, line) of all matches of a Java pattern, left to right.
+def spans_sql(code: str, pattern: str, group: str = "0") -> str:
+    """Array of struct(m, g, start, end, line) of all matches, left to right.
 
-    Offsets and lines are running sums over the texts between the matches and the matches.
+    ``pattern`` and ``group`` are SQL expressions: literals or columns.  With group 0 the span is the
+    whole match and ``g`` equals ``m``.  Offsets and lines are running sums over the texts between
+    the matches and the matches.
     """
-    p = sql_str(pattern)
-    groups = f"regexp_extract_all({code}, {p}, {group})" if group else "cast(null as array<string>)"
     found = (
-        f"transform(array(named_struct('m', regexp_extract_all({code}, {p}, 0), 'g', {groups},"
-        f" 's', transform(split({code}, {p}, -1), x -> {_measure('x')}))),"
-        f" v -> named_struct('m', v.m, 'g', v.g, 's', v.s, 'r',"
+        f"transform(array(named_struct('m', regexp_extract_all({code}, {pattern}, 0),"
+        f" 'g', CASE WHEN {group} = 0 THEN null ELSE regexp_extract_all({code}, {pattern}, {group}) END,"
+        f" 's', transform(split({code}, {pattern}, -1), x -> {_measure('x')}))),"
+        f" v -> named_struct('m', v.m, 'g', coalesce(v.g, v.m), 's', v.s, 'r',"
         f" {running_sums_sql('transform(v.m, (x, i) -> ' + _measure('x') + ' + v.s[i])')}))"
     )
     placed = (
         f"transform({found}, v -> transform(v.m, (x, i) -> named_struct('m', x, 'g', v.g[i],"
-        f" 'b', {sum_before_sql('v.r', 'i')} + v.s[i])))[0]"
+        f" 'b', {sum_before_sql('v.r', 'i')} + v.s[i] + "
+        + _measure("substring(x, 1, instr(x, v.g[i]) - 1)") + ")))[0]"
     )
-    if group:
-        begin = "x.b + instr(x.m, x.g) - 1"
-        before = "substring(x.m, 1, instr(x.m, x.g) - 1)"
-        line = f"shiftright(x.b, 32) + 1 + length({before}) - length(replace({before}, '\\n', ''))"
-        width = "length(x.g)"
-    else:
-        begin, width, line = "x.b", "length(x.m)", "shiftright(x.b, 32) + 1"
-    start = f"cast(({begin}) & 4294967295L as int)"
+    start = "cast(x.b & 4294967295L as int)"
     return (
         f"transform({placed}, x -> named_struct('m', x.m, 'g', x.g, 'start', {start},"
-        f" 'end', {start} + {width}, 'line', cast({line} as int)))"
+        f" 'end', {start} + length(x.g), 'line', cast(shiftright(x.b, 32) + 1 as int)))"
     )
 
 

@@ -9,6 +9,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from codesieve import fixed_values as fv
 from codesieve.functions import text
@@ -90,7 +91,7 @@ def canonical_entry(entry: dict, prev: str | None) -> bytes:
     return json.dumps({**entry, "prev_hash": prev}, sort_keys=True).encode("utf-8")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(entries: pd.Series, prev: pd.Series) -> pd.Series:
     out = []
     for e, p in zip(entries, prev):

@@ -1,23 +1,33 @@
-"""Pattern detectors: one pass over the text, no shuffle."""
+"""Pattern detectors: one row-local pass over the text, no shuffle.
+
+Stage 1 finds, per file, the rules whose gate (required literals, language, toggles) holds.
+Stage 2 runs one span expression with the pattern as a column, for those rules only.  The rule
+table is a checked, broadcast dimension, so both stages stay in the task that read the file.
+"""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codesieve import fixed_values as fv
 from codesieve import rules as R
 from codesieve.functions import regex, text
 from codesieve.operators.findings import as_findings, union_findings
 
-_HIT = "array<struct<rule_ix:int,match:string,grp:string,start:int,end:int,at_line:int>>"
+KEYS = ["batch_id", "file_ord", "path"]
+_SPAN = "struct<m:string,g:string,start:int,end:int,line:int>"
+_META = ["family", "detector", "detector_ord", "rule_ord", "pattern_ord", "type", "category", "label", "rule_id",
+         "license", "message", "suggestion", "note", "cwe", "owasp", "severity", "pattern"]
 
 
-def _applies(rule: dict, columns: list[str]) -> str:
-    """Language group, language and toggle conditions of a rule."""
+def _applies(rule: dict, columns: list[str]) -> list[str]:
+    """Language group, language, toggle and sector conditions of a rule."""
     parts = []
     if rule["lang_group"]:
         parts.append(f"lang_group = {regex.sql_str(rule['lang_group'])}")
@@ -27,124 +37,147 @@ def _applies(rule: dict, columns: list[str]) -> str:
         parts.append(f"coalesce(toggles.{rule['toggle']}, true)")
     if rule["kind"] == "sector" and "sector" in columns:
         parts.append(f"sector = {regex.sql_str(rule['pack'])}")
-    return " AND ".join(parts)
+    return parts
 
 
-def _hits_sql(ix: int, rule: dict, columns: list[str]) -> str:
-    """Array of hits of one rule; the text is only searched when rule and gate apply."""
-    pattern, fold = rule["pattern"], bool(rule["ignore_case"])
+def _gate(rule: dict) -> tuple[str, bool]:
+    """Text condition of a rule; True when it decides a rule that only asks for existence."""
     if rule["kind"] == "restricted":
-        low = regex.sql_str(pattern.lower())
-        quoted = regex.sql_str("(?iu)\\Q" + pattern + "\\E")
-        gate, found = "true", f"(contains(hay, {low}) OR (odd AND rlike(code, {quoted})))"
-    else:
-        java = regex.java_pattern(pattern, fold, bool(rule["multiline"]))
-        gate, sufficient = regex.gate_sql(pattern, fold)
-        found = gate if sufficient else f"({gate} AND rlike(code, {regex.sql_str(java)}))"
-    conditions = [c for c in [_applies(rule, columns), found if rule["exists_only"] else gate] if c and c != "true"]
-    if rule["exists_only"]:
-        hits = (
-            f"array(named_struct('rule_ix', {ix}, 'match', cast(null as string), 'grp', cast(null as string),"
-            " 'start', cast(null as int), 'end', cast(null as int), 'at_line', cast(null as int)))"
-        )
-    else:
-        spans = regex.spans_sql("code", java, rule["match_group"] or 0)
-        hits = (
-            f"transform({spans}, h -> named_struct('rule_ix', {ix}, 'match', h.m, 'grp', h.g,"
-            " 'start', h.start, 'end', h.end, 'at_line', h.line))"
-        )
-    return f"CASE WHEN {' AND '.join(conditions) or 'true'} THEN {hits} END"
-
-
-def _python_hits(files: DataFrame, rules: list[tuple[int, dict]]) -> DataFrame:
-    """Twin for user patterns that may match the empty text, which ``split`` cannot place."""
-    import re
-
-    compiled = [
-        (ix, re.compile(r["pattern"], (re.I if r["ignore_case"] else 0) | (re.M if r["multiline"] else 0)), r["match_group"] or 0)
+        quoted = regex.sql_str("(?iu)\\Q" + rule["pattern"] + "\\E")
+        return f"(contains(hay, {regex.sql_str(rule['pattern'].lower())}) OR (odd AND rlike(code, {quoted})))", True
+    return regex.gate_sql(rule["pattern"], bool(rule["ignore_case"]))
+
+
+def _marker_sql() -> str:
+    """True when a marker phrase of generated code occurs."""
+    parts = []
+    for pattern in fv.GENERATED_MARKER_PATTERNS:
+        body, _ = regex.split_flags(pattern)
+        java = regex.sql_str(regex.java_pattern(pattern))
+        parts.append(f"contains(hay, {regex.sql_str(body.lower())}) OR (odd AND rlike(code, {java}))")
+    return " OR ".join(parts)
+
+
+def _twin_hits(gated: DataFrame, rules: list[tuple[int, dict]]) -> DataFrame:
+    """Python twin for user patterns that may match the empty text, which ``split`` cannot place."""
+    compiled = {
+        ix: (re.compile(r["pattern"], (re.I if r["ignore_case"] else 0) | (re.M if r["multiline"] else 0)), r["match_group"] or 0)
         for ix, r in rules
-    ]
+    }
 
     def scan(batches):
         for pdf in batches:
             out = []
-            for batch_id, file_ord, path, code in zip(pdf.batch_id, pdf.file_ord, pdf.path, pdf.code):
-                for ix, pattern, group in compiled:
-                    for m in pattern.finditer(code or ""):
-                        out.append((batch_id, file_ord, path, ix, m.group(0), m.group(group) if group else None,
-                                    m.start(group), m.end(group), code.count("\n", 0, m.start(group)) + 1))
-            yield pd.DataFrame(out, columns=["batch_id", "file_ord", "path", "rule_ix", "match", "grp", "start", "end",
-                                             "at_line"])
+            for batch_id, file_ord, path, generated, ix, code in zip(
+                    pdf.batch_id, pdf.file_ord, pdf.path, pdf.generated, pdf.rule_ix, pdf.code):
+                pattern, group = compiled[ix]
+                for m in pattern.finditer(code):
+                    begin = m.start(group)
+                    out.append((batch_id, file_ord, path, generated, ix, m.group(0), m.group(group) if group else None, begin,
+                                m.end(group), code.count("\n", 0, begin) + 1))
+            yield pd.DataFrame(out, columns=["batch_id", "file_ord", "path", "generated", "rule_ix", "m", "g", "start", "end", "line"])
 
-    schema = "batch_id string, file_ord bigint, path string, rule_ix int, match string, grp string, start int, end int, at_line int"
-    return files.select("batch_id", "file_ord", "path", "code").mapInPandas(scan, schema)
+    schema = ("batch_id string, file_ord bigint, path string, generated boolean, rule_ix int, m string, g string, start int,"
+              " end int, line int")
+    return gated.select(*KEYS, "generated", "rule_ix", "code").where("code is not null").mapInPandas(scan, schema)
 
 
 def rule_hits(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """(batch_id, file_ord, path, rule_ix, match, grp, start, end) of all rules, one row per hit.
-
-    The rules become one array projection over ``code``; ``code`` is dropped before the hits are
-    exploded, so only narrow rows leave this step.
-    """
-    native, twin = [], []
-    for ix, rule in enumerate(rules):
-        empty = not rule["exists_only"] and regex.may_match_empty(rule["pattern"])
-        (twin if empty else native).append((ix, rule))
-    keys = ["batch_id", "file_ord", "path"]
+    """One row per hit: file keys, ``generated``, ``rule_ix`` and the span (m, g, start, end, line)."""
     columns = files.columns
     language = text.guess_language(F.col("path"), F.col("language") if "language" in columns else None)
     prepared = files.withColumn("language", language).select(
-        *keys, "code", "language", text.language_group(F.col("language")).alias("lang_group"),
-        *[c for c in ["toggles", "sector"] if c in columns],
-        F.lower("code").alias("hay"), reduce(or_, [F.contains("code", F.lit(c)) for c in regex.ODD_FOLDS]).alias("odd"),
-    )
-    parts = []
-    if native:
-        arrays = ",\n".join(_hits_sql(ix, rule, columns) for ix, rule in native)
-        parts.append(
-            prepared.select(*keys, F.expr(f"flatten(filter(array({arrays}), a -> a is not null))").cast(_HIT).alias("hits"))
-            # outer: otherwise the optimizer copies the whole array expression into a size(hits) > 0 filter
-            .select(*keys, F.inline_outer("hits"))
-            .where("rule_ix is not null")
-        )
-    for ix, rule in twin:
-        condition = _applies(rule, columns)
-        parts.append(_python_hits(prepared.where(condition) if condition else prepared, [(ix, rule)]))
-    return union_findings(*parts)
-
-
-_META = ["family", "detector", "detector_ord", "rule_ord", "pattern_ord", "type", "category", "label", "rule_id",
-         "license", "message", "suggestion", "note", "cwe", "owasp", "severity"]
-
-
-def detect(files: DataFrame, rules: DataFrame | list[dict]) -> DataFrame:
+        *KEYS, "code", "language", text.language_group(F.col("language")).alias("lang_group"),
+        *[c for c in ("toggles", "sector", "ai_generated") if c in columns],
+        F.lower("code").alias("hay"), reduce(or_, [F.contains("code", F.lit(c)) for c in regex.ODD_FOLDS]).alias("odd"))
+    how, candidates, twins = [], [], []
+    for ix, rule in enumerate(rules):
+        gate, sufficient = _gate(rule)
+        condition = " AND ".join([*_applies(rule, columns), *([] if gate == "true" else [gate])]) or "true"
+        candidates.append(f"CASE WHEN {condition} THEN {ix} END")
+        if rule["exists_only"]:
+            mode = "sure" if sufficient else "exists"
+        else:
+            mode = "twin" if regex.may_match_empty(rule["pattern"]) else "spans"
+        if mode == "twin":
+            twins.append((ix, rule))
+        java = None if rule["kind"] == "restricted" else regex.java_pattern(rule["pattern"], bool(rule["ignore_case"]), bool(rule["multiline"]))
+        how.append({"rule_ix": ix, "mode": mode, "java": java, "grp": rule["match_group"] or 0})
+    said = F.coalesce(F.col("ai_generated"), F.lit(False)) if "ai_generated" in columns else F.lit(False)
+    # outer: an inner explode makes the optimizer copy the whole gate array into a size() > 0 filter
+    gated = prepared.select(
+        *KEYS, "code", (said | F.expr(_marker_sql())).alias("generated"),
+        F.explode_outer(F.expr(f"array_compact(array({', '.join(candidates)}))")).alias("rule_ix")).where("rule_ix is not null")
+    modes = R.small_frame(files.sparkSession, how, "rule_ix int, mode string, java string, grp int")
+    native = gated.join(F.broadcast(modes), "rule_ix")  # at most MAX_RULES rows
+    once = "array(named_struct('m', cast(null as string), 'g', cast(null as string), 'start', cast(null as int), 'end', cast(null as int), 'line', cast(null as int)))"
+    spans = F.expr(
+        f"CASE mode WHEN 'sure' THEN {once} WHEN 'exists' THEN CASE WHEN rlike(code, java) THEN {once} END"
+        f" WHEN 'spans' THEN {regex.spans_sql('code', 'java', 'grp')} END").cast(f"array<{_SPAN}>")
+    hits = native.select(*KEYS, "generated", "rule_ix", "mode", spans.alias("spans"))
+    if twins:
+        hits = hits.where("mode <> 'twin'")
+    hits = hits.select(*KEYS, "generated", "rule_ix", F.posexplode_outer("spans").alias("at", "h")).where("at is not null").select(
+        *KEYS, "generated", "rule_ix", "h.*")
+    if not twins:
+        return hits
+    return union_findings(hits, _twin_hits(gated.where(F.col("rule_ix").isin([ix for ix, _ in twins])), twins))
+
+
+def _with_suggestions(hits: DataFrame) -> DataFrame:
+    """Add one suggestion row after each security hit in generated code, in place."""
+    echo = F.col("generated") & (F.col("family") == "issues") & (F.col("detector") != "copilot_generated_code") & F.col(
+        "severity").isin("warning", "blocking")
+    copies = F.when(echo, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return hits.withColumn("derived", F.explode(copies))
+
+
+def detect(files: DataFrame, rules: DataFrame | list[dict], flag_generated: bool = False) -> DataFrame:
     """Findings of a rule table over files.
 
     ``files`` needs batch_id, file_ord, path and code; optional are language, a ``toggles`` struct
-    of booleans, and ``sector`` (then sector rules only apply to files of their pack).
+    of booleans, ``sector`` (then sector rules only apply to files of their pack), and
+    ``ai_generated``.  With ``flag_generated``, security findings of generated files are marked
+    strict and each gets a suggestion row, which is not strict itself.  A file counts as generated
+    when a marker phrase occurs in it or ``ai_generated`` says so.
     """
     found = R.collect_rules(rules)
-    spark = files.sparkSession
-    indexed = R.small_frame(spark, [{**r, "rule_ix": ix} for ix, r in enumerate(found)], "rule_ix int, " + R.RULE_SCHEMA)
-    indexed = indexed.select("rule_ix", *_META, "pattern")
-    hits = rule_hits(files, found).join(F.broadcast(indexed), "rule_ix")  # at most MAX_RULES rows
-    spoken = F.coalesce(F.col("license"), F.col("grp"))
-    with_offsets = F.col("family") != "license_ip"
-    in_reports = F.col("family") == "issues"  # these carry match and pattern
-    return as_findings(
-        hits,
-        match=F.when(in_reports, F.col("match")),
-        pattern=F.when(in_reports | (F.col("family") == "sector"), F.col("pattern")),
-        start=F.when(with_offsets, F.col("start")),
-        end=F.when(with_offsets, F.col("end")),
-        at_line=F.when(with_offsets, F.col("at_line")),
-        license=F.when(F.col("family") == "license_ip", spoken),
-        message=F.replace("message", F.lit("{}"), F.coalesce(spoken, F.lit(""))),
-    )
+    meta = R.small_frame(files.sparkSession, [{**r, "rule_ix": ix} for ix, r in enumerate(found)], "rule_ix int, " + R.RULE_SCHEMA)
+    hits = rule_hits(files, found).join(F.broadcast(meta.select("rule_ix", *_META)), "rule_ix")
+    spoken = F.coalesce(F.col("license"), F.col("g"))
+    security = F.col("family") == "issues"
+    placed = F.col("family") != "license_ip"
+    values: dict[str, Column] = {
+        "match": F.when(security, F.col("m")),
+        "pattern": F.when(security | (F.col("family") == "sector"), F.col("pattern")),
+        "start": F.when(placed, F.col("start")),
+        "end": F.when(placed, F.col("end")),
+        "line": F.lit(None),
+        "at_line": F.when(placed, F.col("line")),
+        "license": F.when(F.col("family") == "license_ip", spoken),
+        "message": F.replace("message", F.lit("{}"), F.coalesce(spoken, F.lit(""))),
+    }
+    if not flag_generated:
+        return as_findings(hits, **values)
+    both = _with_suggestions(hits)
+    derived, strict = F.col("derived"), F.when(security & F.col("generated"), True)
+    told = {
+        "detector": "copilot_insecure_suggestion", "detector_ord": 9, "type": "copilot_insecure_suggestion", "severity": "warning",
+        "message": "Copilot-generated code triggered a security rule.",
+        # suggestion rows follow in the order of their findings
+        "rule_ord": F.col("detector_ord") * 1000 + F.col("rule_ord"), "related_issue": F.col("type"), "copilot_generated": True,
+    }
+    values.update(copilot_strict=strict, copilot_generated=strict, related_issue=F.lit(None).cast("string"))
+    for name in ("category", "label", "rule_id", "suggestion", "note", "cwe", "owasp", "match", "pattern", "license", "copilot_strict", *told):
+        value = told.get(name)
+        shown = value if isinstance(value, Column) else F.lit(value)
+        values[name] = F.when(derived, shown).otherwise(values.get(name, F.col(name) if name in both.columns else F.lit(None)))
+    return as_findings(both, **values)
 
 
 def security(files: DataFrame) -> DataFrame:
-    return detect(files, R.security_rules())
+    """Security findings with the marks and suggestion rows for generated code."""
+    return detect(files, R.security_rules(), flag_generated=True)
 
 
 def coding(files: DataFrame, custom: list[dict] | None = None) -> DataFrame:
@@ -163,41 +196,10 @@ def sector(files: DataFrame, rules: DataFrame | list[dict] | None = None) -> Dat
     return detect(files, R.sector_rules() if rules is None else rules)
 
 
-def flag_generated(findings: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Mark security findings of generated files, and add one suggestion row per finding there.
-
-    A file counts as generated when a marker phrase was found in it or its batch says so
-    (``ai_generated`` on ``files``).  The suggestion rows themselves are not strict.
-    """
-    keys = ["batch_id", "file_ord"]
-    is_marker = F.col("detector") == "copilot_generated_code"
-    marked = findings.where(is_marker).select(*keys).distinct()
-    if files is not None and "ai_generated" in files.columns:
-        marked = marked.unionByName(files.where("ai_generated").select(*keys)).distinct()
-    flagged = findings.join(marked.withColumn("gen", F.lit(True)), keys, "left").withColumn(
-        "gen", F.when(F.col("gen") & (F.col("family") == "issues") & (F.col("detector_ord") <= 8), True)
-    )
-    # one pass: each strict finding yields itself and, unless it is a marker, its suggestion row
-    echo = F.col("gen") & ~is_marker & F.col("severity").isin("warning", "blocking")
-    copies = F.when(F.coalesce(echo, F.lit(False)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    both = flagged.select("*", F.explode(copies).alias("copy"))
-    derived = F.col("copy") == 1
-    keep = ["batch_id", "file_ord", "path", "family", "rule_ord", "pattern_ord", "start", "end", "at_line"]
-    values = {
-        "detector": F.lit("copilot_insecure_suggestion"),
-        "detector_ord": F.lit(9),
-        "type": F.lit("copilot_insecure_suggestion"),
-        "message": F.lit("Copilot-generated code triggered a security rule."),
-        "severity": F.lit("warning"),
-        "related_issue": F.col("type"),
-    }
-    columns = {
-        name: F.when(derived, values.get(name, F.lit(None))).otherwise(F.col(f"`{name}`"))
-        for name in findings.columns
-        if name not in keep
-    }
-    # suggestion rows follow the findings in their order
-    columns["rule_ord"] = F.when(derived, F.col("detector_ord") * 1000 + F.col("rule_ord")).otherwise(F.col("rule_ord"))
-    columns["copilot_strict"] = F.when(derived, F.lit(None)).otherwise(F.col("gen"))
-    columns["copilot_generated"] = F.when(derived, F.lit(True)).otherwise(F.col("gen"))
-    return as_findings(both, **columns)
+def generated_files(files: DataFrame) -> DataFrame:
+    """(file keys, is_generated): any marker phrase in the text, or said so by its batch."""
+    columns = files.columns
+    said = F.coalesce(F.col("ai_generated"), F.lit(False)) if "ai_generated" in columns else F.lit(False)
+    prepared = files.select(*KEYS, "code", said.alias("said"), F.lower("code").alias("hay"), reduce(
+        or_, [F.contains("code", F.lit(c)) for c in regex.ODD_FOLDS]).alias("odd"))
+    return prepared.select(*KEYS, (F.col("said") | F.expr(_marker_sql())).alias("is_generated"))

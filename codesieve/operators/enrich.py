@@ -85,10 +85,14 @@ def redact_nested(result: DataFrame) -> DataFrame:
         if name in result.columns:
             fields = [f for f in result.schema[name].dataType.elementType.names if f in fv.REDACTED_FIELDS]
             if fields:
-                out = out.withColumn(name, F.transform(F.col(name), lambda x, f=tuple(fields): x.dropFields(*f)))
+                out = out.withColumn(name, _without(name, fields))
     return out
 
 
+def _without(array: str, fields: list[str]) -> Column:
+    return F.transform(F.col(array), lambda x: x.dropFields(*fields))
+
+
 def redact_request(batches: DataFrame) -> DataFrame:
     """Audit form of a request: text and keys replaced, files as path and size."""
     out = batches

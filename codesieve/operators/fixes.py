@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from codesieve.functions import text
 
@@ -54,7 +55,7 @@ def with_logger(code: str) -> str:
     return "".join(lines)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _with_logger(code: pd.Series) -> pd.Series:
     return code.map(with_logger, na_action="ignore")
 

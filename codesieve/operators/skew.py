@@ -56,3 +56,13 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
     """
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("_rn") <= n).drop("_rn")
+
+
+def spread(files: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Repartition a table that was read in fewer partitions than there are cores.
+
+    Text is never shuffled at scale: a large table has more input splits than cores and is
+    returned as it is.  Use it on a table as read, before any other operation.
+    """
+    wanted = partitions or files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(wanted, key) if files.rdd.getNumPartitions() < wanted else files

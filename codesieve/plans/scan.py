@@ -16,6 +16,7 @@ from codesieve.operators.findings import union_findings
 class ScanOptions:
     """Options that hold for a whole scan; per-batch values come with ``batches``."""
 
+    sector: str = fv.DEFAULT_SECTOR
     sector_rules: DataFrame | list[dict] | None = None
     custom_rules: list[dict] = field(default_factory=list)
     restricted: list[str] = field(default_factory=lambda: list(fv.RESTRICTED_LICENSES))
@@ -31,13 +32,15 @@ def findings_of(files: DataFrame, options: ScanOptions | None = None, license_te
                 extra: list[DataFrame] | None = None) -> DataFrame:
     """All findings without policy levels.
 
-    All pattern rules run in one pass over the text; the generated-code flags, duplicates and
-    repository licenses are the only other readers of it.
+    All pattern rules run in one pass over the text; duplicates and repository licenses are the
+    only other readers of it.
     """
     o = options or ScanOptions()
     sector = R.sector_rules() if o.sector_rules is None else R.collect_rules(o.sector_rules)
+    if "sector" not in files.columns:  # without a sector per file the default pack applies
+        sector = [r for r in sector if r["pack"] == o.sector]
     rules = R.builtin_rules() + R.restricted_rules(o.restricted) + R.custom_rules(o.custom_rules) + sector
-    found = detect.flag_generated(detect.detect(files, rules), files)
+    found = detect.detect(files, rules, flag_generated=True)
     parts = [found, duplicates.duplicate_lines(files), duplicates.near_duplicate_blocks(files, o.min_lines, o.min_chars)]
     if o.cross_file:
         parts.append(duplicates.cross_file_duplicates(files, o.min_lines, o.min_chars, o.unique_paths))
