@@ -27,6 +27,10 @@ def admit(times, window: float, limit: int, state: deque | None = None) -> list[
     return out
 
 
+def _micros():
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 def window_counts(requests: DataFrame, window: int = fv.RATE_WINDOW_SECONDS) -> DataFrame:
     """Requests of the client in the window ending at each request (an upper bound of admissions).
 
@@ -34,7 +38,7 @@ def window_counts(requests: DataFrame, window: int = fv.RATE_WINDOW_SECONDS) ->
     one window length, with the rows of the bucket before as context.  The window is open at its
     far end: a request exactly ``window`` seconds old does not count.
     """
-    micros = F.unix_micros("ts")
+    micros = _micros()
     width = window * 1_000_000
     spread = requests.withColumn("_us", micros).withColumn("_own", F.floor(F.col("_us") / width)).withColumn(
         "_bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
@@ -56,7 +60,7 @@ def admissions(requests: DataFrame, window: int = fv.RATE_WINDOW_SECONDS, limit:
     if limit <= 0:
         return requests.withColumn("admitted", F.lit(False))
     width = window * 1_000_000
-    stamped = requests.withColumn("_us", F.unix_micros("ts")).withColumn("_b", F.floor(F.col("_us") / width))
+    stamped = requests.withColumn("_us", _micros()).withColumn("_b", F.floor(F.col("_us") / width))
     per_bucket = stamped.groupBy("client", "_b").agg(F.count("*").alias("n"))
     in_order = Window.partitionBy("client").orderBy("_b")
     before = F.when(F.lag("_b").over(in_order) == F.col("_b") - 1, F.lag("n").over(in_order)).otherwise(0)

@@ -37,10 +37,14 @@ def scan_stream(files: DataFrame, findings_path: str, verdict_path: str, checkpo
     return files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or MODES["available"])).start()
 
 
+def _timed(stream: DataFrame) -> DataFrame:
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def audit_trends(audit: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Running counts per day and policy (T2); rows later than the delay are dropped."""
     policy = F.coalesce("policy", F.lit("advisory"))
-    counted = audit.withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(
+    counted = _timed(audit).withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(
         *[F.count_if(policy == level).alias(level) for level in fv.LEVELS])
     return counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), *fv.LEVELS)
 
@@ -50,7 +54,7 @@ def admission_stream(requests: DataFrame, window: int = fv.RATE_WINDOW_SECONDS,
 
     Rows of one micro-batch are taken in time order; later micro-batches are not reordered.
     """
-    keyed = requests.select("client", "id", F.unix_micros("ts").alias("us"))
+    keyed = requests.select("client", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return keyed.groupBy("client").applyInPandasWithState(
         admissions_state(window, limit), "client bigint, id bigint, us bigint, admitted boolean", "taken array<bigint>",
         "append", "NoTimeout")
@@ -58,7 +62,7 @@ def admission_stream(requests: DataFrame, window: int = fv.RATE_WINDOW_SECONDS,
 
 def new_comments(comments: DataFrame, delay: str = "1 day") -> DataFrame:
     """Comments not posted before within the delay (T4); needs an event time ``ts``."""
-    return comments.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["batch_id", "path", "line", "body"])
+    return _timed(comments).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["batch_id", "path", "line", "body"])
 
 
 def audit_stream(rows: DataFrame) -> DataFrame:
