@@ -194,14 +194,17 @@ def _w9(spark, sf):
 
 
 # Admission depends on earlier admissions: a recursion over the requests of each client.
-@query("T3_admissions", """WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS client, epoch_us(ts) AS us,
+_ADMITTED = """WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS client, epoch_us(ts) AS us,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
  r(client, rn, id, taken, ok) AS (
   SELECT client, rn, id, [us], true FROM e WHERE rn = 1
   UNION ALL SELECT e.client, e.rn, e.id, CASE WHEN len(list_filter(taken, lambda t: us - t < 86400000000)) < 2
      THEN list_append(list_filter(taken, lambda t: us - t < 86400000000), us) ELSE list_filter(taken, lambda t: us - t < 86400000000) END,
     len(list_filter(taken, lambda t: us - t < 86400000000)) < 2 FROM r JOIN e ON e.client = r.client AND e.rn = r.rn + 1)
- SELECT id, ok AS admitted FROM r""")
+ SELECT id, ok AS admitted FROM r"""
+
+
+@query("T3_admissions", _ADMITTED)
 def _t3(spark, sf):
     requests = table(spark, sf, "events").select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("id"))
     return limiter.admissions(requests, 86400, 2).select("id", "admitted")
@@ -219,7 +222,7 @@ def _drain(spark, stream, mode_path=None):
     return spark.read.parquet(folder + "/out")
 
 
-@query("T3_admission_stream")
+@query("T3_admission_stream", _ADMITTED)
 def _t3s(spark, sf):
     requests = _event_stream(spark, sf).select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("id"))
     return _drain(spark, jobs.admission_stream(requests, 86400, 2)).select("id", "admitted")

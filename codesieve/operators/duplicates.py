@@ -15,6 +15,7 @@ from codesieve.operators.findings import as_findings
 from codesieve.operators.skew import SALTS, salt_of
 
 KEYS = ["batch_id", "file_ord", "path"]
+_LINE_RANGE = 2**31
 
 
 def _let(value: Column, body) -> Column:
@@ -75,23 +76,54 @@ def _emit(files: DataFrame, repeats: Column) -> DataFrame:
     return files.select(*KEYS, repeats.alias("hits")).select(*KEYS, F.inline_outer("hits")).where("line is not null")
 
 
+_LINE = {"detector": "ip_duplication", "ord": 3, "message": "Possible duplicate or copied code detected."}
+_BLOCK = {"detector": "ip_near_duplicate", "ord": 4, "message": "Possible near-duplicate code block detected."}
+
+
+def _line_repeats(items: Column) -> Column:
+    return _repeats(items, lambda e: text.snippet(e["k"], 60))
+
+
+def _block_repeats(items: Column) -> Column:
+    return _repeats(items, lambda e: e["s"])
+
+
+def _repeated(rows: DataFrame, what: dict) -> DataFrame:
+    return as_findings(
+        rows, family="license_ip", detector=what["detector"], detector_ord=what["ord"], rule_ord=1, pattern_ord=1,
+        type=what["detector"], message=what["message"], snippet=F.col("s"), severity="warning")
+
+
 def duplicate_lines(files: DataFrame) -> DataFrame:
     """Later copies of a stripped, non-empty line of the same file."""
     items = files.select(*KEYS, _line_items(F.col("code")).alias("items"))
-    rows = _emit(items, _repeats(F.col("items"), lambda e: text.snippet(e["k"], 60)))
-    return as_findings(
-        rows, family="license_ip", detector="ip_duplication", detector_ord=3, rule_ord=1, pattern_ord=1,
-        type="ip_duplication", message="Possible duplicate or copied code detected.", snippet=F.col("s"), severity="warning")
+    return _repeated(_emit(items, _line_repeats(F.col("items"))), _LINE)
 
 
 def near_duplicate_blocks(files: DataFrame, min_lines: int = fv.BLOCK_MIN_LINES, min_chars: int = fv.BLOCK_MIN_CHARS) -> DataFrame:
     """Later copies of a block of ``min_lines`` lines in the same file."""
     items = files.select(*KEYS, _block_items(F.col("code"), min_lines, min_chars).alias("items"))
-    rows = _emit(items, _repeats(F.col("items"), lambda e: e["s"]))
+    return _repeated(_emit(items, _block_repeats(F.col("items"))), _BLOCK)
+
+
+def within_file_duplicates(files: DataFrame, min_lines: int = fv.BLOCK_MIN_LINES, min_chars: int = fv.BLOCK_MIN_CHARS) -> DataFrame:
+    """Repeated lines and blocks of a file in one pass over the text."""
+    items = files.select(
+        *KEYS, _line_items(F.col("code")).alias("lines"), _block_items(F.col("code"), min_lines, min_chars).alias("blocks"))
+
+    def marked(found: Column, is_block: bool) -> Column:
+        return F.transform(F.coalesce(found, F.array()), lambda e: F.struct(
+            F.lit(is_block).alias("block"), e["line"].alias("line"), e["original_line"].alias("original_line"), e["s"].alias("s")))
+
+    both = F.concat(marked(_line_repeats(F.col("lines")), False), marked(_block_repeats(F.col("blocks")), True))
+    rows = _emit(items, both)
+
+    def pick(name: str) -> Column:
+        return F.when(F.col("block"), _BLOCK[name]).otherwise(_LINE[name])
+
     return as_findings(
-        rows, family="license_ip", detector="ip_near_duplicate", detector_ord=4, rule_ord=1, pattern_ord=1,
-        type="ip_near_duplicate", message="Possible near-duplicate code block detected.", snippet=F.col("s"),
-        severity="warning")
+        rows, family="license_ip", detector=pick("detector"), detector_ord=pick("ord"), rule_ord=1, pattern_ord=1,
+        type=pick("detector"), message=pick("message"), snippet=F.col("s"), severity="warning")
 
 
 def superseded_paths(files: DataFrame) -> DataFrame:
@@ -132,16 +164,18 @@ def cross_file_duplicates(files: DataFrame, min_lines: int = fv.BLOCK_MIN_LINES,
             .withColumn("pos", F.coalesce("first_ord", "file_ord")).drop("first_ord", "last_ord")
         )
     blocks = blocks.withColumn("salt", salt_of("file_ord", salts))
+    # (position, line) as one fixed-width number: strings and structs would force a sort before the shuffle
+    place = F.col("pos").cast("decimal(20,0)") * F.lit(_LINE_RANGE).cast("decimal(11,0)") + F.element_at("lines", 1)
     partial = blocks.groupBy("batch_id", "k", "salt").agg(
-        F.min(F.struct("pos", F.element_at("lines", 1).alias("line"), "path")).alias("first"),
-        F.min("path").alias("lo"), F.max("path").alias("hi"))
+        F.min(place.cast("decimal(38,0)")).alias("first"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     block = Window.partitionBy("batch_id", "k")
-    originals = (
-        partial.select("batch_id", "k", "salt", F.min("first").over(block).alias("first"),
-                       F.min("lo").over(block).alias("lo"), F.max("hi").over(block).alias("hi"))
-        .where("lo < hi")
-        .select("batch_id", "k", "salt", F.col("first.path").alias("original_file"), F.col("first.line").alias("original_line"))
-    )
+    shared = partial.select(
+        "batch_id", "k", "salt", F.min("first").over(block).alias("first"), F.min("lo").over(block).alias("pos"),
+        F.max("hi").over(block).alias("hi")).where("pos < hi")
+    names = files.select("batch_id", F.col("file_ord").alias("pos"), F.col("path").alias("original_file"))
+    originals = shared.join(names, ["batch_id", "pos"]).select(
+        "batch_id", "k", "salt", "original_file",
+        (F.col("first") - F.col("pos").cast("decimal(20,0)") * F.lit(_LINE_RANGE).cast("decimal(11,0)")).cast("int").alias("original_line"))
     copies = (
         blocks.join(originals, ["batch_id", "k", "salt"])
         .where(F.col("path") != F.col("original_file"))

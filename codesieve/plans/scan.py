@@ -41,7 +41,7 @@ def findings_of(files: DataFrame, options: ScanOptions | None = None, license_te
         sector = [r for r in sector if r["pack"] == o.sector]
     rules = R.builtin_rules() + R.restricted_rules(o.restricted) + R.custom_rules(o.custom_rules) + sector
     found = detect.detect(files, rules, flag_generated=True)
-    parts = [found, duplicates.duplicate_lines(files), duplicates.near_duplicate_blocks(files, o.min_lines, o.min_chars)]
+    parts = [found, duplicates.within_file_duplicates(files, o.min_lines, o.min_chars)]
     if o.cross_file:
         parts.append(duplicates.cross_file_duplicates(files, o.min_lines, o.min_chars, o.unique_paths))
     if license_texts is not None:
