@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from codesieve import fixed_values as fv
 from codesieve import schemas
 from codesieve.functions import text
+from codesieve.sources import tree
 
 
 def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = None, exclude_dirs: list[str] | None = None,
-              max_bytes: int | None = None, batch_id: str = "tree") -> DataFrame:
-    """Source files below ``root``: (batch_id, path, code).
+              max_bytes: int | None = None, batch_id: str = "tree", listing: str = "walk") -> DataFrame:
+    """Source files below ``root``: (batch_id, path, code).  ``extensions=[]`` keeps all files.
 
-    Extensions prune at listing.  Excluded folders and oversize files are filtered on file
-    metadata, before any content is read.  ``extensions=[]`` keeps all files.
+    Excluded folders are not entered; extensions and sizes are checked before content is read.
+    Spark's own listing skips names that start with ``_`` or ``.``, such as ``__init__.py``, so by
+    default tasks list the folders and read the files.  ``listing="spark"`` uses the built-in
+    binary source for trees without such names.
     """
     known = list(fv.LANGUAGE_BY_EXTENSION) if extensions is None else [e.lower() for e in extensions]
     skipped = fv.EXCLUDED_DIRS if exclude_dirs is None else exclude_dirs
+    if listing == "walk":
+        contents = tree.read_contents(tree.list_files(spark, root, known, skipped, max_bytes), root)
+        return contents.select(F.lit(batch_id).alias("batch_id"), "path", text.utf8_text(F.col("content")).alias("code"))
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if known:
         def both(e: str) -> str:
