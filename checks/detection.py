@@ -251,6 +251,20 @@ def _cross(key, n, chars):
 _cross("D28_W3_J5_cross_file_duplicate", 6, 240)
 _cross("D28_W3_three_line_blocks", 3, 120)
 
+
+@query("D28_W3_one_batch", f"""WITH {_blocks("files AS (SELECT 'all' AS batch_id, doc_id AS file_ord, source || '/' || doc_id || '.txt' AS path, text AS code FROM documents)", 6, 240)},
+ r AS (SELECT path, line, k,
+   first_value(path) OVER (PARTITION BY k ORDER BY file_ord, line) AS original_file,
+   first_value(line) OVER (PARTITION BY k ORDER BY file_ord, line) AS original_line FROM b)
+ SELECT path, CAST(line AS INTEGER) AS line, original_file, CAST(original_line AS INTEGER) AS original_line,
+  {_snip('k', 80)} AS snippet FROM r WHERE path <> original_file""")
+def _one_batch(spark, sf):
+    """All documents as one batch: the batch key does not spread anything."""
+    files = docs(spark, sf).withColumn("batch_id", F.lit("all"))
+    found = duplicates.cross_file_duplicates(files, unique_paths=True)
+    return found.select("path", "line", "original_file", "original_line", "snippet")
+
+
 # --- repository licenses --------------------------------------------------------------
 
 
