@@ -158,6 +158,71 @@ def gate_sql(pattern: str, ignore_case: bool = False, code: str = "code", lowere
     return (f"({odd} OR ({text}))" if fold else f"({text})"), pure and not fold
 
 
+# Rough share of characters in prose and code, in permille; others count as 5.
+_SHARE = {
+    " ": 150, "e": 100, "t": 75, "a": 65, "i": 60, "n": 60, "o": 60, "r": 55, "s": 55, "h": 40, "d": 35, "l": 35, "u": 25, "c": 25, "m": 20,
+    "f": 18, "w": 18, "g": 16, "p": 17, "y": 15, "b": 12, ".": 12, "v": 9, "k": 6, "(": 6, "_": 6, "-": 4, "x": 2, "j": 2, "q": 1, "z": 1,
+}
+_TOKEN = 10
+
+
+def _starts(literal: str) -> range:
+    """Positions where a token may start: at least three characters must follow, if there are any."""
+    return range(max(1, len(literal) - 2))
+
+
+def choose_tokens(literals: list[str]) -> dict[str, str]:
+    """A short part of each lower-cased literal; together they start with few and rare characters.
+
+    Greedy cover: take the character that reaches most literals for its share of all text.
+    """
+    low = {lit: lit.lower() for lit in dict.fromkeys(literals)}
+    chosen: dict[str, str] = {}
+    while len(chosen) < len(low):
+        reach: dict[str, int] = {}
+        for lit in low:
+            if lit not in chosen:
+                for c in {low[lit][k] for k in _starts(lit)}:
+                    reach[c] = reach.get(c, 0) + 1
+        best = max(sorted(reach), key=lambda c: reach[c] / _SHARE.get(c, 5))
+        for lit in low:
+            at = next((k for k in _starts(lit) if low[lit][k] == best), None)
+            if lit not in chosen and at is not None:
+                chosen[lit] = low[lit][at:at + _TOKEN]
+    return chosen
+
+
+def token_literals(pattern: str) -> list[str] | None:
+    """Literals of which at least one occurs in every match, regardless of case; None if unknown."""
+    body, _ = split_flags(pattern)
+    if _SCOPED_FLAGS.search(body):
+        return None
+    gates = [g for g in required_literals(pattern)[0] if all(lit.isascii() for lit in g)]
+    if not gates:
+        return None
+    return min(gates, key=lambda g: (len(g), -min(map(len, g))))
+
+
+def token_scan_regex(tokens: list[str]) -> str:
+    """Java pattern whose group 1, over all positions of a text, lists the tokens that occur.
+
+    The search is a lookahead, so overlapping tokens are all seen; at one position the longest is
+    reported and stands for the tokens that are its prefixes.
+    """
+    heads: dict[str, list[str]] = {}
+    for token in sorted(set(tokens), key=lambda t: (-len(t), t)):
+        heads.setdefault(token[0], []).append(token[1:])
+    branches = "|".join(re.escape(h) + "(?:" + "|".join(re.escape(rest) for rest in rests) + ")" for h, rests in sorted(heads.items()))
+    first = "".join("\\" + h if not h.isalnum() and h != " " else h for h in sorted(heads))
+    return f"(?=[{first}])(?=({branches}))"
+
+
+def token_condition(wanted: list[str], tokens: list[str], found: str = "found") -> str:
+    """SQL condition: one of the wanted tokens was reported, itself or as a prefix of a longer one."""
+    reported = [t for t in dict.fromkeys(tokens) if any(t.startswith(w) for w in wanted)]
+    return "(" + " OR ".join(f"array_contains({found}, {sql_str(t)})" for t in reported) + ")"
+
+
 def running_sums_sql(values: str) -> str:
     """struct(d, o): the values and the total before each chunk of them.
 

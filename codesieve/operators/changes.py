@@ -79,13 +79,19 @@ def message_text() -> Column:
                        part("Guideline: ", "guideline_url"))
 
 
-def _placed(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings with a line in files that have text, with a position inside their batch."""
-    with_text = files.where("code <> ''").select("batch_id", "path").distinct()
+def _placed(findings: DataFrame, files: DataFrame | None) -> DataFrame:
+    """Findings with a line in files that have text, with a position inside their batch.
+
+    The detectors only report files that have text; pass ``files`` for findings of other origin.
+    The check reads the text column, so leave it out for large scans.
+    """
     shown = locate(findings.where(F.col("family").isin(FAMILY_ORDER)))
     family_ord = F.array_position(F.array(*[F.lit(f) for f in FAMILY_ORDER]), F.col("family"))
     narrow = shown.select("batch_id", "file_ord", "path", family_ord.alias("family_ord"), "detector_ord", "rule_ord",
                           "pattern_ord", "start", "line", "type", "policy_level", message_text().alias("message"))
+    if files is None:
+        return narrow
+    with_text = files.where("code <> ''").select("batch_id", "path").distinct()
     return narrow.join(with_text, ["batch_id", "path"], "left_semi")
 
 
@@ -93,7 +99,7 @@ def _order() -> list[Column]:
     return [F.col(c) for c in ("file_ord", "family_ord", "detector_ord", "rule_ord", "pattern_ord", "start", "line", "message")]
 
 
-def annotations(findings: DataFrame, files: DataFrame, limit: int = fv.ANNOTATION_LIMIT) -> DataFrame:
+def annotations(findings: DataFrame, files: DataFrame | None = None, limit: int = fv.ANNOTATION_LIMIT) -> DataFrame:
     """First annotations of a batch, in file, family and detector order."""
     top = first_n(_placed(findings, files), ["batch_id"], _order(), limit)
     return top.select(
@@ -108,7 +114,7 @@ def existing_comments(comments: DataFrame, marker: str = fv.REVIEW_MARKER) -> Da
     return kept.select("batch_id", "path", "line", "body").dropDuplicates()
 
 
-def review_comments(findings: DataFrame, files: DataFrame, changed: DataFrame, existing: DataFrame | None = None,
+def review_comments(findings: DataFrame, files: DataFrame | None, changed: DataFrame, existing: DataFrame | None = None,
                     limit: int = fv.ANNOTATION_LIMIT, marker: str = fv.REVIEW_MARKER) -> DataFrame:
     """Comments on changed lines that were not posted before."""
     placed = _placed(findings, files).withColumn("body", F.concat("message", F.lit("\n" + marker)))

@@ -48,16 +48,30 @@ def _gate(rule: dict) -> tuple[str, bool]:
     return regex.gate_sql(rule["pattern"], bool(rule["ignore_case"]))
 
 
-def _marker_sql() -> str:
+_MARKERS = [regex.split_flags(p)[0] for p in fv.GENERATED_MARKER_PATTERNS]
+
+
+def _marker_sql(tokens: dict[str, str]) -> str:
     """True when a marker phrase of generated code occurs."""
     parts = []
-    for pattern in fv.GENERATED_MARKER_PATTERNS:
-        body, _ = regex.split_flags(pattern)
-        java = regex.sql_str(regex.java_pattern(pattern))
-        parts.append(f"contains(hay, {regex.sql_str(body.lower())}) OR (odd AND rlike(code, {java}))")
+    for phrase in _MARKERS:
+        java = regex.sql_str(regex.java_pattern(phrase, ignore_case=True))
+        seen = regex.token_condition([tokens[phrase]], list(tokens.values()))
+        parts.append(f"({seen} AND contains(hay, {regex.sql_str(phrase.lower())})) OR (odd AND rlike(code, {java}))")
     return " OR ".join(parts)
 
 
+def _prepared(files: DataFrame, tokens: dict[str, str], *columns: Column | str) -> DataFrame:
+    """Lower-cased text (hay), whether it holds letters with odd folds, and the tokens that occur in it.
+
+    One scan for the tokens of all rules replaces a search per rule; most rules stop here.
+    """
+    odd = reduce(or_, [F.contains("code", F.lit(c)) for c in regex.ODD_FOLDS])
+    lowered = files.select(*KEYS, "code", *columns, F.lower("code").alias("hay"), odd.alias("odd"))
+    scan = F.regexp_extract_all("hay", F.lit(regex.token_scan_regex(list(tokens.values()))), F.lit(1))
+    return lowered.withColumn("found", F.array_distinct(scan))
+
+
 def _twin_hits(gated: DataFrame, rules: list[tuple[int, dict]]) -> DataFrame:
     """Python twin for user patterns that may match the empty text, which ``split`` cannot place."""
     compiled = {
@@ -86,14 +100,20 @@ def rule_hits(files: DataFrame, rules: list[dict]) -> DataFrame:
     """One row per hit: file keys, ``generated``, ``rule_ix`` and the span (m, g, start, end, line)."""
     columns = files.columns
     language = text.guess_language(F.col("path"), F.col("language") if "language" in columns else None)
-    prepared = files.withColumn("language", language).select(
-        *KEYS, "code", "language", text.language_group(F.col("language")).alias("lang_group"),
-        *[c for c in ("toggles", "sector", "ai_generated") if c in columns],
-        F.lower("code").alias("hay"), reduce(or_, [F.contains("code", F.lit(c)) for c in regex.ODD_FOLDS]).alias("odd"))
+    per_rule = [
+        ([r["pattern"]] if r["pattern"].isascii() else None) if r["kind"] == "restricted" else regex.token_literals(r["pattern"])
+        for r in rules
+    ]
+    tokens = regex.choose_tokens([lit for literals in per_rule for lit in literals or []] + _MARKERS)
+    prepared = _prepared(
+        files.withColumn("language", language), tokens, "language", text.language_group(F.col("language")).alias("lang_group"),
+        *[c for c in ("toggles", "sector", "ai_generated") if c in columns])
     how, candidates, twins = [], [], []
     for ix, rule in enumerate(rules):
         gate, sufficient = _gate(rule)
-        condition = " AND ".join([*_applies(rule, columns), *([] if gate == "true" else [gate])]) or "true"
+        wanted = [tokens[lit] for lit in per_rule[ix] or []]
+        seen = [f"(odd OR {regex.token_condition(wanted, list(tokens.values()))})"] if wanted else []
+        condition = " AND ".join([*_applies(rule, columns), *seen, *([] if gate == "true" else [gate])]) or "true"
         candidates.append(f"CASE WHEN {condition} THEN {ix} END")
         if rule["exists_only"]:
             mode = "sure" if sufficient else "exists"
@@ -106,7 +126,7 @@ def rule_hits(files: DataFrame, rules: list[dict]) -> DataFrame:
     said = F.coalesce(F.col("ai_generated"), F.lit(False)) if "ai_generated" in columns else F.lit(False)
     # outer: an inner explode makes the optimizer copy the whole gate array into a size() > 0 filter
     gated = prepared.select(
-        *KEYS, "code", (said | F.expr(_marker_sql())).alias("generated"),
+        *KEYS, "code", (said | F.expr(_marker_sql(tokens))).alias("generated"),
         F.explode_outer(F.expr(f"array_compact(array({', '.join(candidates)}))")).alias("rule_ix")).where("rule_ix is not null")
     modes = R.small_frame(files.sparkSession, how, "rule_ix int, mode string, java string, grp int")
     native = gated.join(F.broadcast(modes), "rule_ix")  # at most MAX_RULES rows
@@ -200,6 +220,6 @@ def generated_files(files: DataFrame) -> DataFrame:
     """(file keys, is_generated): any marker phrase in the text, or said so by its batch."""
     columns = files.columns
     said = F.coalesce(F.col("ai_generated"), F.lit(False)) if "ai_generated" in columns else F.lit(False)
-    prepared = files.select(*KEYS, "code", said.alias("said"), F.lower("code").alias("hay"), reduce(
-        or_, [F.contains("code", F.lit(c)) for c in regex.ODD_FOLDS]).alias("odd"))
-    return prepared.select(*KEYS, (F.col("said") | F.expr(_marker_sql())).alias("is_generated"))
+    tokens = regex.choose_tokens(_MARKERS)
+    prepared = _prepared(files, tokens, said.alias("said"))
+    return prepared.select(*KEYS, (F.col("said") | F.expr(_marker_sql(tokens))).alias("is_generated"))
