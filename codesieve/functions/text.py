@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +21,12 @@ def rstrip(col: Column) -> Column:
 
 
 def split_lines(code: Column) -> Column:
-    """Lines without separators; a separator at the end opens no further line."""
-    parts = F.split(code, fv.LINE_SEPARATOR_REGEX, -1)
+    """Lines without separators; a separator at the end opens no further line.
+
+    Texts that only use line feeds, nearly all, take the plain split; it is many times faster.
+    """
+    unusual = reduce(or_, [F.contains(code, F.lit(c)) for c in fv.OTHER_SEPARATORS])
+    parts = F.when(unusual, F.split(code, fv.LINE_SEPARATOR_REGEX, -1)).otherwise(F.split(code, "\n", -1))
     return F.transform(F.array(parts), _drop_empty_tail).getItem(0)
 
 

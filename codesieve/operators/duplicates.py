@@ -47,14 +47,18 @@ def _repeats(items: Column, shown) -> Column:
     return F.when(has_any, F.flatten(later))
 
 
-def _line_items(code: Column) -> Column:
-    lines = F.transform(
-        text.split_lines(code),
-        lambda x, i: F.struct(text.strip(x).alias("k"), (i + 1).alias("line")))
-    return F.filter(lines, lambda e: e["k"] != "")
+def _with_lines(files: DataFrame, min_chars: int = 0) -> DataFrame:
+    """File keys and ``lines``; files shorter than ``min_chars`` get none."""
+    lines = text.split_lines(F.col("code"))
+    return files.select(*KEYS, F.when(F.length("code") >= min_chars, lines).alias("lines") if min_chars else lines.alias("lines"))
 
 
-def _block_items(code: Column, min_lines: int, min_chars: int) -> Column:
+def _line_items(lines: Column) -> Column:
+    keyed = F.transform(lines, lambda x, i: F.struct(text.strip(x).alias("k"), (i + 1).alias("line")))
+    return F.filter(keyed, lambda e: e["k"] != "")
+
+
+def _block_items(lines: Column, min_lines: int, min_chars: int) -> Column:
     """struct(k = hash, line, s = snippet) of every full window that is long enough."""
     width = F.lit(min_lines)
 
@@ -67,8 +71,7 @@ def _block_items(code: Column, min_lines: int, min_chars: int) -> Column:
         # sequence() would count downwards when the file is shorter than one window
         return F.when(F.size(lines) >= width, F.filter(blocks, lambda b: b.isNotNull()))
 
-    rstripped = F.transform(text.split_lines(code), text.rstrip)
-    return F.when(F.length(code) >= min_chars, _let(rstripped, windows))
+    return F.when(F.size(lines) >= width, _let(F.transform(lines, text.rstrip), windows))
 
 
 def _emit(files: DataFrame, repeats: Column) -> DataFrame:
@@ -96,20 +99,20 @@ def _repeated(rows: DataFrame, what: dict) -> DataFrame:
 
 def duplicate_lines(files: DataFrame) -> DataFrame:
     """Later copies of a stripped, non-empty line of the same file."""
-    items = files.select(*KEYS, _line_items(F.col("code")).alias("items"))
+    items = _with_lines(files).select(*KEYS, _line_items(F.col("lines")).alias("items"))
     return _repeated(_emit(items, _line_repeats(F.col("items"))), _LINE)
 
 
 def near_duplicate_blocks(files: DataFrame, min_lines: int = fv.BLOCK_MIN_LINES, min_chars: int = fv.BLOCK_MIN_CHARS) -> DataFrame:
     """Later copies of a block of ``min_lines`` lines in the same file."""
-    items = files.select(*KEYS, _block_items(F.col("code"), min_lines, min_chars).alias("items"))
+    items = _with_lines(files, min_chars).select(*KEYS, _block_items(F.col("lines"), min_lines, min_chars).alias("items"))
     return _repeated(_emit(items, _block_repeats(F.col("items"))), _BLOCK)
 
 
 def within_file_duplicates(files: DataFrame, min_lines: int = fv.BLOCK_MIN_LINES, min_chars: int = fv.BLOCK_MIN_CHARS) -> DataFrame:
     """Repeated lines and blocks of a file in one pass over the text."""
-    items = files.select(
-        *KEYS, _line_items(F.col("code")).alias("lines"), _block_items(F.col("code"), min_lines, min_chars).alias("blocks"))
+    items = _with_lines(files).select(
+        *KEYS, _line_items(F.col("lines")).alias("lines"), _block_items(F.col("lines"), min_lines, min_chars).alias("blocks"))
 
     def marked(found: Column, is_block: bool) -> Column:
         return F.transform(F.coalesce(found, F.array()), lambda e: F.struct(
@@ -137,7 +140,7 @@ def superseded_paths(files: DataFrame) -> DataFrame:
 
 def file_blocks(files: DataFrame, min_lines: int = fv.BLOCK_MIN_LINES, min_chars: int = fv.BLOCK_MIN_CHARS) -> DataFrame:
     """One narrow row per distinct block of a file: hash, all lines where it starts, snippet."""
-    items = files.select(*KEYS, _block_items(F.col("code"), min_lines, min_chars).alias("items"))
+    items = _with_lines(files, min_chars).select(*KEYS, _block_items(F.col("lines"), min_lines, min_chars).alias("items"))
     grouped = F.transform(_runs(F.col("items")), lambda run: F.struct(
         run.getItem(0)["k"].alias("k"), F.transform(run, lambda e: e["line"]).alias("lines"), run.getItem(0)["s"].alias("s")))
     return items.select(*KEYS, grouped.alias("b")).select(*KEYS, F.inline_outer("b")).where("k is not null")
