@@ -28,7 +28,7 @@ def _runs(items: Column) -> Column:
 
     def of_sorted(s: Column) -> Column:
         positions = F.sequence(F.lit(0), F.size(s) - 1)
-        heads = F.filter(positions, lambda i: (i == 0) | (s.getItem(i)["k"] != s.getItem(i - 1)["k"]))
+        heads = F.filter(positions, lambda i: (i == 0) | (s[i]["k"] != s[i - 1]["k"]))
         return _let(heads, lambda h: F.transform(
             h, lambda r, n: F.slice(s, r + 1, F.coalesce(F.get(h, n + 1), F.size(s)) - r)))
 
