@@ -291,7 +291,7 @@ def _a8(spark, sf):
 @query("F1_span_extraction", f"WITH {CORPUS} SELECT path, match, start FROM ({spans('[a-z]+_[a-z]+', '')})")
 def _f1(spark, sf):
     p = regex.java_pattern("[a-z]+_[a-z]+")
-    hits = corpus(spark, sf).select("path", F.expr(regex.spans_sql("code", regex.sql_str(p))).alias("h"))
+    hits = corpus(spark, sf).select("path", F.expr(regex.spans_sql("code", regex.sql_str(p), mark=f"({regex.mark_sql('code')})")).alias("h"))
     return hits.select("path", F.inline_outer("h")).where("start is not null").select("path", F.col("m").alias("match"), F.col("start").cast("int").alias("start"))
 
 

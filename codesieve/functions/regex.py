@@ -251,13 +251,8 @@ def _measure(text: str) -> str:
     return f"(length({text}) + shiftleft(cast(length({text}) - length(replace({text}, '\\n', '')) as bigint), 32))"
 
 
-def spans_sql(code: str, pattern: str, group: str = "0") -> str:
-    """Array of struct(m, g, start, end, line) of all matches, left to right.
-
-    ``pattern`` and ``group`` are SQL expressions: literals or columns.  With group 0 the span is the
-    whole match and ``g`` equals ``m``.  Offsets and lines are running sums over the texts between
-    the matches and the matches.
-    """
+def _two_pass_spans_sql(code: str, pattern: str, group: str) -> str:
+    """The same for texts that hold all marks: matches and the texts between them from two passes."""
     found = (
         f"transform(array(named_struct('m', regexp_extract_all({code}, {pattern}, 0),"
         f" 'g', CASE WHEN {group} = 0 THEN null ELSE regexp_extract_all({code}, {pattern}, {group}) END,"
@@ -277,6 +272,42 @@ def spans_sql(code: str, pattern: str, group: str = "0") -> str:
     )
 
 
+_MARKS = ["\x01", "\x02", "\x03", "\x04"]
+
+
+def mark_sql(code: str) -> str:
+    """A control character that does not occur in the text; null when all candidates do."""
+    return "CASE " + " ".join(f"WHEN NOT contains({code}, '\\u{ord(m):04x}') THEN '\\u{ord(m):04x}'" for m in _MARKS) + " END"
+
+
+def spans_sql(code: str, pattern: str, group: str = "0", mark: str = "mark") -> str:
+    """Array of struct(m, g, start, end, line) of all matches, left to right.
+
+    ``pattern`` and ``group`` are SQL expressions: literals or columns.  With group 0 the span is the
+    whole match and ``g`` equals ``m``.  One regex pass puts ``mark`` (see ``mark_sql``) around each
+    match; a plain split then gives texts and matches in turn, and offsets and lines are running
+    sums over them.  Groups are taken from the match text, so patterns with a group must not look
+    beyond their match.
+    """
+    parts = f"split(regexp_replace({code}, {pattern}, concat({mark}, '$0', {mark})), {mark}, -1)"
+    summed = (
+        f"transform(array({parts}), p -> named_struct('p', p, 'r',"
+        f" {running_sums_sql('transform(p, x -> ' + _measure('x') + ')')}))"
+    )
+    matches = "transform(filter(sequence(0, size(v.p) - 1), i -> i % 2 = 1), i -> named_struct('m', v.p[i], 'b', " + sum_before_sql("v.r", "i") + "))"
+    grouped = (
+        f"transform(transform({summed}, v -> {matches})[0], x -> named_struct('m', x.m, 'b', x.b,"
+        f" 'g', CASE WHEN {group} = 0 THEN x.m ELSE regexp_extract(x.m, {pattern}, {group}) END))"
+    )
+    base = "(x.b + CASE WHEN " + group + " = 0 THEN 0L ELSE " + _measure("substring(x.m, 1, instr(x.m, x.g) - 1)") + " END)"
+    start = f"cast({base} & 4294967295L as int)"
+    marked = (
+        f"transform({grouped}, x -> named_struct('m', x.m, 'g', x.g, 'start', {start},"
+        f" 'end', {start} + length(x.g), 'line', cast(shiftright({base}, 32) + 1 as int)))"
+    )
+    return f"CASE WHEN {mark} IS NULL THEN {_two_pass_spans_sql(code, pattern, group)} ELSE {marked} END"
+
+
 def python_spans(pattern: str, text: str, group: int = 0, flags: int = 0) -> list[tuple[str, int, int]]:
     """Plain ``re.finditer`` spans: used in tests and for patterns that may match empty."""
     return [(m.group(0), m.start(group), m.end(group)) for m in re.finditer(pattern, text, flags)]

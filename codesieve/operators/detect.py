@@ -129,7 +129,7 @@ def rule_hits(files: DataFrame, rules: list[dict]) -> DataFrame:
         *KEYS, "code", (said | F.expr(_marker_sql(tokens))).alias("generated"),
         F.explode_outer(F.expr(f"array_compact(array({', '.join(candidates)}))")).alias("rule_ix")).where("rule_ix is not null")
     modes = R.small_frame(files.sparkSession, how, "rule_ix int, mode string, java string, grp int")
-    native = gated.join(F.broadcast(modes), "rule_ix")  # at most MAX_RULES rows
+    native = gated.withColumn("mark", F.expr(regex.mark_sql("code"))).join(F.broadcast(modes), "rule_ix")  # at most MAX_RULES rows
     once = "array(named_struct('m', cast(null as string), 'g', cast(null as string), 'start', cast(null as int), 'end', cast(null as int), 'line', cast(null as int)))"
     spans = F.expr(
         f"CASE mode WHEN 'sure' THEN {once} WHEN 'exists' THEN CASE WHEN rlike(code, java) THEN {once} END"

@@ -16,7 +16,7 @@ PIECES = [
     "os.system(", "open(", "request", "md5(", "SHA1(", "generated by copilot", "def ", "Bad_Name", "(", "function get_it(", "const a_b = (",
     "print(", "console.log(", "fmt.Println(", "except", " :", " Exception:", "catch (e) { }", "catch (Exception e)", "_ = go(", "panic(", "any",
     "SPDX-License-Identifier: ", "GPL-3.0", "MIT License", "mit licenſe", "ü", " ", "\x1c", "\x85", " ", "é_a(", "path.join(", "Path(input).unlink()",
-    "INSERT INTO t ", "UPDATE ", " SET", "sk-abcdefghijklmnopqrstuvwxyz", "xoxb-1234567890", "日本", "😀", "System.out.println(", "API-KEY: ", "{", "}",
+    "\x01", "\x02", "\x01\x02\x03\x04", "$0", "\\", "INSERT INTO t ", "UPDATE ", " SET", "sk-abcdefghijklmnopqrstuvwxyz", "xoxb-1234567890", "日本", "😀", "System.out.println(", "API-KEY: ", "{", "}",
 ]
 
 
