@@ -124,12 +124,14 @@ def rule_hits(files: DataFrame, rules: list[dict]) -> DataFrame:
         java = None if rule["kind"] == "restricted" else regex.java_pattern(rule["pattern"], bool(rule["ignore_case"]), bool(rule["multiline"]))
         how.append({"rule_ix": ix, "mode": mode, "java": java, "grp": rule["match_group"] or 0})
     said = F.coalesce(F.col("ai_generated"), F.lit(False)) if "ai_generated" in columns else F.lit(False)
+    # decided before the explode, once per file and in compiled code; only the text goes on
+    decided = prepared.select(
+        *KEYS, "code", (said | F.expr(_marker_sql(tokens))).alias("generated"), F.expr(regex.mark_sql("code")).alias("mark"),
+        F.expr(f"array_compact(array({', '.join(candidates)}))").alias("wanted"))
     # outer: an inner explode makes the optimizer copy the whole gate array into a size() > 0 filter
-    gated = prepared.select(
-        *KEYS, "code", (said | F.expr(_marker_sql(tokens))).alias("generated"),
-        F.explode_outer(F.expr(f"array_compact(array({', '.join(candidates)}))")).alias("rule_ix")).where("rule_ix is not null")
+    gated = decided.select(*KEYS, "code", "generated", "mark", F.explode_outer("wanted").alias("rule_ix")).where("rule_ix is not null")
     modes = R.small_frame(files.sparkSession, how, "rule_ix int, mode string, java string, grp int")
-    native = gated.withColumn("mark", F.expr(regex.mark_sql("code"))).join(F.broadcast(modes), "rule_ix")  # at most MAX_RULES rows
+    native = gated.join(F.broadcast(modes), "rule_ix")  # at most MAX_RULES rows
     once = "array(named_struct('m', cast(null as string), 'g', cast(null as string), 'start', cast(null as int), 'end', cast(null as int), 'line', cast(null as int)))"
     spans = F.expr(
         f"CASE mode WHEN 'sure' THEN {once} WHEN 'exists' THEN CASE WHEN rlike(code, java) THEN {once} END"
