@@ -300,13 +300,17 @@ def _s2(spark, sf):
 
 @query("K6_S10_L6_rulepacks", "SELECT DISTINCT 'pack_' || lang AS pack, count(DISTINCT source) OVER (PARTITION BY lang) AS n_rules FROM (SELECT DISTINCT lang, source FROM documents)")
 def _k6(spark, sf):
-    from codesieve.rules import RULE_FIELDS, small_frame, RULE_SCHEMA
+    from pyspark.sql.types import StructType
+
+    from codesieve.rules import RULE_SCHEMA
 
     folder = scratch(spark) + "/rules"
     rules = table(spark, sf, "documents").select("lang", "source").distinct()
     for lang in [r.lang for r in rules.select("lang").distinct().limit(100).collect()]:
-        one = small_frame(spark, [{}], RULE_SCHEMA).drop("rule_id", "pack").crossJoin(
-            rules.where(F.col("lang") == lang).select(F.col("source").alias("rule_id")))
+        kinds = StructType.fromDDL(RULE_SCHEMA)
+        one = rules.where(F.col("lang") == lang).select(
+            F.col("source").alias("rule_id"),
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds if f.name not in ("rule_id", "pack")])
         writers.upsert_rulepack(one.limit(1), folder, f"pack_{lang}")  # replaced by the next write
         writers.upsert_rulepack(one, folder, f"pack_{lang}")
     stored = readers.read_rulepacks(spark, folder)

@@ -74,8 +74,11 @@ def breakdown(findings: DataFrame, dims: list[str]) -> DataFrame:
 
 def remaining(findings: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Counts left after a fix by family, the errors, the total and the exit code."""
-    counted = findings.agg(*[F.count_if(F.col("family") == family).alias(name) for family, name, _ in fv.FAMILIES])
-    failed = findings.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("errors")) if errors is None else errors.agg(F.count("*").alias("errors"))
-    both = counted.join(F.broadcast(failed))  # one row each
+    rows = findings.select("family")
+    if errors is not None:
+        rows = rows.unionByName(errors.select(F.lit("errors").alias("family")))
+    both = rows.agg(
+        *[F.count_if(F.col("family") == family).alias(name) for family, name, _ in fv.FAMILIES],
+        F.count_if(F.col("family") == "errors").alias("errors"))
     total = sum((F.col(name) for name, _ in ARRAYS), F.col("errors"))
     return both.withColumn("total", total).withColumn("exit_code", F.when(F.col("total") > 0, 2).otherwise(0))

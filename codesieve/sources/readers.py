@@ -102,8 +102,8 @@ def effective_config(configs: DataFrame, paths: list[str] | None = None) -> Data
     own = parsed.where("scope = 'repo'").withColumn("place", F.array_position(order, F.col("config_path"))).where("place > 0")
     w = Window.partitionBy("repo").orderBy("place")  # at most one row per candidate path
     first = own.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("repo", F.col("config").alias("own"))
-    org = parsed.where("scope = 'org'").agg(F.first("config", ignorenulls=True).alias("org"))
-    both = first.crossJoin(F.broadcast(org))  # one row
+    org = parsed.where("scope = 'org'").groupBy("scope").agg(F.first("config", ignorenulls=True).alias("org"))
+    both = first.withColumn("scope", F.lit("org")).join(F.broadcast(org), "scope", "left")  # at most one row
     return both.select("repo", overlay(F.col("org"), F.col("own"), first.schema["own"].dataType).alias("config"))
 
 

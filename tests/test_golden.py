@@ -173,3 +173,12 @@ def test_nested_and_redacted(files):
     assert rows["f1.py"].issues == []
     hidden = enrich.redact_nested(nested).schema["issues"].dataType.elementType.names
     assert not set(hidden) & set(fv.REDACTED_FIELDS)
+
+
+def test_remaining_counts_errors(spark, files):
+    clean = scan(files("nothing"))
+    row = reports.remaining(clean).collect()[0]
+    assert (row.total, row.exit_code) == (0, 0)
+    errors = spark.createDataFrame([("a", "failed"), ("b", "failed")], "path string, error string")
+    row = reports.remaining(clean, errors).collect()[0]
+    assert (row.errors, row.total, row.exit_code) == (2, 2, 2)
