@@ -138,7 +138,7 @@ CUSTOM = [
 ]
 
 
-@query("D22_custom_rules", f"""WITH {CORPUS}
+@query("D22_X1_custom_rules", f"""WITH {CORPUS}
  SELECT path, 'house_rule' AS type, 'No except at line start.' AS message, 'blocking' AS severity, 'C-1' AS rule_id, start,
   CAST(start + length(match) AS INTEGER) AS stop FROM ({spans('(?m)^except')} UNION ALL {spans('TODO')})
  UNION ALL SELECT path, 'coding_standard', 'Coding standard violation.', 'warning', 'C-2', start,
