@@ -22,6 +22,10 @@ def _remainder(n: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
 
 
+def _counts(spans: str, kinds: list[str]) -> list[Column]:
+    return [F.expr(f"cast(size(filter({spans}, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in kinds]
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = postings.build_index(table(spark, sf_dir, "documents"))
     found = postings.contamination(index, table(spark, sf_dir, "benchmark"))
@@ -46,8 +50,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.spans(docs, personal.fit(docs))
     place = F.array(*[F.lit(k) for k in personal.KINDS])
     ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(place, s["kind"]).alias("p"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in personal.KINDS]
-    return found.select(F.col("id").alias("doc_id"), *counts, _digest(_span_text(F.col("base"))).alias("base_sha256"), _span_text(ordered).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *_counts("base", personal.KINDS), _digest(_span_text(F.col("base"))).alias("base_sha256"), _span_text(ordered).alias("spans"))
 
 
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +74,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [r.kind for r in secrets.RULES if r.base]
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in base]
-    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), *counts, _digest(secrets.joined("found", base)).alias("base_sha256"), secrets.joined("found").alias("spans"))
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_counts("found", base), _digest(secrets.joined("found", base)).alias("base_sha256"), secrets.joined("found").alias("spans"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
