@@ -12,7 +12,8 @@ in the band below.  ``allocation`` picks for each band how many segments of each
 Keys that cannot tell sets apart (empty subsets, and keys of more than ``DENSE`` components that are not linked)
 are dropped.  A pair loses at most what *both* members lose, so only pairs of two
 members that lost more than the slack are searched anew: by their rarest shingles (prefix filter, exact).
-Every candidate is verified by exact intersection of the hash sets.
+A candidate is first held against parity sketches, one bit per element: bits in which two sketches differ are a
+lower bound of the difference of the sets, so no link is lost.  The rest is verified by exact intersection of the hash sets.
 
 Copies collapse to one class before.  Pairs of one component are not expanded: each key first links
 all its classes to the least one, and only keys that still hold several components give pairs.
@@ -33,7 +34,11 @@ from codesieve.llm.common import ascii_lower, components, mix, text_bytes, text_
 WIDTH = 5
 #: A key with more components than this is replaced by the exact search on rare shingles.
 DENSE = 32
+#: Rows of keys that are sent to all tasks instead of moving the texts to them, at most (16 bytes each).
+BROADCAST_ROWS = 1_000_000
 _RATIO = 1.5
+#: 64-bit numbers of the folded sketch.
+_FOLD = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -145,17 +150,52 @@ def signatures(items: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(keys ^ tag), of
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """Parity of the elements that fall on each bit; about as many bits as elements, a power of two from 512 on."""
+    bits = 64 * _FOLD
+    while bits < len(items):
+        bits *= 2
+    place = (mix(items ^ np.uint64(0x3C3C3C3C3C3C3C3C)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: bytes) -> list[int]:
+    """A sketch folded to 512 bits, as numbers."""
+    x = np.frombuffer(bits, np.int64)
+    return np.bitwise_xor.reduce(x.reshape(-1, _FOLD), axis=0).tolist()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Lower bound of the symmetric difference of two sets from their sketches; the longer one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _named(width):
     def step(batches):
         for batch in batches:
             for part in text_steps(batch):
-                rows = [(len(s), *set_keys(s)) for s in shingle_sets(part, width)]
-                n, k, k2 = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k), pa.array(k2)], names=["id", "n", "k", "k2"])
+                rows = [(len(s), *set_keys(s), sketch(s) if len(s) else None) for s in shingle_sets(part, width)]
+                n, k, k2, bits = zip(*rows, strict=True)
+                fold = [folded(b) if b else None for b in bits]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary()), pa.array(fold, pa.list_(pa.int64()))],
+                                                 names=["id", "n", "k", "k2", "bits", "fold"])
 
     return step
 
 
+def _possible(batches):
+    """Pairs (x, y, sizes, sketches) that can link as far as sizes and sketches tell."""
+    for batch in batches:
+        nx, ny = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        keep = [9 * least_difference(a, b) <= m + n for a, b, m, n in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), nx.tolist(), ny.tolist(), strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+
 def short_key(b: int) -> int:
     """The key under which sets meet that lost more than the slack of band b to empty segments."""
     return int(mix(np.array([b + 1], np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)[0])
@@ -222,21 +262,37 @@ def _listed(width):
     return step
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, y) of class keys that link; classes whose 64-bit keys clash are tried one by one."""
-    a = sets.selectExpr("k as x", "id as a", "items as left_items")
-    b = sets.selectExpr("k as y", "id as b", "items as right_items")
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Links (x, y, a, b) of pairs (x, y) of class keys, a and b being the least ids of the two classes; classes
+    whose 64-bit keys clash are tried one by one."""
+    a = classes.selectExpr("k as x", "n as nx", "bits as bx")
+    b = classes.selectExpr("k as y", "n as ny", "bits as by")
+    sized = pairs.join(a, "x").join(b, "y").where("100 * least(nx, ny) >= 80 * greatest(nx, ny)").select("x", "y", "nx", "ny", "bx", "by")
+    likely = written(sized.mapInArrow(_possible, "x bigint, y bigint").distinct())
+    sets = _sets(likely.selectExpr("x as k").unionByName(likely.selectExpr("y as k")).distinct(), classes, texts, width)
+    left = sets.selectExpr("k as x", "id as a", "items as left_items")
+    right = sets.selectExpr("k as y", "id as b", "items as right_items")
     common = F.size(F.array_intersect("left_items", "right_items"))
     both = F.size("left_items") + F.size("right_items")
-    near = F.least(F.size("left_items"), F.size("right_items")) * 100 >= F.greatest(F.size("left_items"), F.size("right_items")) * 80
-    return pairs.join(a, "x").join(b, "y").where(near).where(100 * common >= 80 * (both - common)).select("x", "y", "a", "b")
+    return likely.join(left, "x").join(right, "y").where(100 * common >= 80 * (both - common)).select("x", "y", "a", "b")
+
 
+def _sets(keys: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(k, id, items) of the classes with some keys, from the text of the class's least id."""
+    members = written(classes.join(keys, "k", "left_semi").selectExpr("k", "rep as id"))
+    chosen = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    return written(texts.join(chosen, "id").dropDuplicates(["id"]).select("k", "id", "text").mapInArrow(_listed(width), "k bigint, id bigint, items array<bigint>"))
 
-def _cross(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of classes that share a key and are not yet in one component."""
-    left = rows.selectExpr("sig", "k as x", "c as cx")
-    right = rows.selectExpr("sig", "k as y", "c as cy")
-    return left.join(right, "sig").where("x < y and cx <> cy").select("x", "y").distinct()
+
+def _cross(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs of classes that share a key, are not yet in one component, and may link by their sizes
+    and folded sketches: all of it is a condition of the join, so no other pair is made."""
+    named = rows.join(classes.select("k", "n", *[F.col("fold")[i].alias(f"f{i}") for i in range(_FOLD)]), "k")
+    left = named.select("sig", *[F.col(c).alias(f"x_{c}") for c in named.columns if c != "sig"])
+    right = named.select("sig", *[F.col(c).alias(f"y_{c}") for c in named.columns if c != "sig"])
+    apart = " + ".join(f"bit_count(x_f{i} ^ y_f{i})" for i in range(_FOLD))
+    may = F.expr(f"x_k < y_k AND x_c <> y_c AND 100 * least(x_n, y_n) >= 80 * greatest(x_n, y_n) AND 9 * ({apart}) <= x_n + y_n")
+    return left.join(right, (left["sig"] == right["sig"]) & may).selectExpr("x_k as x", "y_k as y").distinct()
 
 
 def _with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -244,7 +300,7 @@ def _with_components(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.selectExpr("node as k", "component as c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
 
 
-def _rare_pairs(short: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+def _rare_pairs(short: DataFrame, sets: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Candidate pairs among the sets that were short in one band: equal shingles among the rarest.
 
     Sets of n elements with similarity 0.8 and more share at least ``ceil(0.8 n)``, so in any common
@@ -255,7 +311,7 @@ def _rare_pairs(short: DataFrame, sets: DataFrame, found: DataFrame) -> DataFram
     order = Window.partitionBy("band", "k", "id").orderBy("df", "item")
     ranked = items.join(often.where("df > 1"), ["band", "item"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     front = ranked.withColumn("place", F.row_number().over(order)).where("place <= n - ceil(0.8 * n) + 1 and df > 1")
-    return _cross(_with_components(front.select(F.xxhash64("band", "item").alias("sig"), "k"), found))
+    return _cross(_with_components(front.select(F.xxhash64("band", "item").alias("sig"), "k"), found), classes)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -267,8 +323,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     name would be taken for one (chance below 1e-18 at 1e10 texts).
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    named = written(texts.mapInArrow(_named(width), "id bigint, n bigint, k bigint, k2 bigint"))
-    classes = named.where("n > 0 and id is not null").groupBy("k", "k2").agg(F.min("id").alias("rep"))
+    named = written(texts.mapInArrow(_named(width), "id bigint, n bigint, k bigint, k2 bigint, bits binary, fold array<bigint>"))
+    classes = written(named.where("n > 0 and id is not null").groupBy("k", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fold").alias("fold")))
 
     # Keys shared by two classes and more; each links its classes to the least of them.
     keyed = texts.where("id is not null").mapInArrow(_keyed(width), "sig bigint, k bigint")
@@ -276,25 +332,26 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = keyed.withColumn("lo", F.min("k").over(of_key)).withColumn("hi", F.max("k").over(of_key))
     shared = written(marked.where("lo <> hi").select("sig", "k", "lo"))
 
-    members = classes.join(shared.select("k").distinct(), "k", "left_semi").selectExpr("k", "rep as id")
-    sets = written(texts.join(members, "id").dropDuplicates(["id"]).select("k", "id", "text").mapInArrow(_listed(width), "k bigint, id bigint, items array<bigint>"))
-
     is_short = F.col("sig").isin([short_key(b) for b in range(64)])
     stars = written(shared.where(~is_short).where("k <> lo").selectExpr("lo as x", "k as y").distinct())
-    first = written(_verified(stars, sets))
+    first = written(_verified(stars, classes, texts, width))
     by_key = written(components(first.selectExpr("x as a", "y as b")))
 
     # Keys that still hold several components: few components give pairs, many are dense.
     open_keys = _with_components(shared.where(~is_short), by_key)
     many = open_keys.groupBy("sig", "c").agg(F.lit(1).alias("one")).groupBy("sig").agg(F.sum("one").alias("many")).where("many > 1")
     open_keys = written(open_keys.join(many, "sig").select("sig", "k", "c", "many"))
-    cross = _cross(open_keys.where(F.col("many") <= DENSE)).join(stars, ["x", "y"], "left_anti")
-    dense = open_keys.where(F.col("many") > DENSE).groupBy("k").agg(F.collect_set("sig").alias("dense"))
-    short = sets.select("k", "items").join(dense, "k").mapInArrow(_still_short, "k bigint, band int")
+    cross = _cross(open_keys.where(F.col("many") <= DENSE).drop("many"), classes).join(stars, ["x", "y"], "left_anti")
+
+    # Classes that lost more than the slack of a band to empty or dense keys: pairs by their rarest shingles.
+    dense = written(open_keys.where(F.col("many") > DENSE).groupBy("k").agg(F.collect_set("sig").alias("dense")))
     for_empty = shared.where(is_short).select("k", F.array_position(F.array(*[F.lit(short_key(b)) for b in range(64)]), F.col("sig")).cast("int").alias("p")).selectExpr("k", "p - 1 as band")
+    for_empty = written(for_empty.distinct())
+    sets = _sets(dense.select("k").unionByName(for_empty.select("k")).distinct(), classes, texts, width)
+    short = sets.select("k", "items").join(dense, "k").mapInArrow(_still_short, "k bigint, band int")
     short = written(short.unionAll(for_empty).distinct())
-    rest = cross.unionAll(_rare_pairs(short, sets, by_key)).distinct()
-    links = first.unionAll(_verified(rest, sets)).selectExpr("a", "b")
-    whole = named.join(classes, ["k", "k2"], "left").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
+    rest = cross.unionByName(_rare_pairs(short, sets, classes, by_key)).distinct()
+    links = first.unionByName(_verified(rest, classes, texts, width)).selectExpr("a", "b")
+    whole = named.drop("bits", "fold").join(classes.drop("n", "bits", "fold"), ["k", "k2"], "left").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
     return whole.select("id", F.col("n").alias("n_shingles"),
                         F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component"))
