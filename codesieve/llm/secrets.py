@@ -145,9 +145,9 @@ def _holds(query: object, has) -> Column:
 
 def build_index(texts: DataFrame, trigrams: list[str]) -> DataFrame:
     """Posting rows (trigram, row) of the texts (row, text), written to the shared folder."""
-    lower = F.lower("text")
+    lower = F.col("lower")
     found = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(t)), F.lit(i).cast("smallint")) for i, t in enumerate(trigrams)]))
-    return written(texts.select(F.explode(found).alias("trigram"), "row"))
+    return written(texts.select("row", F.lower("text").alias("lower")).select(F.explode(found).alias("trigram"), "row"))
 
 
 def candidates(index: DataFrame, queries: list[object], trigrams: list[str]) -> DataFrame:
