@@ -163,7 +163,7 @@ def _plain_security(spark, sf):
   CASE level WHEN 'blocking' THEN 'failure' WHEN 'warning' THEN 'warning' ELSE 'notice' END AS annotation_level, type AS title, message
  FROM placed QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY file_ord, ord, start) <= 50""")
 def _ann(spark, sf):
-    out = changes.annotations(_plain_security(spark, sf), corpus(spark, sf))
+    out = changes.annotations(_plain_security(spark, sf), corpus(spark, sf), fv.ANNOTATION_LIMIT)
     return out.select("batch_id", "path", "start_line", "annotation_level", "title", "message")
 
 
@@ -181,7 +181,7 @@ def _j7(spark, sf):
     posted = located.where("file_ord % 4 = 0").select(
         "batch_id", "path", "line", F.concat(changes.message_text(), F.lit("\n" + fv.REVIEW_MARKER)).alias("body"))
     visible = files.select("batch_id", "path", F.explode(F.sequence(F.lit(1), F.lit(399))).alias("line"))
-    return changes.review_comments(found, files, visible, changes.existing_comments(posted))
+    return changes.review_comments(found, files, visible, changes.existing_comments(posted), fv.ANNOTATION_LIMIT)
 
 
 @query("S9_U2_existing_comments", f"""WITH conv AS (SELECT conv_id, turn, text FROM conversations)
@@ -277,4 +277,4 @@ def _l4(spark, sf):
         "batch_id", "file_ord", F.lit("ai").alias("family"), F.lit(1).alias("rule_ord"),
         F.when(k % 3 == 0, F.concat(F.lit("note "), k.cast("string"))).otherwise("").alias("message"),
         F.when(k % 3 != 2, "ai_review").alias("type"))
-    return changes.highlights(rows).select("batch_id", "text")
+    return changes.highlights(rows, fv.HIGHLIGHT_LIMIT).select("batch_id", "text")

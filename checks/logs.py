@@ -110,7 +110,7 @@ def _a14(spark, sf):
 @query("L1_recent", f"""WITH {_AUDIT} SELECT seq, timestamp, upper(substr(coalesce(policy, ''), 1, 1)) || substr(coalesce(policy, ''), 2) AS policy,
   CASE WHEN kind = 'single' THEN n ELSE 0 END AS issue_count, CASE WHEN override_allowed THEN 'Yes' ELSE 'No' END AS override_allowed FROM audit ORDER BY seq DESC LIMIT 100""")
 def _l1(spark, sf):
-    return reports.recent(audit_log(spark, sf))
+    return reports.recent(audit_log(spark, sf), fv.DASHBOARD_ROWS)
 
 
 @query("J13_latest_resolution", f"""WITH {_AUDIT}, r AS (SELECT audit_id, arg_max({{'r': resolution, 'a': actor}}, seq) AS last FROM audit WHERE event IS NOT NULL GROUP BY ALL)
@@ -306,7 +306,7 @@ def _k6(spark, sf):
 
     folder = scratch(spark) + "/rules"
     rules = table(spark, sf, "documents").select("lang", "source").distinct()
-    for lang in [r.lang for r in rules.select("lang").distinct().limit(100).collect()]:
+    for lang in [r.lang for r in rules.select("lang").distinct().collect()]:
         kinds = StructType.fromDDL(RULE_SCHEMA)
         one = rules.where(F.col("lang") == lang).select(
             F.col("source").alias("rule_id"),
@@ -449,19 +449,24 @@ def _s8(spark, sf):
     return review.static_findings(rows).select("file_ord", "type", "message", "severity", "line", "cwe", "owasp", F.size("references").alias("n_refs"))
 
 
+_LOGGED = "replace(code, 'print(', 'logger.info(')"
+_SETUP = f"'import logging' || {NL} || {NL} || 'logger = logging.getLogger(__name__)' || {NL}"
+
+
 @query("F24_safe_fix", f"""WITH {CORPUS} SELECT path, contains(code, 'print(') AND ext = '.py' AS changed,
-  length(code) + CASE WHEN contains(code, 'print(') AND ext = '.py' THEN (length(replace(code, 'print(', 'logger.info(')) - length(code)) + length('import logging' || {NL}) + length({NL} || 'logger = logging.getLogger(__name__)' || {NL}) ELSE 0 END AS size FROM files""")
+  CASE WHEN contains(code, 'print(') AND ext = '.py' THEN {_SETUP} || {_LOGGED} ELSE code END AS code FROM files""")
 def _f24(spark, sf):
-    return fixes.safe_fix(corpus(spark, sf)).select("path", (F.size("changes") > 0).alias("changed"), F.length("code").cast("bigint").alias("size"))
+    return fixes.safe_fix(corpus(spark, sf)).select("path", (F.size("changes") > 0).alias("changed"), "code")
+
+
+_HEAD = '#!/usr/bin/python\n# coding: utf-8\n\n"""Text\n\nmore"""\n'
 
 
-@query("X2_header_placement", f"""WITH {CORPUS} SELECT path, 'import logging' || {NL} || {NL} || 'logger = logging.getLogger(__name__)' || {NL} AS head, length(code) AS old_size FROM files WHERE ext = '.py' AND contains(code, 'print(')""")
+@query("X2_header_placement", f"""WITH {CORPUS}, head AS (SELECT '{_HEAD}' AS h) SELECT path, h || {_SETUP} || {_LOGGED} AS code, h || code AS original
+ FROM files, head WHERE ext = '.py' AND contains(code, 'print(')""")
 def _x2(spark, sf):
-    files = corpus(spark, sf)
-    headed = files.withColumn("code", F.concat(F.lit('#!/usr/bin/python\n# coding: utf-8\n\n"""Text\n\nmore"""\n'), "code"))
-    fixed = fixes.safe_fix(headed).where(F.size("changes") > 0)
-    start = F.instr("code", 'more"""\n') + 8
-    return fixed.select("path", F.substring("code", start, F.lit(53)).alias("head"), (F.length("original") - 52).cast("bigint").alias("old_size"))
+    headed = corpus(spark, sf).withColumn("code", F.concat(F.lit(_HEAD), "code"))
+    return fixes.safe_fix(headed).where(F.size("changes") > 0).select("path", "code", "original")
 
 
 @query("K5_backups", f"WITH {CORPUS} SELECT path, code FROM files WHERE ext = '.py' AND contains(code, 'print(')")

@@ -74,7 +74,7 @@ def latest_resolution(audit: DataFrame) -> DataFrame:
         .withColumn("actor", F.col("last.actor")).withColumn("resolved_at", F.col("last.timestamp")).drop("last", "_own"))
 
 
-def retained(audit: DataFrame, size: Column, max_bytes: int = fv.AUDIT_MAX_BYTES, segments: int = fv.AUDIT_MAX_SEGMENTS) -> DataFrame:
+def retained(audit: DataFrame, size: Column, max_bytes: int, segments: int = fv.AUDIT_MAX_SEGMENTS) -> DataFrame:
     """Newest rows whose total size stays within the active and the kept segments, with a segment number."""
     if max_bytes <= 0:
         return audit.withColumn("running", F.lit(None).cast("bigint")).withColumn("segment_no", F.lit(0).cast("bigint"))

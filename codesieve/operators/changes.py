@@ -99,8 +99,8 @@ def _order() -> list[Column]:
     return [F.col(c) for c in ("file_ord", "family_ord", "detector_ord", "rule_ord", "pattern_ord", "start", "line", "message")]
 
 
-def annotations(findings: DataFrame, files: DataFrame | None = None, limit: int = fv.ANNOTATION_LIMIT) -> DataFrame:
-    """First annotations of a batch, in file, family and detector order."""
+def annotations(findings: DataFrame, files: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Annotations of a batch, or the first ``limit`` of them, in file, family and detector order."""
     top = first_n(_placed(findings, files), ["batch_id"], _order(), limit)
     return top.select(
         "batch_id", "path", F.col("line").alias("start_line"), F.col("line").alias("end_line"),
@@ -115,8 +115,8 @@ def existing_comments(comments: DataFrame, marker: str = fv.REVIEW_MARKER) -> Da
 
 
 def review_comments(findings: DataFrame, files: DataFrame | None, changed: DataFrame, existing: DataFrame | None = None,
-                    limit: int = fv.ANNOTATION_LIMIT, marker: str = fv.REVIEW_MARKER) -> DataFrame:
-    """Comments on changed lines that were not posted before."""
+                    limit: int | None = None, marker: str = fv.REVIEW_MARKER) -> DataFrame:
+    """Comments on changed lines that were not posted before; the first ``limit`` of a batch if given."""
     placed = _placed(findings, files).withColumn("body", F.concat("message", F.lit("\n" + marker)))
     placed = placed.join(changed.select("batch_id", "path", "line"), ["batch_id", "path", "line"], "left_semi")
     if existing is not None:
@@ -125,8 +125,8 @@ def review_comments(findings: DataFrame, files: DataFrame | None, changed: DataF
     return top.select("batch_id", "path", "line", F.lit("RIGHT").alias("side"), "body")
 
 
-def highlights(findings: DataFrame, limit: int = fv.HIGHLIGHT_LIMIT) -> DataFrame:
-    """First reviewer texts of a batch."""
+def highlights(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Reviewer texts of a batch, or the first ``limit`` of them."""
     said = findings.where("family = 'ai'").select(
         "batch_id", "file_ord", "rule_ord", F.coalesce(
             F.when(F.col("message") != "", F.col("message")), F.when(F.col("type") != "", F.col("type")),

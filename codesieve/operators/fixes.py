@@ -2,76 +2,57 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from codesieve.functions import text
 
+# The two inserted texts.
 IMPORT_LINE = "import logging\n"
 LOGGER_LINE = "\nlogger = logging.getLogger(__name__)\n"
-QUOTES = ('"""', "'''")
-
-
-def header_length(lines: list[str]) -> int:
-    """Number of lines before the first place for an import: shebang, coding line, blanks, docstring."""
-    rest = iter(enumerate(lines + [None]))
-    at, line = next(rest)
-    if line is not None and line.startswith("#!/"):
-        at, line = next(rest)
-    if line is not None and "coding" in line:
-        at, line = next(rest)
-    while line is not None and not line.strip():
-        at, line = next(rest)
-    if line is None or not line.lstrip().startswith(QUOTES):
-        return at
-    quote = QUOTES[0] if QUOTES[0] in line else QUOTES[1]
-    if line.count(quote) < 2:
-        for at, line in rest:
-            if line is None:
-                return at
-            if quote in line:
-                break
-    return at + 1
-
-
-def with_logger(code: str) -> str:
-    """Make sure that logging is imported and a module logger exists."""
-    lines = code.splitlines(keepends=True)
-    top = header_length(lines)
-    if not any(line.strip() == "import logging" for line in lines):
-        lines[top:top] = [IMPORT_LINE]
-        top += 1
-    if not any("logging.getLogger(__name__)" in line for line in lines):
-        after_imports = top
-        for number, line in enumerate(lines[top:], top + 1):
-            word = line.strip()
-            if word.startswith(("import ", "from ")):
-                after_imports = number
-            elif word:
-                break
-        lines[after_imports:after_imports] = [LOGGER_LINE]
-    return "".join(lines)
-
-
-@F.pandas_udf(StringType())
-def _with_logger(code: pd.Series) -> pd.Series:
-    return code.map(with_logger, na_action="ignore")
+
+
+def _docstring(quote: str) -> str:
+    """A docstring that opens on this line: closed there, or by the next line with the quote, or by the end."""
+    return rf"(?=[^\n]*{quote})(?:[^\n]*?{quote}[^\n]*?{quote}[^\n]*\n?|[^\n]*\n(?s:.*?){quote}[^\n]*\n?|(?s:.*))"
+
+
+#: What stays above an import: interpreter line, coding line, blank lines, docstring.
+_HEADER = (
+    r"\A(?:#!/[^\n]*(?:\n|\z))?(?:[^\n]*coding[^\n]*(?:\n|\z))?(?:\s*(?:\n|\z))?"
+    r"(?:(?=[^\S\n]*(?:[\"]{3}|[']{3}))(?:" + _docstring('["]{3}') + "|" + _docstring("[']{3}") + "))?"
+)
+_HAS_IMPORT = r"(?:\A|\n)[^\S\n]*import logging[^\S\n]*(?:\n|\z)"
+_OTHER_LINE = r"\n[^\S\n]*+(?!import |from )\S"
+
+
+def with_logger(code: Column) -> Column:
+    """The text with an import of logging and a module logger, each put in only where it is missing.
+
+    The import follows the header, the logger the import lines behind it.  Lines end at line feeds.
+    """
+    header = F.regexp_extract(code, _HEADER, 0)
+    body = F.substr(code, F.length(header) + 1)
+    other = F.regexp_instr(F.concat(F.lit("\n"), body), F.lit(_OTHER_LINE))
+    block = F.when(other > 0, F.substr(body, F.lit(1), other - 1)).otherwise(body)
+    imports = F.rtrim(block, F.lit(" \t\n\r\f\x0b"))
+    line_end = F.when(imports != "", F.length(F.regexp_extract(F.substr(block, F.length(imports) + 1), r"\A[^\S\n]*\n?", 0))).otherwise(0)
+    upto = F.length(imports) + line_end
+    first = F.when(F.regexp_like(code, F.lit(_HAS_IMPORT)), "").otherwise(IMPORT_LINE)
+    placed = F.concat(header, first, F.substr(body, F.lit(1), upto), F.lit(LOGGER_LINE), F.substr(body, upto + 1))
+    return F.when(F.contains(code, F.lit("logging.getLogger(__name__)")), F.concat(header, first, body)).otherwise(placed)
 
 
 def safe_fix(files: DataFrame) -> DataFrame:
     """``files`` with the fixed text in ``code``, the old one in ``original`` and the list ``changes``.
 
-    Only Python files that call print are rewritten; the replacement is native, and only those
-    files go to Python for the placement of the header lines.
+    Only Python files that call print are rewritten.
     """
     applies = F.coalesce((text.extension(F.col("path")) == ".py") & F.contains("code", F.lit("print(")), F.lit(False))
-    replaced = F.replace("code", F.lit("print("), F.lit("logger.info("))
-    untouched = files.where(~applies).withColumn("original", F.col("code")).withColumn("changes", F.array().cast("array<string>"))
-    fixed = files.where(applies).withColumn("original", F.col("code")).withColumn("code", _with_logger(replaced)).withColumn(
-        "changes", F.array(F.lit("replace_print_with_logger")))
-    return untouched.unionByName(fixed)
+    logged = with_logger(F.replace("code", F.lit("print("), F.lit("logger.info(")))
+    done, none = F.array(F.lit("replace_print_with_logger")), F.array().cast("array<string>")
+    return files.withColumn("original", F.col("code")).withColumn("changes", F.when(applies, done).otherwise(none)).withColumn(
+        "code", F.when(applies, logged).otherwise(F.col("code")))
 
 
 def backup_rows(fixed: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from codesieve.operators.detect import detect
 from codesieve.operators.findings import as_findings
 
 
-def license_files(files: DataFrame, max_chars: int | None = fv.MAX_FILE_CHARS) -> DataFrame:
-    """Files with one of the exact license basenames; empty and oversize ones are dropped."""
+def license_files(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Files with one of the exact license basenames; empty ones, and ones above ``max_chars`` if given, are dropped."""
     found = files.where(text.basename(F.col("path")).isin(fv.LICENSE_BASENAMES) & (F.col("code") != ""))
     return found if max_chars is None else found.where(F.length("code") <= max_chars)
 

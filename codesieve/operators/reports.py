@@ -49,7 +49,7 @@ def trends(audit: DataFrame) -> DataFrame:
         *[F.count_if(policy == level).alias(level) for level in fv.LEVELS])
 
 
-def recent(audit: DataFrame, n: int = fv.DASHBOARD_ROWS) -> DataFrame:
+def recent(audit: DataFrame, n: int) -> DataFrame:
     """The last rows of the log, newest first; only the top rows of each partition are moved."""
     rows = audit.orderBy(F.col("seq").desc()).limit(n)
     return rows.select(

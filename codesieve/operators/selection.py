@@ -23,16 +23,17 @@ def supported_files(files: DataFrame, extensions: list[str] | None = None, anywh
     return files.where(is_supported(F.col("path"), extensions, anywhere))
 
 
-def size_cap(files: DataFrame, max_chars: int = fv.MAX_FILE_CHARS) -> DataFrame:
-    return files.where(F.length("code") <= max_chars)
+def size_cap(files: DataFrame, max_chars: int | None) -> DataFrame:
+    """Files of at most ``max_chars`` characters; all for None."""
+    return files if max_chars is None else files.where(F.length("code") <= max_chars)
 
 
 def not_removed(changes: DataFrame) -> DataFrame:
     return changes.where("path is not null and path <> '' and (status is null or status <> 'removed')")
 
 
-def change_set(changes: DataFrame, max_files: int = fv.MAX_FILES, max_chars: int = fv.MAX_FILE_CHARS) -> DataFrame:
-    """Files of a change event that are scanned: the first ``max_files`` that pass the filters."""
+def change_set(changes: DataFrame, max_files: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Files of a change event that are scanned: all that pass the filters, or the first ``max_files`` of them."""
     kept = size_cap(supported_files(not_removed(changes), anywhere=True), max_chars)
     return first_n(kept, ["batch_id"], [F.col("file_ord")], max_files)
 

@@ -48,12 +48,14 @@ def ordered_number(df: DataFrame, keys: list[str], order: str, out: str = "rn",
     return ordered_running(df, keys, order, F.lit(1), out, bucket=bucket)
 
 
-def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """First ``n`` rows per key.
+def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int | None) -> DataFrame:
+    """First ``n`` rows per key; all rows for None.
 
-    The planner limits each input partition to ``n`` rows per key before the shuffle, so a hot key
+    Up to 1,000, the planner limits each input partition to ``n`` rows per key before the shuffle, so a hot key
     never arrives whole in one task.
     """
+    if n is None:
+        return df
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("_rn") <= n).drop("_rn")
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve import fixed_values as fv
 from codesieve.operators import changes, enrich, options, selection
 from codesieve.plans.scan import ScanOptions, scan, verdicts
 
 
-def prepare(change_rows: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prepare(change_rows: DataFrame, meta: DataFrame, max_files: int | None = None, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Files to scan and (batch_id, ai_generated) of change events."""
-    files = selection.change_set(change_rows)
+    files = selection.change_set(change_rows, max_files, max_chars)
     flags = meta.select("batch_id", options.ai_generated(
         F.col("config_ai_generated"), F.col("env_value"), F.col("labels"), F.col("config_labels"), F.col("title"), F.col("body"),
         F.col("commit_messages")).alias("ai_generated"))
@@ -20,10 +19,13 @@ def prepare(change_rows: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def report(change_rows: DataFrame, meta: DataFrame, existing: DataFrame | None = None,
-           scan_options: ScanOptions | None = None) -> dict[str, DataFrame]:
-    """Annotations, review comments and the summary with the conclusion, per event."""
-    files, flags = prepare(change_rows, meta)
-    # events are capped at MAX_FILES files, so the flag join moves few files per key
+           scan_options: ScanOptions | None = None, max_files: int | None = None, max_chars: int | None = None,
+           limit: int | None = None) -> dict[str, DataFrame]:
+    """Annotations, review comments and the summary with the conclusion, per event.
+
+    Everything is scanned and reported unless the caller passes a limit.
+    """
+    files, flags = prepare(change_rows, meta, max_files, max_chars)
     flagged = files.join(flags, "batch_id", "left")
     findings = scan(flagged, options=scan_options)
     _, batch = verdicts(flagged, findings)
@@ -36,8 +38,8 @@ def report(change_rows: DataFrame, meta: DataFrame, existing: DataFrame | None =
         .withColumn("summary", changes.summary_text(F.col("overridden")))
     )
     return {
-        "annotations": changes.annotations(findings, files, fv.ANNOTATION_LIMIT),
-        "comments": changes.review_comments(findings, files, changes.diff_lines(files), existing),
-        "highlights": changes.highlights(findings),
+        "annotations": changes.annotations(findings, files, limit),
+        "comments": changes.review_comments(findings, files, changes.diff_lines(files), existing, limit),
+        "highlights": changes.highlights(findings, limit),
         "summary": summary,
     }

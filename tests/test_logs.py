@@ -159,11 +159,22 @@ def test_safe_fix(files, head):
     assert by_path["a.js"].code == code and by_path["c.py"].changes == []
 
 
-def test_header_places():
-    assert fixes.with_logger("#!/x\n# coding\n\n'''d'''\nimport os\n\nf()\n") == (
-        "#!/x\n# coding\n\n'''d'''\nimport logging\nimport os\n\nlogger = logging.getLogger(__name__)\n\nf()\n")
-    assert fixes.with_logger("x\n") == "import logging\n\nlogger = logging.getLogger(__name__)\nx\n"
-    assert fixes.header_length([]) == 0 and fixes.header_length(['"""a\n', "b\n"]) == 2
+LOGGER = "\nlogger = logging.getLogger(__name__)\n"
+
+
+@pytest.mark.parametrize("code, expected", [
+    ("#!/x\n# coding\n\n'''d'''\nimport os\n\nf()\n", "#!/x\n# coding\n\n'''d'''\nimport logging\nimport os\n" + LOGGER + "\nf()\n"),
+    ("x\n", "import logging\n" + LOGGER + "x\n"),
+    ("", "import logging\n" + LOGGER),
+    ('"""a\nb\n', '"""a\nb\nimport logging\n' + LOGGER),
+    ('"""a\nb""" # c\nfrom a import b\n  import c\n\nimport logging\nx\nimport d\n',
+     '"""a\nb""" # c\nfrom a import b\n  import c\n\nimport logging\n' + LOGGER + "x\nimport d\n"),
+    ("import logging\nlog = logging.getLogger(__name__)\n", "import logging\nlog = logging.getLogger(__name__)\n"),
+    ("\n\n  \nf()\n" * 2, "\n\n  \nimport logging\n" + LOGGER + "f()\n\n\n  \nf()\n"),
+])
+def test_logger_placement(spark, code, expected):
+    frame = spark.createDataFrame([(code,)], "code string")
+    assert frame.select(fixes.with_logger(F.col("code"))).first()[0] == expected
 
 
 def test_rewrite_and_errors(files):
