@@ -41,13 +41,15 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     """Hashed features of all words, flat, and the index of each word's first one (n + 1 values)."""
     sizes = ends - starts
     bounds = np.zeros(len(starts) + 1, np.int64)
+    if not len(starts):
+        return bounds[:0], bounds
     np.cumsum(sizes + 3, out=bounds[1:])
     slot = np.full(int(bounds[-1]), 0, np.uint64)
     inner = np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(3 * np.arange(len(starts)), sizes)
-    at = np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if len(starts) else inner
+    at = np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
     code = data.astype(np.uint64)
     before = np.where(at > np.repeat(starts, sizes), code[np.maximum(at - 1, 0)], 0)
-    after = np.where(at < np.repeat(ends - 1, sizes), code[np.minimum(at + 1, len(code) - 1)] if len(code) else 0, 0)
+    after = np.where(at < np.repeat(ends - 1, sizes), code[np.minimum(at + 1, len(code) - 1)], 0)
     slot[inner] = (before << np.uint64(16)) | (code[at] << np.uint64(8)) | after
     head, tail = np.minimum(starts + 4, ends), np.maximum(ends - 4, starts)
     last = bounds[1:] - 1
@@ -196,6 +198,9 @@ def predict(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: s
     nothing was learned; ids may be null or repeat; ties go to the first language by name.
     """
     names = keep or [id_col]
+    if not tagger.labels:
+        nothing = [F.array().cast("array<string>").alias("word_langs")] if word_labels else []
+        return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *nothing)
     sent = docs.sparkSession.sparkContext.broadcast(tagger)  # FEATURES x labels numbers: a fixed size
     with_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     frame = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], with_letter.alias("letters"), F.col(text_col).cast("string").alias("text"))
@@ -207,10 +212,10 @@ def predict(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: s
             for part in text_steps(batch):
                 letters = part.column(len(names)).to_numpy(zero_copy_only=False)
                 means, counts, best, first = label_texts(own, part)
-                known = letters & (counts > 0) & bool(own.labels)
-                top = means.argmax(axis=1) if own.labels else np.zeros(len(known), int)
+                known = letters & (counts > 0)
+                top = means.argmax(axis=1)
                 langs = [own.labels[j] if ok else UNKNOWN for j, ok in zip(top, known, strict=True)]
-                score = np.where(known, np.minimum(means.max(axis=1, initial=0.0), 1.0), 0.0)
+                score = np.where(known, np.minimum(means.max(axis=1), 1.0), 0.0)
                 cols = [part.column(i) for i in range(len(names))] + [pa.array(langs, pa.string()), pa.array(score)]
                 if word_labels:
                     cols.append(pa.array([[own.labels[j] for j in best[first[i]:first[i + 1]]] for i in range(part.num_rows)], pa.list_(pa.string())))
