@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one Python step holds as arrays at a time; longer texts are a step of their own.
@@ -38,6 +38,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def text_sample(rows: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
+    """At most ``n`` different texts (column ``text``), in each group of ``by`` if given: those of the least hashes.
+
+    Only hashes are ranked; the at most ``n`` chosen ones of a group are then sent to the texts.
+    """
+    by = by or []
+    named = rows.withColumn("h", F.xxhash64("text"))
+    keys = named.select(*by, "h").distinct()
+    if by:
+        ranked = keys.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h")))
+        keys = ranked.where(F.col("r") <= n).drop("r")
+    else:
+        keys = keys.orderBy("h").limit(n)
+    return named.join(F.broadcast(keys), [*by, "h"]).dropDuplicates([*by, "h"])
+
+
 def text_steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES, rows: int = 1 << 14):
     """Cut a batch into slices of at most ``limit`` text bytes and ``rows`` rows; a longer text is a slice of its own."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import ascii_lower, mix, text_bytes, text_steps, word_bounds, word_hashes
+from codesieve.llm.common import ascii_lower, mix, text_bytes, text_sample, text_steps, word_bounds, word_hashes
 
 #: Labelled texts per language in the sample, and the longest one that is taken: what the driver holds is bounded.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
@@ -171,9 +171,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     """Train on at most ``per_language`` labelled texts of each language, chosen by a hash of the text, of
     at most ``max_chars`` characters each.  Rows with a null text or language are left out."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    rows = rows.where(F.length("text") <= max_chars).withColumn("h", F.xxhash64("text"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-    return train([(r.text, r.lang) for r in ranked.where(F.col("r") <= per_language).orderBy("lang", "h", "text").collect()])
+    rows = rows.where(F.length("text") <= max_chars)
+    return train([(r.text, r.lang) for r in text_sample(rows, per_language, ["lang"]).orderBy("lang", "h").collect()])
 
 
 def label_texts(tagger: Tagger, part: pa.RecordBatch):

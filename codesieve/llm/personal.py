@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import text_steps
+from codesieve.llm.common import text_sample, text_steps
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts in the sample, and the longest that is taken; stretches of one text that are learned from.
@@ -300,7 +300,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, max_chars
     """Train on at most ``sample`` texts with an at-sign or seven digits in a row, chosen by a hash, of at
     most ``max_chars`` characters."""
     rows = docs.select(F.col(text_col).cast("string").alias("text")).where(F.length("text") <= max_chars).where(F.col("text").rlike("@|[0-9]{7}|[+][0-9]"))
-    return train([r.text for r in rows.orderBy(F.xxhash64("text"), "text").limit(sample).collect()])
+    return train([r.text for r in text_sample(rows, sample).orderBy("h").collect()])
 
 
 def find(own: Field, text: str) -> tuple[list, list]:

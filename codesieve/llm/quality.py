@@ -122,13 +122,14 @@ def vote(space: Space, vectors: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           sample: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> Space:
-    """Fit on at most ``sample`` labelled texts, chosen by a hash of the text, of at most ``max_chars``
+    """Fit on at most ``sample`` labelled texts, drawn by a hash of the id, of at most ``max_chars``
     characters; document frequencies cover all of ``docs``.  Null ids, texts and labels are left out of the sample;
     of several labels of one id the least counts."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chosen = texts.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(marks, "id")
-    rows = chosen.orderBy(F.xxhash64("text"), "id").limit(sample).collect()
+    drawn = marks.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most ``sample`` ids are sent to the texts
+    chosen = texts.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(drawn), "id")
+    rows = chosen.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").collect()
     total, having = frequencies(texts)
     return fit([(r.text, r.y) for r in rows], total, having)
 
