@@ -22,6 +22,8 @@ SAMPLE, SAMPLE_CHARS = 6_000, 50_000
 BINS, RANK, NEIGHBOURS = 4096, 48, 15
 #: Bins that a repeated word fills.
 ECHO = 64
+#: Rounds of subspace iteration, and the columns it carries beyond the rank.
+ROUNDS, SPARE = 24, 16
 #: Rows of one block of histograms and cosines.
 BLOCK = 512
 
@@ -91,18 +93,37 @@ class Space:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def leading_axes(blocks: list[np.ndarray], rank: int, seed: int = 7) -> np.ndarray:
+    """The ``rank`` leading right singular vectors of the stacked blocks, BINS x rank, by subspace iteration: beside the
+    blocks only BINS x (rank + SPARE) numbers are held, never the blocks' BINS x BINS products."""
+    q = np.random.default_rng(seed).standard_normal((BINS, min(BINS, rank + SPARE))).astype(np.float32)
+
+    def squared(q: np.ndarray) -> np.ndarray:
+        out = np.zeros(q.shape)
+        for x in blocks:
+            out += x.T @ (x @ q)
+        return out
+
+    for _ in range(ROUNDS):
+        q = np.linalg.qr(squared(q))[0].astype(np.float32)
+    turn = np.linalg.eigh(q.T.astype(np.float64) @ squared(q))[1][:, ::-1]
+    return (q @ turn[:, :rank]).astype(np.float32)
+
+
 def fit(labelled: list[tuple[str, int]], total: int, having: np.ndarray, rank: int = RANK) -> Space:
     """Latent space of the labelled texts: truncated singular vectors of their weighted unit histograms."""
-    idf = np.log((1 + total) / (1 + having)).astype(np.float32) + 0.1
-    blocks = [histograms(p) * idf for p in text_steps(pa.RecordBatch.from_arrays([pa.array([t for t, _ in labelled], pa.string())], names=["text"]), limit=1 << 20, rows=BLOCK)]
-    x = np.concatenate(blocks) if blocks else np.zeros((0, BINS), np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rank = min(rank, len(x))
-    axes = np.linalg.eigh((x.T @ x).astype(np.float64))[1][:, ::-1][:, :rank].astype(np.float32)
-    space = Space(idf, axes, np.zeros((0, rank), np.float32), np.array([y for _, y in labelled], np.float32))
-    vectors = x @ axes
-    space.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return space
+    idf = np.log((1 + total) / (1 + having)).astype(np.float32) + np.float32(0.1)
+    blocks = []
+    for part in text_steps(pa.RecordBatch.from_arrays([pa.array([t for t, _ in labelled], pa.string())], names=["text"]), limit=1 << 20, rows=BLOCK):
+        x = histograms(part)
+        x *= idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        blocks.append(x)
+    rank = min(rank, len(labelled))
+    axes = leading_axes(blocks, rank)
+    vectors = np.concatenate([x @ axes for x in blocks]) if blocks else np.zeros((0, rank), np.float32)
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    return Space(idf, axes, vectors, np.array([y for _, y in labelled], np.float32))
 
 
 def vote(space: Space, vectors: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
