@@ -35,16 +35,27 @@ class Rule:
     base: bool = False
 
 
+# A private key runs from its BEGIN line over everything but five dashes to its END line.  Without one it runs over header
+# lines, long base64 runs with line breaks (also escaped ones), quotes and blanks between them, and short base64 lines that follow at once.
+# Possessive loops only, so long keys need no stack.
+_KEY = r"[A-Z ]{0,32}PRIVATE KEY(?: BLOCK)?-----"
+_TO_END = rf"[^-]*+(?:-(?!----)[^-]*+)*+-----END {_KEY}"
+_NEW_LINE = r"[ \t]*+(?:\r\n|\r|\n|\\r\\n|\\n|\\r)"
+_HEADER = rf"{_NEW_LINE}(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID):[^\r\n\\]*+"
+_LONG_RUN = r"""(?:[\s"',;+>|#*]|\\[nrt])*+[A-Za-z0-9+/=]{24,}"""
+_SHORT_LINE = rf"""{_NEW_LINE}[ \t"',;>|#*]*+[A-Za-z0-9+/=]++(?=[ \t"',;+)]*+(?![^\r\n\\]))"""
+_NO_END = rf"(?:{_HEADER})*+(?:{_LONG_RUN}|{_SHORT_LINE})*+"
+
 #: The three base rules, then the rules that add spans.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2, True),
     Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 0, True),
     Rule("hex", r"[0-9a-f]{16,}", 0, 0, True),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("pem", rf"-----BEGIN {_KEY}(?:{_TO_END}|{_NO_END})"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pay", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,255}"),
+    Rule("pay", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
 )
 
 # A query is True (no demand), a trigram, or ("and" | "or", frozenset of queries).

@@ -29,3 +29,20 @@ def test_stages(spark, docs, tmp_path):
     out = cp.run(spark, str(tmp_path))
     assert sorted((r.doc_id or 0) for r in out.collect()) == seen[-1] and "n_tokens" in out.columns
     assert cp.near_duplicates(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_nothing_of_a_secret_is_left(spark):
+    body = [("Q9z+/kW3" * 8)[i:] + "Q9z+/kW3"[:i] for i in range(8)] * 2000
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = "\n".join([*body, "Tail9z=="])
+    keys = [f"{begin}\n{lines}\n{end}", f"{begin}\r\n" + lines.replace("\n", "\r\n") + f"\r\n{end}", begin + "\\n" + lines.replace("\n", "\\n") + "\\n" + end,
+            f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n{lines}\n{end}", f"{begin} " + " ".join(body) + f" {end}",
+            f"{begin}\n{lines}", f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n{lines}", begin + "\\n" + lines.replace("\n", "\\n"),
+            "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x-y 1\n\n" + lines + "\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----",
+            begin + "\n" + "\n".join("Q9z+/kW3" for _ in range(50)),
+            "ghp_" + "aB3" * 200, "xoxb-" + "a1-b" * 200, "sk_live_" + "Zz9" * 200]
+    rows = [(i, f"see this:\n{k}\nall other words stay", "en", "s", 0) for i, k in enumerate(keys)]
+    rows.append((len(keys), f"a {begin} names a key\nand {begin}\n{lines}\n{end} ends", "en", "s", 0))
+    out = {r.doc_id: r.text for r in cp.secret_scan(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    assert [out[i] for i in range(len(keys))] == ["see this:\n[secret]\nall other words stay"] * len(keys)
+    assert out[len(keys)] == "a [secret] names a key\nand [secret] ends"
