@@ -34,7 +34,7 @@ from codesieve.llm.common import ascii_lower, components, mix, text_bytes, text_
 WIDTH = 5
 #: A key with more components than this is replaced by the exact search on rare shingles.
 DENSE = 32
-#: Rows of keys that are sent to all tasks instead of moving the texts to them, at most (16 bytes each).
+#: Rows of keys that are sent to all tasks instead of moving the texts to them, at most (32 bytes each).
 BROADCAST_ROWS = 1_000_000
 _RATIO = 1.5
 #: 64-bit numbers of the folded sketch.
@@ -182,8 +182,8 @@ def _named(width):
                 rows = [(len(s), *set_keys(s), sketch(s) if len(s) else None) for s in shingle_sets(part, width)]
                 n, k, k2, bits = zip(*rows, strict=True)
                 fold = [folded(b) if b else None for b in bits]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary()), pa.array(fold, pa.list_(pa.int64()))],
-                                                 names=["id", "n", "k", "k2", "bits", "fold"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary()), pa.array(fold, pa.list_(pa.int64()))],
+                                                 names=["id", "h", "n", "k", "k2", "bits", "fold"])
 
     return step
 
@@ -257,31 +257,33 @@ def _listed(width):
                 ends = np.zeros(len(sets) + 1, np.int32)
                 np.cumsum([len(s) for s in sets], out=ends[1:])
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["k", "id", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["k", "node", "items"])
 
     return step
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Links (x, y, a, b) of pairs (x, y) of class keys, a and b being the least ids of the two classes; classes
+    """Links (x, y, a, b) of pairs (x, y) of class keys, a and b being the numbers of the two classes; classes
     whose 64-bit keys clash are tried one by one."""
     a = classes.selectExpr("k as x", "n as nx", "bits as bx")
     b = classes.selectExpr("k as y", "n as ny", "bits as by")
     sized = pairs.join(a, "x").join(b, "y").where("100 * least(nx, ny) >= 80 * greatest(nx, ny)").select("x", "y", "nx", "ny", "bx", "by")
     likely = written(sized.mapInArrow(_possible, "x bigint, y bigint").distinct())
     sets = _sets(likely.selectExpr("x as k").unionByName(likely.selectExpr("y as k")).distinct(), classes, texts, width)
-    left = sets.selectExpr("k as x", "id as a", "items as left_items")
-    right = sets.selectExpr("k as y", "id as b", "items as right_items")
+    left = sets.selectExpr("k as x", "node as a", "items as left_items")
+    right = sets.selectExpr("k as y", "node as b", "items as right_items")
     common = F.size(F.array_intersect("left_items", "right_items"))
     both = F.size("left_items") + F.size("right_items")
     return likely.join(left, "x").join(right, "y").where(100 * common >= 80 * (both - common)).select("x", "y", "a", "b")
 
 
 def _sets(keys: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(k, id, items) of the classes with some keys, from the text of the class's least id."""
-    members = written(classes.join(keys, "k", "left_semi").selectExpr("k", "rep as id"))
+    """(k, node, items) of the classes with some keys, from the text of the class's least row (id, hash of the text):
+    an id may stand on rows with different texts."""
+    members = written(classes.join(keys, "k", "left_semi").selectExpr("k", "node", "rep as id", "h"))
     chosen = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    return written(texts.join(chosen, "id").dropDuplicates(["id"]).select("k", "id", "text").mapInArrow(_listed(width), "k bigint, id bigint, items array<bigint>"))
+    rows = texts.withColumn("h", F.xxhash64("text")).join(chosen, ["id", "h"]).dropDuplicates(["id", "h"])
+    return written(rows.select("k", "node", "text").mapInArrow(_listed(width), "k bigint, node bigint, items array<bigint>"))
 
 
 def _cross(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -306,25 +308,22 @@ def _rare_pairs(short: DataFrame, sets: DataFrame, classes: DataFrame, found: Da
     Sets of n elements with similarity 0.8 and more share at least ``ceil(0.8 n)``, so in any common
     order one of the first ``n - ceil(0.8 n) + 1`` is shared.
     """
-    items = short.join(sets, "k").select("k", "id", "band", F.size("items").alias("n"), F.explode("items").alias("item"))
+    items = short.join(sets, "k").select("k", "node", "band", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = items.groupBy("band", "item").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("band", "k", "id").orderBy("df", "item")
+    order = Window.partitionBy("band", "k", "node").orderBy("df", "item")
     ranked = items.join(often.where("df > 1"), ["band", "item"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     front = ranked.withColumn("place", F.row_number().over(order)).where("place <= n - ceil(0.8 * n) + 1 and df > 1")
     return _cross(_with_components(front.select(F.xxhash64("band", "item").alias("sig"), "k"), found), classes)
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, n_shingles, component) of every row of ``docs``: components of texts linked at 0.8 and more.
-
-    ``docs`` needs an integer id and a text; further columns are ignored.  A null or wordless text has an
-    empty set and is its own component; rows with the same set are one class; rows with a null id
-    are returned with their set size and a null component, and never name one.  Two different sets with the same 128-bit
-    name would be taken for one (chance below 1e-18 at 1e10 texts).
-    """
+def _classified(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, hash of the text h, n, k, k2) and the classes (k, k2, rep, h, component, head): (rep, h) is the
+    class's least row, ``component`` the least id of all linked classes, ``head`` marks the class that has its least row."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    named = written(texts.mapInArrow(_named(width), "id bigint, n bigint, k bigint, k2 bigint, bits binary, fold array<bigint>"))
-    classes = written(named.where("n > 0 and id is not null").groupBy("k", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fold").alias("fold")))
+    named = written(texts.select("id", F.xxhash64("text").alias("h"), "text").mapInArrow(_named(width), "id bigint, h bigint, n bigint, k bigint, k2 bigint, bits binary, fold array<bigint>"))
+    classes = named.where("n > 0 and id is not null").groupBy("k", "k2").agg(F.min(F.struct("id", "h")).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fold").alias("fold"))
+    # Classes may have the same least id, so each gets a number; being written, it stays.
+    classes = written(classes.select("k", "k2", F.col("least.id").alias("rep"), F.col("least.h").alias("h"), "n", "bits", "fold", F.monotonically_increasing_id().alias("node")))
 
     # Keys shared by two classes and more; each links its classes to the least of them.
     keyed = texts.where("id is not null").mapInArrow(_keyed(width), "sig bigint, k bigint")
@@ -352,6 +351,30 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     short = written(short.unionAll(for_empty).distinct())
     rest = cross.unionByName(_rare_pairs(short, sets, classes, by_key)).distinct()
     links = first.unionByName(_verified(rest, classes, texts, width)).selectExpr("a", "b")
-    whole = named.drop("bits", "fold").join(classes.drop("n", "bits", "fold"), ["k", "k2"], "left").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
-    return whole.select("id", F.col("n").alias("n_shingles"),
-                        F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component"))
+    linked = classes.drop("n", "bits", "fold").join(components(links).withColumnRenamed("component", "c"), "node", "left")
+    linked = written(linked.withColumn("c", F.coalesce("c", "node")))
+    least = written(linked.groupBy("c").agg(F.count("*").alias("many"), F.min(F.struct("rep", "h")).alias("least")).where("many > 1").select("c", "least"))
+    own = F.struct("rep", "h")
+    whole = linked.join(least, "c", "left").withColumn("least", F.coalesce("least", own))
+    return named.select("id", "h", "n", "k", "k2"), whole.select("k", "k2", "rep", "h", F.col("least.rep").alias("component"), (F.col("least") == own).alias("head"))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(id, n_shingles, component) of every row of ``docs``: components of texts linked at 0.8 and more.
+
+    ``docs`` needs an integer id and a text; further columns are ignored.  A null or wordless text has an
+    empty set and is its own component; rows with the same set are one class; rows with a null id
+    are returned with their set size and a null component, and never name one.  An id may stand on rows with different texts: each row
+    gets the component of its own text, and two components without a link may then bear the same id.  Two different sets with the same 128-bit
+    name would be taken for one (chance below 1e-18 at 1e10 texts).
+    """
+    named, classes = _classified(docs, id_col, text_col, width)
+    whole = named.drop("h").join(classes.select("k", "k2", "component"), ["k", "k2"], "left")
+    return whole.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def least_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(id, h) of the rows to keep: of every component the row of least id (and hash of the text, ``xxhash64``), and
+    all rows whose text has no words.  Each (id, h) comes once; rows with a null id are left out."""
+    named, classes = _classified(docs, id_col, text_col, width)
+    return classes.where("head").select(F.col("rep").alias("id"), "h").unionByName(named.where("n = 0 and id is not null").select("id", "h").distinct())

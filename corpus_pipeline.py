@@ -34,11 +34,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each group of linked texts.
 
-    Rows with a null id stay, as do texts without words; of repeated ids one row stays.
+    Rows with a null id stay, as do texts without words; of rows with the same id and text one stays.  An id on rows with
+    different texts is as many documents.
     """
-    groups = jaccard.similar_components(docs).where("id is null or id <> component").select("id").where("id is not null").distinct()
-    kept = docs.select(*COLUMNS).join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")).select(*COLUMNS)
+    least = jaccard.least_rows(docs).toDF("doc_id", "h")
+    rows = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("h"))
+    kept = rows.join(least, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return kept.unionByName(rows.where("doc_id is null")).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,6 +93,14 @@ def test_jaccard_join(spark, odd_docs, no_docs):
     assert jaccard.similar_components(no_docs).count() == 0
 
 
+def test_jaccard_join_with_an_id_on_different_texts(spark):
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    rows = [(5, a), (5, b), (5, c), (7, [*a, "tail"]), (8, [*b, "tail"]), (9, ["head", *c]), (1, [*c, "tail"])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((r.id, r.n_shingles, r.component) for r in jaccard.similar_components(docs).collect())
+    assert got == sorted([(5, 36, 5), (5, 36, 5), (5, 36, 1), (7, 37, 5), (8, 37, 5), (9, 37, 1), (1, 37, 1)])
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(1)
     for n in (3, 60, 700, 3000):

@@ -46,3 +46,10 @@ def test_nothing_of_a_secret_is_left(spark):
     out = {r.doc_id: r.text for r in cp.secret_scan(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
     assert [out[i] for i in range(len(keys))] == ["see this:\n[secret]\nall other words stay"] * len(keys)
     assert out[len(keys)] == "a [secret] names a key\nand [secret] ends"
+
+
+def test_near_duplicates_of_an_id_on_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, b), (5, a), (5, b), (5, c), (5, c), (6, c + " tail"), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()) == [(1, b), (5, a), (5, c), (8, "")]
