@@ -54,6 +54,14 @@ def text_sample(rows: DataFrame, n: int, by: list[str] | None = None) -> DataFra
     return named.join(F.broadcast(keys), [*by, "h"]).dropDuplicates([*by, "h"])
 
 
+def windows_sql(text: str, most: int, pieces: int = 4) -> str:
+    """A text of at most ``most`` characters as it is; of a longer one as many in all, in windows from its start to its end."""
+    each = max(1, most // pieces - 1)
+    place = f"cast(1 + cast(i as bigint) * (length({text}) - {each}) div {pieces - 1} as int)"
+    return (f"CASE WHEN length({text}) <= {most} THEN {text} ELSE"
+            f" array_join(transform(sequence(0, {pieces - 1}), i -> substring({text}, {place}, {each})), ' ') END")
+
+
 def text_steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES, rows: int = 1 << 14):
     """Cut a batch into slices of at most ``limit`` text bytes and ``rows`` rows; a longer text is a slice of its own."""
     col = batch.column(batch.schema.get_field_index(column))

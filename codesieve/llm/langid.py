@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import ascii_lower, mix, text_bytes, text_sample, text_steps, word_bounds, word_hashes
+from codesieve.llm.common import ascii_lower, mix, text_bytes, text_sample, text_steps, windows_sql, word_bounds, word_hashes
 
-#: Labelled texts per language in the sample, and the longest one that is taken: what the driver holds is bounded.
+#: Labelled texts per language in the sample, and the characters taken from each: what the driver holds is bounded.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
 FEATURES = 1 << 16
 BLOCK = 32
@@ -168,10 +168,10 @@ def train(texts: list[tuple[str, str]], rounds: int = 4, rate: float = 0.5, seed
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE,
         max_chars: int = SAMPLE_CHARS) -> Tagger:
-    """Train on at most ``per_language`` labelled texts of each language, chosen by a hash of the text, of
-    at most ``max_chars`` characters each.  Rows with a null text or language are left out."""
+    """Train on at most ``per_language`` labelled texts of each language, chosen by a hash of the text; of
+    longer ones windows of ``max_chars`` characters in all are taken.  Rows with a null text or language are left out."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    rows = rows.where(F.length("text") <= max_chars)
+    rows = rows.withColumn("text", F.expr(windows_sql("text", max_chars)))
     return train([(r.text, r.lang) for r in text_sample(rows, per_language, ["lang"]).orderBy("lang", "h").collect()])
 
 

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import mix, text_bytes, text_steps, word_bounds, word_hashes
+from codesieve.llm.common import mix, text_bytes, text_steps, windows_sql, word_bounds, word_hashes
 
-#: Labelled texts in the sample, and the longest one that is taken: the broadcast is bounded by these.
+#: Labelled texts in the sample, and the characters taken from each: the broadcast is bounded by these.
 SAMPLE, SAMPLE_CHARS = 6_000, 50_000
 BINS, RANK, NEIGHBOURS = 4096, 48, 15
 #: Bins that a repeated word fills.
@@ -143,13 +143,14 @@ def vote(space: Space, vectors: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           sample: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> Space:
-    """Fit on at most ``sample`` labelled texts, drawn by a hash of the id, of at most ``max_chars``
-    characters; document frequencies cover all of ``docs``.  Null ids, texts and labels are left out of the sample;
+    """Fit on at most ``sample`` labelled texts, drawn by a hash of the id among those with a text; of longer ones
+    windows of ``max_chars`` characters in all are taken.  Document frequencies cover all of ``docs``.  Null ids, texts and labels are left out of the sample;
     of several labels of one id the least counts."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    drawn = marks.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most ``sample`` ids are sent to the texts
-    chosen = texts.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(drawn), "id")
+    usable = texts.where("text is not null")
+    drawn = marks.join(usable.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)  # at most ``sample`` ids are sent to the texts
+    chosen = usable.withColumn("text", F.expr(windows_sql("text", max_chars))).join(F.broadcast(drawn), "id")
     rows = chosen.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").collect()
     total, having = frequencies(texts)
     return fit([(r.text, r.y) for r in rows], total, having)

@@ -277,6 +277,18 @@ def test_language(spark, odd_docs, no_docs):
     assert langid.predict(no_docs, langid.fit(no_docs)).count() == 0 and {r.lang_pred for r in langid.predict(odd_docs, langid.train([])).collect()} == {"und"}
 
 
+def test_long_labelled_texts_are_learned(spark):
+    words = {"aa": ["und", "der", "nicht"], "bb": ["the", "of", "and"]}
+    rows = [(i, " ".join(words[lang][(i + j) % 3] for j in range(12_000 if lang == "aa" else 20)), lang) for i, lang in enumerate(["aa", "bb"] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    tagger = langid.fit(docs)
+    assert tagger.labels == ["aa", "bb"]
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, tagger).collect()} == {i: lang for i, _, lang in rows}
+    texts = docs.where("lang = 'aa'").unionByName(docs.selectExpr("doc_id + 100 as doc_id", "cast(null as string) as text", "lang"))
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in [*range(0, 12, 2), *range(100, 112)]], "doc_id long, quality int")
+    assert sorted(quality.train(texts, labels, sample=6).labels.tolist()) == [0, 0, 0, 1, 1, 1]
+
+
 # --- 10: BPE --------------------------------------------------------------------------
 
 
