@@ -3,7 +3,7 @@
 A page is parsed into a tree: tags that HTML lets one leave out are implied, wrongly nested end tags
 close what they can.  The tree is then laid out as text: what rules of visibility hide is left out, blocks stand on
 lines of their own with the spacing of their kind, white space collapses as in a browser, list items
-get markers and indents, and the cells of a table are padded to columns.  All other visible text is kept.
+get markers and indents, and the cells of a table are padded to columns.  Labels of drawings, the symbols of formulas, the values of buttons and what stands in for an object without data are text too.  All other visible text is kept.
 Both steps are loops over explicit stacks, so deep nesting is no limit.
 """
 
@@ -21,7 +21,10 @@ from codesieve.llm.common import text_steps
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object svg math datalist audio video canvas base link meta param source track area".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes datalist audio video canvas base link meta param source track area".split())
+#: Parts of drawings and formulas that are not shown, and those whose text stands apart from its neighbours.
+METADATA = frozenset("annotation annotation-xml defs desc metadata symbol".split())
+APART = frozenset("svg text math mfrac mtd".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address li dt dd tr caption form legend details summary figcaption center option optgroup thead tbody tfoot hgroup search dialog".split())
 #: What a start tag ends if it is open, and up to which element that is looked for.
@@ -149,9 +152,12 @@ def parse(page: str) -> Node:
                 stack[-1].children.append(row)
                 stack.append(row)
                 open_count["tr"] = open_count.get("tr", 0) + 1
+            foreign = value in ("svg", "math") or open_count.get("svg") or open_count.get("math")
+            if foreign and (value in METADATA or attributes.get("display", "").strip() == "none"):
+                attributes["hidden"] = ""
             node = Node(value, attributes)
             stack[-1].children.append(node)
-            if value not in VOID and not (token[3] and value in ("svg", "path", "math")):
+            if value not in VOID and not (token[3] and foreign):
                 stack.append(node)
                 open_count[value] = open_count.get(value, 0) + 1
         elif value == "br":
@@ -169,7 +175,7 @@ def parse(page: str) -> Node:
 def hidden(node: Node) -> bool:
     a = node.attributes
     return (node.tag in HIDDEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden")
-            or (node.tag == "dialog" and "open" not in a) or bool("style" in a and _NOT_SHOWN.search(a["style"])))
+            or (node.tag == "object" and "data" in a) or (node.tag == "dialog" and "open" not in a) or bool("style" in a and _NOT_SHOWN.search(a["style"])))
 
 
 class Flow:
@@ -271,7 +277,13 @@ def render(page: str | None) -> str:
                 flow.finish(True)
                 continue
             if tag in ("input", "img", "wbr"):
+                if tag == "input" and node.attributes.get("type", "").lower() in ("button", "submit", "reset"):
+                    flow.put(f" {node.attributes.get('value', '')} ")
                 continue
+            if tag in APART:
+                flow.put(" ")
+                if tag == "mfrac":  # its parts stand one above the other
+                    node.children = [x for child in node.children for x in (child, " ")]
             if tag in ("td", "th") and tables:
                 flows.append(Flow())
             elif tag in BLOCK:
@@ -328,6 +340,8 @@ def render(page: str | None) -> str:
         elif tag == "pre":
             flow.finish()
             verbatim -= 1
+        elif tag in APART:
+            flow.put(" ")
         if tag in BLOCK:
             flow.block(2 if tag in SPACED and not (lists and tag in ("ul", "ol", "menu")) else 1)
     while len(flows) > 1:

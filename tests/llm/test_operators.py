@@ -59,6 +59,17 @@ def test_rendering(page, text):
     assert render.render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p>let <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation encoding=t>no</annotation></semantics></math> be", "let x= 1 2 be"),
+    ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><defs/><circle r=1 /><text>Up</text><text>Down <tspan>now</tspan></text></svg>b", "a Up Down now b"),
+    ("a<svg><path d='m0 0'/><g><path/></g></svg><svg/>b<desc>c</desc>", "a bc"), ("<svg style='display:none'><text>no</text></svg><svg display=none><text>no</text></svg>a", "a"),
+    ("<form><input type=submit value='Go on'><input type=Button value=Stop><input type=hidden value=no></form>", "Go on Stop"),
+    ("<object><p>instead</object><object data=x>no</object>", "instead"), ("<table><tr><td><math><mn>1</mn></math><td><svg><text>b</text></svg></table>", "1  b"),
+])
+def test_rendering_of_drawings_formulas_and_buttons(page, text):
+    assert render.render(page) == text
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id long, text string, html string")
     assert sorted((r.id or 0, r.text) for r in render.extract(pages).collect()) == [(0, ""), (1, "a"), (1, "a")]
