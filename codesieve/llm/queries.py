@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import bpe, jaccard, langid, nearvec, personal, postings, quality, render, secrets, shards
+from codesieve.llm import bpe, collocations, jaccard, langid, nearvec, packing, personal, postings, quality, render, secrets, shards, spelling
 from codesieve.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,9 +87,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER).withColumnRenamed("id", "doc_id")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+    return pieces.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_jaccard_join, op4_personal_data, op5_near_vectors, op6_quality,
-                            op7_sharding, op8_secret_scan, op9_language, op10_bpe)
+                            op7_sharding, op8_secret_scan, op9_language, op10_bpe, op11_packing, op12_spelling_variants, op13_collocations)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -108,4 +122,42 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op12_spelling_variants": r"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{7,}')) AS w FROM documents) GROUP BY ALL),
+hexed AS (SELECT *, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w) AS x FROM runs),
+sums AS (SELECT w, n, xor(list_reduce([4294967295] || list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM hexed, tab),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % len(w) AS INT)) || substr(w, CAST(h % len(w) AS INT) + 2) ELSE w END AS word, n FROM sums),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, CAST(unnest(range(1, len(word) + 1)) AS INT) AS i FROM words)),
+one AS (SELECT DISTINCT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM cut a JOIN words b ON a.rest = b.word),
+near AS (SELECT a AS word, b AS near, bn AS near_n FROM one UNION ALL SELECT b, a, an FROM one
+  UNION ALL SELECT a.word, b.word, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+ranked AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM near),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN ranked x ON x.word = w.word AND x.r = 1),
+way AS (WITH RECURSIVE steps AS (SELECT word, word AS at FROM forms UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.at WHERE f.form IS NOT NULL)
+  SELECT s.word, s.at AS root FROM steps s JOIN forms f ON f.word = s.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN way USING (word)""",
+    "op13_collocations": r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM pieces, (VALUES (1), (2), (3), (4)) v(k) WHERE len(w) >= k)),
+freq AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM freq WHERE k >= 2),
+cuts AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS c FROM cand),
+scored AS (SELECT x.lang, x.phrase, x.a, c, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM cuts x JOIN freq l ON l.lang = x.lang AND l.phrase = array_to_string(list_slice(w, 1, c), ' ')
+  JOIN freq r ON r.lang = x.lang AND r.phrase = array_to_string(list_slice(w, c + 1, x.k), ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+parts AS (SELECT lang, a, array_to_string(list_slice(w, s, s + m - 1), ' ') AS phrase
+  FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS s FROM cand, (VALUES (2), (3)) v(m) WHERE m < k)),
+longer AS (SELECT lang, phrase, max(a) AS most FROM parts GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM best b JOIN totals t ON t.lang = b.lang LEFT JOIN longer x ON x.lang = b.lang AND x.phrase = b.phrase
+WHERE most IS NULL OR CAST(100 AS HUGEINT) * most < CAST(80 AS HUGEINT) * a
+QUALIFY rank <= 2000""",
 }
