@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.bpe import PATTERN, byte_letters
+from codesieve.llm.bpe import PATTERN, Coder, Model, byte_letters
 from codesieve.llm.common import mix, text_steps, written
 
 #: Buckets of the hashed vector; dimensions it is projected to and bits of each of them in the key.
@@ -46,6 +46,7 @@ class Encoder:
         merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
         if merged != sorted(set(merged)):
             raise ValueError("only models with ids in the order of their merges")
+        self._content, self._slow = content, None
         ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
         self._coding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.size = max([*vocab.values(), *special.values()]) + 1
@@ -56,11 +57,18 @@ class Encoder:
             cut = _BLANK.search(text, at + PIECE)
             if not cut:
                 break
-            found.append(self._coding.encode_to_numpy(text[at:cut.start()], allowed_special="all"))
+            found.append(self._piece(text[at:cut.start()]))
             at = cut.start()
-        found.append(self._coding.encode_to_numpy(text[at:], allowed_special="all"))
+        found.append(self._piece(text[at:]))
         return np.concatenate(found) if len(found) > 1 else found[0]
 
+    def _piece(self, text: str) -> np.ndarray:
+        try:
+            return self._coding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its pattern engine gives up on very long runs of white space
+            self._slow = self._slow or Coder(Model(self._content))
+            return np.array([i for ids in self._slow.encoded(text) for i in ids], np.uint32)
+
 
 def _projection() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((BUCKETS, DIMENSIONS))
