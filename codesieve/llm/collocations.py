@@ -2,7 +2,7 @@
 
 Three passes over the texts.  The first counts the hashed phrases of each length in a sketch: a phrase whose bucket has
 fewer occurrences than asked for cannot have them itself.  The second lists the phrases that are Apriori-safe by the
-sketch, that is with all their parts.  The third counts them exactly: the candidates, in shards of a bounded number
+sketch, that is with all their parts; what a share of the rows lists first, no task lists again.  The third counts them exactly: the candidates, in shards of a bounded number
 of bytes, become byte-level tries in double-array form, which are broadcast one by one; numpy
 advances the states of all text positions together, a byte a level, and bincounts the accepting states at word ends.
 The tasks' counts of a candidate are summed.  Scores, containment and ranks are joins and aggregates of the counts.
@@ -23,6 +23,8 @@ from codesieve.llm.common import ascii_lower, mix, text_bytes, text_steps, word_
 SLICE, LEAST_BITS, MOST_BITS = 1 << 16, 18, 26
 #: Counts that a sketching task holds before it sends them on; phrases that a listing task remembers.
 HELD, KNOWN = 4_000_000, 1_000_000
+#: One row in so many is listed first; at most so many phrases (8 bytes each) found there are sent, so that no task lists them again.
+EARLY, SENT = 16, 4_000_000
 #: Text bytes of a step, and bytes of all candidates of a broadcast trie, which bound its nodes.
 STEP, TRIE_BYTES = 1 << 21, 6 << 20
 #: Parts into which joins and ranks of one key are dealt.
@@ -149,11 +151,12 @@ def _merged(least: int):
     return step
 
 
-def _listed(sketch, bits: int, longest: int):
-    """Phrases all of whose parts pass the sketch: (lang, phrase), each once in a while of a task."""
+def _listed(sketch, bits: int, longest: int, told=None):
+    """Phrases all of whose parts pass the sketch and that are not among the ``told``: (lang, phrase, code), each once in a while of a task."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(t, np.uint8) for t in sketch.value]
+        skipped = told.value if told is not None else np.zeros(0, np.uint64)
         known: set[int] = set()
         for batch in batches:
             for part in text_steps(batch, limit=STEP):
@@ -173,20 +176,23 @@ def _listed(sketch, bits: int, longest: int):
                     pair[chosen[1][0] + 1] = True
                     keep = pair[chosen[0][0]]
                     chosen[0] = chosen[0][0][keep], chosen[0][1][keep]
-                out: list[list] = [[], []]
+                out: list[list] = [[], [], []]
                 langs, data = part.column(0).to_pylist(), words.data.tobytes()
                 for k, (at, h) in enumerate(chosen):
                     h, first = np.unique(h, return_index=True)
-                    at = at[first]
+                    new = np.searchsorted(skipped, h, "left") == np.searchsorted(skipped, h, "right")
+                    h, at = h[new], at[first[new]]
                     for i, row, code in zip(at.tolist(), words.row[at].tolist(), h.tolist(), strict=True):
                         if code in known:
                             continue
                         known.add(code)
                         out[0].append(langs[row])
                         out[1].append(b" ".join(data[words.starts[j]:words.ends[j]] for j in range(i, i + k + 1)))
+                        out[2].append(code)
                 if len(known) > KNOWN:
                     known.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()).cast(pa.string())], names=["lang", "phrase"])
+                columns = [pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()).cast(pa.string()), pa.array(np.array(out[2], np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "code"])
 
     return step
 
@@ -313,7 +319,11 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, lang_col:
     for row in dealt.mapInArrow(_merged(least), "k int, slice int, bits binary").toLocalIterator():  # at most 2^MOST_BITS bits for each length
         tables[row.k - 1][row.slice * SLICE // 8:(row.slice + 1) * SLICE // 8] = row.bits
     sent = spark.sparkContext.broadcast([bytes(t) for t in tables])
-    listed = rows.mapInArrow(_listed(sent, bits, longest), "lang string, phrase string").distinct()
+    kinds = "lang string, phrase string, code bigint"
+    early = written(rows.where(F.rand(7) < 1 / EARLY).mapInArrow(_listed(sent, bits, longest), kinds).distinct())
+    told = spark.sparkContext.broadcast(np.unique(early.select("code").limit(SENT).toArrow()["code"].to_numpy().view(np.uint64)))
+    later = rows.mapInArrow(_listed(sent, bits, longest, told), kinds)
+    listed = later.unionAll(early).select("lang", "phrase").distinct()
     candidates = written(listed.withColumn("id", F.monotonically_increasing_id()))
     total = candidates.agg(F.sum(F.octet_length("phrase").cast("bigint") + 1)).first()[0] or 0
     shards = -(-total // TRIE_BYTES)
