@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import re
 from re import _constants as _c
-from re import _parser as _p
+
+from codesieve.functions.pattern import has_scoped_flags, parsed, translate
 
 # Letters that fold to an ASCII letter under ignore-case but are not changed by lower():
 # long s, dotted capital I, dotless i.  Texts with one of them skip the lower-case gates.
 ODD_FOLDS = ["\u017f", "\u0130", "\u0131"]
 
-_SCOPED_FLAGS = re.compile(r"\(\?[aiLmsux-]+[:)]")
 _CHUNK = 128
 
 
@@ -26,57 +26,18 @@ def sql_str(text: str) -> str:
     return "'" + out.replace("\n", "\\n").replace("\r", "\\r").replace("\x00", "\\0") + "'"
 
 
-def split_flags(pattern: str) -> tuple[str, bool]:
-    """Strip a leading ``(?i)`` and report it."""
-    return (pattern[4:], True) if pattern.startswith("(?i)") else (pattern, False)
+def flags_of(ignore_case: bool = False, multiline: bool = False) -> int:
+    return (re.I if ignore_case else 0) | (re.M if multiline else 0)
 
 
 def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
-    """The Java pattern with the same matches as Python's ``re`` on text."""
-    body, inline_i = split_flags(pattern)
-    out, in_class, i = [], False, 0
-    unicode_class = False
-    while i < len(body):
-        ch = body[i]
-        if ch == "\\" and i + 1 < len(body):
-            esc = body[i + 1]
-            unicode_class |= esc in "sSwWbBdD"
-            if esc == "s":
-                out.append(r"\s\x1C-\x1F" if in_class else r"[\s\x1C-\x1F]")
-            elif esc == "S" and not in_class:
-                out.append(r"[^\s\x1C-\x1F]")
-            elif esc == "Z":
-                out.append(r"\z")
-            else:
-                out.append(body[i:i + 2])
-            i += 2
-            continue
-        if in_class:
-            if ch == "]" and not out[-1].endswith("[") and out[-1] != "^^":
-                in_class = False
-            elif ch == "[":
-                ch = r"\["
-            elif ch == "&":
-                ch = r"\&"
-        elif ch == "[":
-            in_class = True
-            if body[i + 1:i + 2] == "]":  # a leading ] is a member
-                out.append(r"[\]")
-                i += 2
-                continue
-        elif body.startswith("(?P<", i):
-            out.append("(?<")
-            i += 4
-            continue
-        out.append(ch)
-        i += 1
-    flags = "d" + ("iu" if ignore_case or inline_i else "") + ("m" if multiline else "")
-    return f"(?{flags}{'U' if unicode_class else ''})" + "".join(out)
+    """The Java pattern with the same matches as Python's ``re`` on text; raises ``Untranslatable`` if there is none."""
+    return translate(pattern, flags_of(ignore_case, multiline)).java
 
 
 def may_match_empty(pattern: str) -> bool:
     """True when the shortest match is empty, so that spans need the Python twin."""
-    return _p.parse(pattern).getwidth()[0] == 0
+    return parsed(pattern).getwidth()[0] == 0
 
 
 def _sequence_gates(seq) -> tuple[list[list[str]], bool]:
@@ -135,18 +96,17 @@ def required_literals(pattern: str) -> tuple[list[list[str]], bool]:
 
     The second value is True when an occurrence is also sufficient for a match.
     """
-    body, _ = split_flags(pattern)
-    gates, pure = _sequence_gates(list(_p.parse(body)))
+    gates, pure = _sequence_gates(list(parsed(pattern)))
     long_enough = [g for g in gates if min(map(len, g)) >= 2]
     return (long_enough or gates), pure
 
 
 def gate_sql(pattern: str, ignore_case: bool = False, code: str = "code", lowered: str = "hay", odd: str = "odd") -> tuple[str, bool]:
     """A SQL condition that holds whenever the pattern matches; True when it is also sufficient."""
-    _, inline_i = split_flags(pattern)
+    tree = parsed(pattern)
     gates, pure = required_literals(pattern)
-    fold = ignore_case or inline_i
-    if not gates or _SCOPED_FLAGS.search(pattern.removeprefix("(?i)")) or (fold and any(not lit.isascii() for g in gates for lit in g)):
+    fold = ignore_case or bool(tree.state.flags & re.I)
+    if not gates or has_scoped_flags(tree) or (fold and any(not lit.isascii() for g in gates for lit in g)):
         return "true", False
     column = lowered if fold else code
     text = " AND ".join(
@@ -194,8 +154,7 @@ def choose_tokens(literals: list[str]) -> dict[str, str]:
 
 def token_literals(pattern: str) -> list[str] | None:
     """Literals of which at least one occurs in every match, regardless of case; None if unknown."""
-    body, _ = split_flags(pattern)
-    if _SCOPED_FLAGS.search(body):
+    if has_scoped_flags(parsed(pattern)):
         return None
     gates = [g for g in required_literals(pattern)[0] if all(lit.isascii() for lit in g)]
     if not gates:
@@ -251,19 +210,18 @@ def _measure(text: str) -> str:
     return f"(length({text}) + shiftleft(cast(length({text}) - length(replace({text}, '\\n', '')) as bigint), 32))"
 
 
-def _two_pass_spans_sql(code: str, pattern: str, group: str) -> str:
+def _two_pass_spans_sql(code: str, pattern: str, own: str, before: str) -> str:
     """The same for texts that hold all marks: matches and the texts between them from two passes."""
     found = (
-        f"transform(array(named_struct('m', regexp_extract_all({code}, {pattern}, 0),"
-        f" 'g', CASE WHEN {group} = 0 THEN null ELSE regexp_extract_all({code}, {pattern}, {group}) END,"
+        f"transform(array(named_struct('m', regexp_extract_all({code}, {pattern}, 0), 'g', regexp_extract_all({code}, {pattern}, {own}),"
+        f" 'h', transform(coalesce({before}, array()), n -> regexp_extract_all({code}, {pattern}, n)),"
         f" 's', transform(split({code}, {pattern}, -1), x -> {_measure('x')}))),"
-        f" v -> named_struct('m', v.m, 'g', coalesce(v.g, v.m), 's', v.s, 'r',"
+        f" v -> named_struct('m', v.m, 'g', v.g, 'h', v.h, 's', v.s, 'r',"
         f" {running_sums_sql('transform(v.m, (x, i) -> ' + _measure('x') + ' + v.s[i])')}))"
     )
     placed = (
         f"transform({found}, v -> transform(v.m, (x, i) -> named_struct('m', x, 'g', v.g[i],"
-        f" 'b', {sum_before_sql('v.r', 'i')} + v.s[i] + "
-        + _measure("substring(x, 1, instr(x, v.g[i]) - 1)") + ")))[0]"
+        f" 'b', {sum_before_sql('v.r', 'i')} + v.s[i] + aggregate(v.h, 0L, (a, y) -> a + {_measure('y[i]')}))))[0]"
     )
     start = "cast(x.b & 4294967295L as int)"
     return (
@@ -280,32 +238,36 @@ def mark_sql(code: str) -> str:
     return "CASE " + " ".join(f"WHEN NOT contains({code}, '\\u{ord(m):04x}') THEN '\\u{ord(m):04x}'" for m in _MARKS) + " END"
 
 
-def spans_sql(code: str, pattern: str, group: str = "0", mark: str = "mark") -> str:
-    """Array of struct(m, g, start, end, line) of all matches, left to right.
+def spans_sql(code: str, pattern: str, own: str = "0", before: str = "array()", after: str = "array()", mark: str = "mark") -> str:
+    """Array of struct(m, g, start, end, line) of all matches, left to right; start and end are those of g.
 
-    ``pattern`` and ``group`` are SQL expressions: literals or columns.  With group 0 the span is the
-    whole match and ``g`` equals ``m``.  One regex pass puts ``mark`` (see ``mark_sql``) around each
-    match; a plain split then gives texts and matches in turn, and offsets and lines are running
-    sums over them.  Groups are taken from the match text, so patterns with a group must not look
-    beyond their match.
+    ``pattern`` and the groups of its ``Translated`` form are SQL expressions: literals or columns.  With 0 as ``own`` the
+    span is the whole match and ``g`` equals ``m``.  One regex pass puts ``mark`` (see ``mark_sql``) around each
+    match, or around its parts before, in and after the group; a plain split then gives all parts in turn, and offsets and
+    lines are running sums over them.
     """
-    parts = f"split(regexp_replace({code}, {pattern}, concat({mark}, '$0', {mark})), {mark}, -1)"
+    def texts(groups: str) -> str:
+        return f"array_join(transform(coalesce({groups}, array()), n -> concat('$', cast(n as string))), '')"
+
+    grouped = f"concat({mark}, {texts(before)}, {mark}, '$', cast({own} as string), {mark}, {texts(after)}, {mark})"
+    whole = f"concat({mark}, '$0', {mark})"
+    put, step, match = whole, "2", "v.p[i]"
+    if own != "0":
+        put, step = f"CASE WHEN {own} = 0 THEN {whole} ELSE {grouped} END", f"CASE WHEN {own} = 0 THEN 2 ELSE 4 END"
+        match = f"CASE WHEN {own} = 0 THEN v.p[i] ELSE concat(v.p[i - 1], v.p[i], v.p[i + 1]) END"
+    parts = f"split(regexp_replace({code}, {pattern}, {put}), {mark}, -1)"
     summed = (
         f"transform(array({parts}), p -> named_struct('p', p, 'r',"
         f" {running_sums_sql('transform(p, x -> ' + _measure('x') + ')')}))"
     )
-    matches = "transform(filter(sequence(0, size(v.p) - 1), i -> i % 2 = 1), i -> named_struct('m', v.p[i], 'b', " + sum_before_sql("v.r", "i") + "))"
-    grouped = (
-        f"transform(transform({summed}, v -> {matches})[0], x -> named_struct('m', x.m, 'b', x.b,"
-        f" 'g', CASE WHEN {group} = 0 THEN x.m ELSE regexp_extract(x.m, {pattern}, {group}) END))"
-    )
-    base = "(x.b + CASE WHEN " + group + " = 0 THEN 0L ELSE " + _measure("substring(x.m, 1, instr(x.m, x.g) - 1)") + " END)"
-    start = f"cast({base} & 4294967295L as int)"
+    places = f"filter(sequence(0, size(v.p) - 1), i -> i % ({step}) = ({step}) div 2)"
+    found = f"transform({summed}, v -> transform({places}, i -> named_struct('m', {match}, 'g', v.p[i], 'b', {sum_before_sql('v.r', 'i')})))[0]"
+    start = "cast(x.b & 4294967295L as int)"
     marked = (
-        f"transform({grouped}, x -> named_struct('m', x.m, 'g', x.g, 'start', {start},"
-        f" 'end', {start} + length(x.g), 'line', cast(shiftright({base}, 32) + 1 as int)))"
+        f"transform({found}, x -> named_struct('m', x.m, 'g', x.g, 'start', {start},"
+        f" 'end', {start} + length(x.g), 'line', cast(shiftright(x.b, 32) + 1 as int)))"
     )
-    return f"CASE WHEN {mark} IS NULL THEN {_two_pass_spans_sql(code, pattern, group)} ELSE {marked} END"
+    return f"CASE WHEN {mark} IS NULL THEN {_two_pass_spans_sql(code, pattern, own, before)} ELSE {marked} END"
 
 
 def python_spans(pattern: str, text: str, group: int = 0, flags: int = 0) -> list[tuple[str, int, int]]:

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from codesieve import fixed_values as fv
 from codesieve import rules as R
-from codesieve.functions import regex, text
+from codesieve.functions import pattern, regex, text
 from codesieve.operators.findings import as_findings, union_findings
 
 KEYS = ["batch_id", "file_ord", "path"]
 _SPAN = "struct<m:string,g:string,start:int,end:int,line:int>"
-_META = ["family", "detector", "detector_ord", "rule_ord", "pattern_ord", "type", "category", "label", "rule_id",
+HOW = "mode string, java string, own int, before array<int>, after array<int>"
+META = ["family", "detector", "detector_ord", "rule_ord", "pattern_ord", "type", "category", "label", "rule_id",
          "license", "message", "suggestion", "note", "cwe", "owasp", "severity", "pattern"]
 
 
@@ -40,15 +41,17 @@ def _applies(rule: dict, columns: list[str]) -> list[str]:
     return parts
 
 
-def _gate(rule: dict) -> tuple[str, bool]:
-    """Text condition of a rule; True when it decides a rule that only asks for existence."""
+def _gate(rule: dict) -> str:
+    """Text condition of a rule; it decides the rules of mode ``sure``."""
     if rule["kind"] == "restricted":
         quoted = regex.sql_str("(?iu)\\Q" + rule["pattern"] + "\\E")
-        return f"(contains(hay, {regex.sql_str(rule['pattern'].lower())}) OR (odd AND rlike(code, {quoted})))", True
-    return regex.gate_sql(rule["pattern"], bool(rule["ignore_case"]))
+        if not rule["pattern"].isascii():
+            return f"rlike(code, {quoted})"
+        return f"(contains(hay, {regex.sql_str(rule['pattern'].lower())}) OR (odd AND rlike(code, {quoted})))"
+    return regex.gate_sql(rule["pattern"], bool(rule["ignore_case"]))[0]
 
 
-_MARKERS = [regex.split_flags(p)[0] for p in fv.GENERATED_MARKER_PATTERNS]
+_MARKERS = [p.removeprefix("(?i)") for p in fv.GENERATED_MARKER_PATTERNS]
 
 
 def _marker_sql(tokens: dict[str, str]) -> str:
@@ -72,24 +75,54 @@ def _prepared(files: DataFrame, tokens: dict[str, str], *columns: Column | str)
     return lowered.withColumn("found", F.array_distinct(scan))
 
 
-def _twin_hits(gated: DataFrame, rules: list[tuple[int, dict]]) -> DataFrame:
-    """Python twin for user patterns that may match the empty text, which ``split`` cannot place."""
-    compiled = {
-        ix: (re.compile(r["pattern"], (re.I if r["ignore_case"] else 0) | (re.M if r["multiline"] else 0)), r["match_group"] or 0)
-        for ix, r in rules
-    }
+def compiled(rule: dict) -> dict:
+    """How a rule runs: ``mode``, the Java pattern, the groups around the asked one, and why it runs in Python, if so."""
+    out = {"mode": "sure", "java": None, "own": 0, "before": [], "after": [], "reason": None}
+    if rule["kind"] == "restricted":
+        return out
+    flags, group = regex.flags_of(bool(rule["ignore_case"]), bool(rule["multiline"])), rule["match_group"] or 0
+    if rule["exists_only"]:
+        try:
+            sufficient = regex.gate_sql(rule["pattern"], bool(rule["ignore_case"]))[1]
+            return out | {"mode": "sure" if sufficient else "exists", "java": pattern.translate(rule["pattern"], flags).java}
+        except pattern.Untranslatable as e:
+            return out | {"mode": "twin", "reason": str(e)}
+    reason = pattern.python_reason(rule["pattern"], flags, group)
+    if reason:
+        return out | {"mode": "twin", "reason": reason}
+    found = pattern.translate(rule["pattern"], flags, group)
+    return out | {"mode": "spans", "java": found.java, "own": found.own, "before": list(found.before), "after": list(found.after)}
+
+
+def twin_rows(compiled_pattern: re.Pattern, group: int, exists_only: bool, code: str) -> list[tuple]:
+    """(m, g, start, end, line) of Python's matches; one empty row for a rule that asks for existence only.
+
+    Line feeds are counted from match to match, so the work is linear in the text.
+    """
+    if exists_only:
+        return [(None, None, None, None, None)] if compiled_pattern.search(code) else []
+    out, line, at = [], 1, 0
+    for m in compiled_pattern.finditer(code):
+        begin = m.start(group)
+        if begin >= at:
+            line += code.count("\n", at, begin)
+            at = begin
+        here = line if begin >= at else code.count("\n", 0, max(begin, 0)) + 1
+        out.append((m.group(0), m.group(group), begin, m.end(group), here))
+    return out
+
+
+def twin_hits(gated: DataFrame, rules: list[tuple[int, dict]]) -> DataFrame:
+    """Rules whose spans Java cannot give, by Python's ``re``."""
+    how = {ix: (re.compile(r["pattern"], regex.flags_of(bool(r["ignore_case"]), bool(r["multiline"]))), r["match_group"] or 0, bool(r["exists_only"])) for ix, r in rules}
 
     def scan(batches):
         for pdf in batches:
-            out = []
-            for batch_id, file_ord, path, generated, ix, code in zip(
-                    pdf.batch_id, pdf.file_ord, pdf.path, pdf.generated, pdf.rule_ix, pdf.code):
-                pattern, group = compiled[ix]
-                for m in pattern.finditer(code):
-                    begin = m.start(group)
-                    out.append((batch_id, file_ord, path, generated, ix, m.group(0), m.group(group) if group else None, begin,
-                                m.end(group), code.count("\n", 0, begin) + 1))
-            yield pd.DataFrame(out, columns=["batch_id", "file_ord", "path", "generated", "rule_ix", "m", "g", "start", "end", "line"])
+            out = [(batch_id, file_ord, path, generated, ix, *row)
+                   for batch_id, file_ord, path, generated, ix, code in zip(pdf.batch_id, pdf.file_ord, pdf.path, pdf.generated, pdf.rule_ix, pdf.code)
+                   for row in twin_rows(*how[ix], code)]
+            frame = pd.DataFrame(out, columns=["batch_id", "file_ord", "path", "generated", "rule_ix", "m", "g", "start", "end", "line"])
+            yield frame.astype({c: "Int32" for c in ("start", "end", "line")})
 
     schema = ("batch_id string, file_ord bigint, path string, generated boolean, rule_ix int, m string, g string, start int,"
               " end int, line int")
@@ -110,19 +143,15 @@ def rule_hits(files: DataFrame, rules: list[dict]) -> DataFrame:
         *[c for c in ("toggles", "sector", "ai_generated") if c in columns])
     how, candidates, twins = [], [], []
     for ix, rule in enumerate(rules):
-        gate, sufficient = _gate(rule)
+        gate = _gate(rule)
         wanted = [tokens[lit] for lit in per_rule[ix] or []]
         seen = [f"(odd OR {regex.token_condition(wanted, list(tokens.values()))})"] if wanted else []
         condition = " AND ".join([*_applies(rule, columns), *seen, *([] if gate == "true" else [gate])]) or "true"
         candidates.append(f"CASE WHEN {condition} THEN {ix} END")
-        if rule["exists_only"]:
-            mode = "sure" if sufficient else "exists"
-        else:
-            mode = "twin" if regex.may_match_empty(rule["pattern"]) else "spans"
-        if mode == "twin":
+        found = compiled(rule)
+        if found["mode"] == "twin":
             twins.append((ix, rule))
-        java = None if rule["kind"] == "restricted" else regex.java_pattern(rule["pattern"], bool(rule["ignore_case"]), bool(rule["multiline"]))
-        how.append({"rule_ix": ix, "mode": mode, "java": java, "grp": rule["match_group"] or 0})
+        how.append({"rule_ix": ix, **found})
     said = F.coalesce(F.col("ai_generated"), F.lit(False)) if "ai_generated" in columns else F.lit(False)
     # decided before the explode, once per file and in compiled code; only the text goes on
     decided = prepared.select(
@@ -130,20 +159,27 @@ def rule_hits(files: DataFrame, rules: list[dict]) -> DataFrame:
         F.expr(f"array_compact(array({', '.join(candidates)}))").alias("wanted"))
     # outer: an inner explode makes the optimizer copy the whole gate array into a size() > 0 filter
     gated = decided.select(*KEYS, "code", "generated", "mark", F.explode_outer("wanted").alias("rule_ix")).where("rule_ix is not null")
-    modes = R.small_frame(files.sparkSession, how, "rule_ix int, mode string, java string, grp int")
-    native = gated.join(F.broadcast(modes), "rule_ix")  # at most MAX_RULES rows
+    modes = R.small_frame(files.sparkSession, how, "rule_ix int, " + HOW)
+    hits = native_hits(gated.join(F.broadcast(modes), "rule_ix"), bool(twins))  # at most R.PLAN_RULES rows
+    if not twins:
+        return hits
+    return union_findings(hits, twin_hits(gated.where(F.col("rule_ix").isin([ix for ix, _ in twins])), twins))
+
+
+def native_hits(rows: DataFrame, twins: bool) -> DataFrame:
+    """Spans of candidate rows: file keys, code, ``generated``, ``mark``, ``rule_ix`` and the rule's form (``HOW``).
+
+    With ``twins``, rows of rules that run in Python may be among them and are left out.
+    """
     once = "array(named_struct('m', cast(null as string), 'g', cast(null as string), 'start', cast(null as int), 'end', cast(null as int), 'line', cast(null as int)))"
     spans = F.expr(
         f"CASE mode WHEN 'sure' THEN {once} WHEN 'exists' THEN CASE WHEN rlike(code, java) THEN {once} END"
-        f" WHEN 'spans' THEN {regex.spans_sql('code', 'java', 'grp')} END").cast(f"array<{_SPAN}>")
-    hits = native.select(*KEYS, "generated", "rule_ix", "mode", spans.alias("spans"))
+        f" WHEN 'spans' THEN {regex.spans_sql('code', 'java', 'own', 'before', 'after')} END").cast(f"array<{_SPAN}>")
+    hits = rows.select(*KEYS, "generated", "rule_ix", "mode", spans.alias("spans"))
     if twins:
         hits = hits.where("mode <> 'twin'")
-    hits = hits.select(*KEYS, "generated", "rule_ix", F.posexplode_outer("spans").alias("at", "h")).where("at is not null").select(
+    return hits.select(*KEYS, "generated", "rule_ix", F.posexplode_outer("spans").alias("at", "h")).where("at is not null").select(
         *KEYS, "generated", "rule_ix", "h.*")
-    if not twins:
-        return hits
-    return union_findings(hits, _twin_hits(gated.where(F.col("rule_ix").isin([ix for ix, _ in twins])), twins))
 
 
 def _with_suggestions(hits: DataFrame) -> DataFrame:
@@ -162,10 +198,21 @@ def detect(files: DataFrame, rules: DataFrame | list[dict], flag_generated: bool
     ``ai_generated``.  With ``flag_generated``, security findings of generated files are marked
     strict and each gets a suggestion row, which is not strict itself.  A file counts as generated
     when a marker phrase occurs in it or ``ai_generated`` says so.
+
+    Up to ``R.PLAN_RULES`` rules are part of the plan; a longer table is searched by automaton (``repository.detect_table``),
+    with the same findings.
     """
     found = R.collect_rules(rules)
+    if len(found) > R.PLAN_RULES:
+        from codesieve.operators import repository
+
+        return repository.detect_table(files, rules if isinstance(rules, DataFrame) else R.rules_frame(files.sparkSession, found), flag_generated)
     meta = R.small_frame(files.sparkSession, [{**r, "rule_ix": ix} for ix, r in enumerate(found)], "rule_ix int, " + R.RULE_SCHEMA)
-    hits = rule_hits(files, found).join(F.broadcast(meta.select("rule_ix", *_META)), "rule_ix")
+    return findings_of_hits(rule_hits(files, found).join(F.broadcast(meta.select("rule_ix", *META)), "rule_ix"), flag_generated)
+
+
+def findings_of_hits(hits: DataFrame, flag_generated: bool = False) -> DataFrame:
+    """Findings of hits that carry their rule's columns (``META``)."""
     spoken = F.coalesce(F.col("license"), F.col("g"))
     security = F.col("family") == "issues"
     placed = F.col("family") != "license_ip"

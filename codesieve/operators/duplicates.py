@@ -16,6 +16,7 @@ from codesieve.operators.skew import SALTS, salt_of
 
 KEYS = ["batch_id", "file_ord", "path"]
 _LINE_RANGE = 2**31
+_SIZES = ["_min_lines", "_min_chars"]
 
 
 def _let(value: Column, body) -> Column:
@@ -47,10 +48,21 @@ def _repeats(items: Column, shown) -> Column:
     return F.when(has_any, F.flatten(later))
 
 
-def _with_lines(files: DataFrame, min_chars: int = 0) -> DataFrame:
-    """File keys and ``lines``; files shorter than ``min_chars`` get none."""
+def _with_lines(files: DataFrame, min_chars: int | Column = 0) -> DataFrame:
+    """File keys, block sizes that are columns, and ``lines``; files shorter than ``min_chars`` get none."""
     lines = text.split_lines(F.col("code"))
-    return files.select(*KEYS, F.when(F.length("code") >= min_chars, lines).alias("lines") if min_chars else lines.alias("lines"))
+    short = isinstance(min_chars, Column) or min_chars
+    return files.select(*KEYS, *[c for c in _SIZES if c in files.columns], F.when(F.length("code") >= min_chars, lines).alias("lines") if short else lines.alias("lines"))
+
+
+def _sized(files: DataFrame, min_lines: int | Column, min_chars: int | Column) -> tuple[DataFrame, int | Column, int | Column]:
+    """Block sizes that differ by file become columns of the files."""
+    sizes = []
+    for name, size in zip(_SIZES, (min_lines, min_chars)):
+        if isinstance(size, Column):
+            files, size = files.withColumn(name, size.cast("int")), F.col(name)
+        sizes.append(size)
+    return files, *sizes
 
 
 def _line_items(lines: Column) -> Column:
@@ -58,7 +70,7 @@ def _line_items(lines: Column) -> Column:
     return F.filter(keyed, lambda e: e["k"] != "")
 
 
-def _block_items(lines: Column, min_lines: int, min_chars: int) -> Column:
+def _block_items(lines: Column, min_lines: int | Column, min_chars: int | Column) -> Column:
     """struct(k = hash, line, s = snippet) of every full window that is long enough."""
     width = F.lit(min_lines)
 
@@ -103,14 +115,16 @@ def duplicate_lines(files: DataFrame) -> DataFrame:
     return _repeated(_emit(items, _line_repeats(F.col("items"))), _LINE)
 
 
-def near_duplicate_blocks(files: DataFrame, min_lines: int = fv.BLOCK_MIN_LINES, min_chars: int = fv.BLOCK_MIN_CHARS) -> DataFrame:
+def near_duplicate_blocks(files: DataFrame, min_lines: int | Column = fv.BLOCK_MIN_LINES, min_chars: int | Column = fv.BLOCK_MIN_CHARS) -> DataFrame:
     """Later copies of a block of ``min_lines`` lines in the same file."""
+    files, min_lines, min_chars = _sized(files, min_lines, min_chars)
     items = _with_lines(files, min_chars).select(*KEYS, _block_items(F.col("lines"), min_lines, min_chars).alias("items"))
     return _repeated(_emit(items, _block_repeats(F.col("items"))), _BLOCK)
 
 
-def within_file_duplicates(files: DataFrame, min_lines: int = fv.BLOCK_MIN_LINES, min_chars: int = fv.BLOCK_MIN_CHARS) -> DataFrame:
-    """Repeated lines and blocks of a file in one pass over the text."""
+def within_file_duplicates(files: DataFrame, min_lines: int | Column = fv.BLOCK_MIN_LINES, min_chars: int | Column = fv.BLOCK_MIN_CHARS) -> DataFrame:
+    """Repeated lines and blocks of a file in one pass over the text; block sizes may be columns of the files."""
+    files, min_lines, min_chars = _sized(files, min_lines, min_chars)
     items = _with_lines(files).select(
         *KEYS, _line_items(F.col("lines")).alias("lines"), _block_items(F.col("lines"), min_lines, min_chars).alias("blocks"))
 
@@ -138,15 +152,16 @@ def superseded_paths(files: DataFrame) -> DataFrame:
     )
 
 
-def file_blocks(files: DataFrame, min_lines: int = fv.BLOCK_MIN_LINES, min_chars: int = fv.BLOCK_MIN_CHARS) -> DataFrame:
+def file_blocks(files: DataFrame, min_lines: int | Column = fv.BLOCK_MIN_LINES, min_chars: int | Column = fv.BLOCK_MIN_CHARS) -> DataFrame:
     """One narrow row per distinct block of a file: hash, all lines where it starts, snippet."""
+    files, min_lines, min_chars = _sized(files, min_lines, min_chars)
     items = _with_lines(files, min_chars).select(*KEYS, _block_items(F.col("lines"), min_lines, min_chars).alias("items"))
     grouped = F.transform(_runs(F.col("items")), lambda run: F.struct(
         run.getItem(0)["k"].alias("k"), F.transform(run, lambda e: e["line"]).alias("lines"), run.getItem(0)["s"].alias("s")))
     return items.select(*KEYS, grouped.alias("b")).select(*KEYS, F.inline_outer("b")).where("k is not null")
 
 
-def cross_file_duplicates(files: DataFrame, min_lines: int = fv.BLOCK_MIN_LINES, min_chars: int = fv.BLOCK_MIN_CHARS,
+def cross_file_duplicates(files: DataFrame, min_lines: int | Column = fv.BLOCK_MIN_LINES, min_chars: int | Column = fv.BLOCK_MIN_CHARS,
                           unique_paths: bool = False, salts: int = SALTS) -> DataFrame:
     """Copies of a block that first occurs in another file of the batch.
 

@@ -25,13 +25,20 @@ def license_names(license_texts: DataFrame) -> DataFrame:
     return found.groupBy("batch_id", "license").agg(F.min(F.struct("file_ord", "rule_ord")).alias("seen"))
 
 
-def repo_licenses(license_texts: DataFrame, restricted: list[str] | None = None) -> DataFrame:
-    """One finding per distinct license of a batch, one more when its name equals a restricted one."""
+def repo_licenses(license_texts: DataFrame, restricted: list[str] | None = None, batches: DataFrame | None = None) -> DataFrame:
+    """One finding per distinct license of a batch, one more when its name equals a restricted one.
+
+    ``batches`` (batch_id, restricted) gives each batch names of its own in the place of one list for all.
+    """
     names = fv.RESTRICTED_LICENSES if restricted is None else restricted
     low = F.lower("license").isin([n.lower() for n in names]) if names else F.lit(False)
+    found = license_names(license_texts)  # a batch has few names
+    if batches is not None:
+        found = found.join(batches.select("batch_id", "restricted"), "batch_id", "left")
+        low = F.coalesce(F.exists("restricted", lambda n: F.lower(n) == F.lower("license")), F.lit(False))
     kinds = F.when(low, F.array(F.lit("repo_license_detected"), F.lit("restricted_license"))).otherwise(
         F.array(F.lit("repo_license_detected")))
-    rows = license_names(license_texts).select("batch_id", "license", "seen", F.explode(kinds).alias("type"))
+    rows = found.select("batch_id", "license", "seen", F.explode(kinds).alias("type"))
     detected = F.col("type") == "repo_license_detected"
     return as_findings(
         rows, family="repo_license", detector=F.col("type"), detector_ord=F.when(detected, 1).otherwise(2),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codesieve import fixed_values as fv
 from codesieve import rules as R
@@ -32,15 +33,19 @@ def findings_of(files: DataFrame, options: ScanOptions | None = None, license_te
                 extra: list[DataFrame] | None = None) -> DataFrame:
     """All findings without policy levels.
 
-    All pattern rules run in one pass over the text; duplicates and repository licenses are the
-    only other readers of it.
+    All pattern rules run in one pass over the text, but for sector rules of a table longer than ``PLAN_RULES``;
+    duplicates and repository licenses are the only other readers of it.
     """
     o = options or ScanOptions()
     sector = R.sector_rules() if o.sector_rules is None else R.collect_rules(o.sector_rules)
+    long_table = isinstance(o.sector_rules, DataFrame) and len(sector) > R.PLAN_RULES
     if "sector" not in files.columns:  # without a sector per file the default pack applies
         sector = [r for r in sector if r["pack"] == o.sector]
-    rules = R.builtin_rules() + R.restricted_rules(o.restricted) + R.custom_rules(o.custom_rules) + sector
+    rules = R.builtin_rules() + R.restricted_rules(o.restricted) + R.custom_rules(o.custom_rules) + ([] if long_table else sector)
     found = detect.detect(files, rules, flag_generated=True)
+    if long_table:
+        packs = o.sector_rules if "sector" in files.columns else o.sector_rules.where(F.col("pack") == o.sector)
+        found = union_findings(found, detect.detect(files, packs))
     parts = [found, duplicates.within_file_duplicates(files, o.min_lines, o.min_chars)]
     if o.cross_file:
         parts.append(duplicates.cross_file_duplicates(files, o.min_lines, o.min_chars, o.unique_paths))

@@ -36,7 +36,8 @@ FINDING_ORDER = ["detector_ord", "rule_ord", "pattern_ord", "start", "line"]
 CONFIG = (
     "sector string, policy map<string,string>, restricted_licenses array<string>, ip_min_lines int,"
     " ip_min_chars int, copilot_strict boolean, override_allowed boolean, ai_generated boolean,"
-    " ai_generated_labels array<string>, data_residency string"
+    " ai_generated_labels array<string>, data_residency string, coding_standards string,"
+    " coding_standards_builtin map<string,string>"
 )
 
 _AUDIT_FINDING = "struct<type:string,message:string,severity:string,policy_level:string,line:int,start:int,end:int>"
@@ -48,9 +49,9 @@ _AUDIT_ARRAYS = ",".join(
 _COUNTS = "struct<issues:int,coding:int,license_ip:int,sector:int,ai:int,repo_license:int>"
 AUDIT = (
     "timestamp string, audit_id string, request_id string, event string, resolution string, actor string,"
-    " policy string, override_allowed boolean,"
-    f" output struct<{_AUDIT_ARRAYS},findings:map<string,struct<{_AUDIT_ARRAYS}>>,counts:{_COUNTS}>,"
-    " hash string, prev_hash string"
+    " policy string, override_allowed boolean, input string,"
+    f" output struct<policy:string,override_allowed:boolean,files_scanned:bigint,{_AUDIT_ARRAYS},findings:map<string,struct<{_AUDIT_ARRAYS}>>,counts:{_COUNTS}>,"
+    " hash string, prev_hash string, seq bigint, lane int, pos bigint"
 )
 
 STATIC_RESULTS = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codesieve import fixed_values as fv
 from codesieve import schemas
 from codesieve.functions import text
-from codesieve.sources import tree
+from codesieve.sources import audit_log, tree
 
 
 def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = None, exclude_dirs: list[str] | None = None,
@@ -92,19 +92,30 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("scope string, repo string, config_path string, body string").json(path)
 
 
-def effective_config(configs: DataFrame, paths: list[str] | None = None) -> DataFrame:
-    """(repo, config): the first existing file of each repository laid over the organisation's.
+def with_config(rows: DataFrame, configs: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Add ``config`` to rows with a ``repo``: the first existing file of the repository laid over the organisation's.
 
-    ``policy`` is merged by key; other fields of the repository replace the organisation's.
+    A repository without a file has the organisation's configuration; without that all fields are null.
     """
     order = F.array(*[F.lit(p) for p in (paths or fv.CONFIG_PATHS)])
     parsed = configs.withColumn("config", F.from_json("body", schemas.CONFIG))
     own = parsed.where("scope = 'repo'").withColumn("place", F.array_position(order, F.col("config_path"))).where("place > 0")
     w = Window.partitionBy("repo").orderBy("place")  # at most one row per candidate path
-    first = own.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("repo", F.col("config").alias("own"))
-    org = parsed.where("scope = 'org'").groupBy("scope").agg(F.first("config", ignorenulls=True).alias("org"))
-    both = first.withColumn("scope", F.lit("org")).join(F.broadcast(org), "scope", "left")  # at most one row
-    return both.select("repo", overlay(F.col("org"), F.col("own"), first.schema["own"].dataType).alias("config"))
+    first = own.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("repo", F.col("config").alias("_own"))
+    org = parsed.where("scope = 'org'").groupBy("scope").agg(F.first("config", ignorenulls=True).alias("_org"))
+    both = rows.join(first, "repo", "left").withColumn("scope", F.lit("org")).join(F.broadcast(org), "scope", "left")  # at most one row
+    return both.withColumn("config", overlay(F.col("_org"), F.col("_own"), first.schema["_own"].dataType)).drop("scope", "_org", "_own")
+
+
+def effective_config(configs: DataFrame, paths: list[str] | None = None, repos: DataFrame | None = None) -> DataFrame:
+    """(repo, config) of every repository of ``repos``, or of those with a file of their own.
+
+    Fields of the repository replace the organisation's; objects (``policy``, ``coding_standards_builtin``) are merged by key.
+    """
+    if repos is None:
+        known = F.array(*[F.lit(p) for p in (paths or fv.CONFIG_PATHS)])
+        repos = configs.where((F.col("scope") == "repo") & F.array_contains(known, F.col("config_path")))
+    return with_config(repos.select("repo").distinct(), configs, paths).select("repo", "config")
 
 
 def overlay(base: Column, over: Column, schema) -> Column:
@@ -113,7 +124,8 @@ def overlay(base: Column, over: Column, schema) -> Column:
     for f in schema.fields:
         left, right = base[f.name], over[f.name]
         if f.dataType.typeName() == "map":
-            value = F.when(left.isNull(), right).when(right.isNull(), left).otherwise(overlay_maps(left, right))
+            merged = overlay_objects(left, right) if f.name == "coding_standards_builtin" else overlay_maps(left, right)
+            value = F.when(left.isNull(), right).when(right.isNull(), left).otherwise(merged)
         else:
             value = F.coalesce(right, left)
         fields.append(value.alias(f.name))
@@ -125,8 +137,20 @@ def overlay_maps(left: Column, right: Column) -> Column:
     return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)
 
 
+def overlay_objects(left: Column, right: Column) -> Column:
+    """The same for maps of JSON texts; objects on both sides are merged by key once more."""
+    def both(l: Column, r: Column) -> Column:
+        kind = "map<string,boolean>"
+        return F.to_json(overlay_maps(F.from_json(l, kind), F.from_json(r, kind)))
+
+    return F.map_zip_with(left, right, lambda k, l, r: F.when(l.startswith("{") & r.startswith("{"), both(l, r)).when(
+        F.map_contains_key(right, k), r).otherwise(l))
+
+
 def read_audit(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Audit log rows; a malformed line fails the strict read and is skipped otherwise."""
+    """Rows of an audit log, a stored one (``audit_log``) or plain JSON lines; a malformed line fails the strict read and is skipped otherwise."""
+    if audit_log.is_log(spark, path):
+        return audit_log.read(spark, path, strict)
     reader = spark.read.schema(schemas.AUDIT)
     return reader.option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
