@@ -16,6 +16,7 @@ from codesieve.operators import audit as au
 from codesieve.operators import enrich, fixes, limiter, options, reports, review, selection
 from codesieve.plans.scan import scan, verdicts
 from codesieve.session import checkpoint_folder
+from codesieve.sources import audit_log as stored
 from codesieve.sources import readers, writers
 from codesieve.streaming import jobs
 
@@ -271,8 +272,46 @@ def _k2(spark, sf):
     found = scan(files, options=OPTIONS)
     batches = files.select("batch_id").distinct()
     writers.append_audit(au.audit_rows(batches, verdicts(files, found)[1], found), folder)
-    rows = spark.read.json(folder + "/log")
-    return rows.select("request_id", "code", "policy", "files_scanned", F.col("counts.issues").alias("issues"), F.col("counts.license_ip").alias("license_ip"))
+    rows = readers.read_audit(spark, folder)
+    return rows.select("request_id", F.get_json_object("input", "$.code").alias("code"), "policy", F.col("output.files_scanned").alias("files_scanned"),
+                       F.col("output.counts.issues").alias("issues"), F.col("output.counts.license_ip").alias("license_ip"))
+
+
+def _two_appends(spark, sf):
+    """Scan, append the verdicts of half the batches and resolutions of some, then the same for the other half; the folder of the log."""
+    files, folder = corpus(spark, sf), scratch(spark)
+    scan(files, options=OPTIONS).write.parquet(folder + "/found")
+    found = spark.read.parquet(folder + "/found")
+    rows = au.audit_rows(files.select("batch_id").distinct(), verdicts(files, found)[1], found)
+    number = F.regexp_replace("request_id", "src", "").cast("int")
+    for part in (0, 1):
+        writers.append_audit(rows.where(number % 2 == part), folder + "/audit", key=KEY)
+        done = readers.read_audit(spark, folder + "/audit").where((F.col("event").isNull()) & (number % 2 == part) & (number % 3 > 0))
+        for answer in ("accepted", "rejected"):  # the later one counts
+            asked = done.where((number % 3 == 1) | F.lit(answer == "accepted")).select("audit_id", F.lit(answer).alias("resolution"), F.concat(F.lit("u"), "request_id").alias("actor"))
+            writers.append_resolution(asked, folder + "/audit", KEY)
+    return folder + "/audit"
+
+
+_STORED = f"""{ALL}, bv AS (SELECT batch_id, CAST(replace(batch_id, 'src', '') AS INTEGER) AS n, CASE max(r) WHEN 2 THEN 'blocking' WHEN 1 THEN 'warning' ELSE 'advisory' END AS policy FROM rank GROUP BY batch_id)"""
+
+
+@query("K2_K3_J13_W6_stored_log", f"""WITH {_STORED} SELECT batch_id AS request_id, policy, CASE WHEN n % 3 = 0 THEN 'unresolved' WHEN n % 3 = 1 THEN 'rejected' ELSE 'accepted' END AS resolution,
+  CASE WHEN n % 3 > 0 THEN 'u' || batch_id END AS actor, CAST(n % 2 * 3 AS BIGINT) AS epoch, true AS signed, true AS linked FROM bv""")
+def _stored_log(spark, sf):
+    """The stored log after six appends: newest resolution and chain of every batch's row."""
+    folder = _two_appends(spark, sf)
+    rows = au.latest_resolution(readers.read_audit(spark, folder))
+    checked = stored.verify(spark, folder, KEY).select("seq", "hash_ok", "link_ok")
+    return rows.join(checked, "seq").select("request_id", "policy", "resolution", "actor", F.floor(F.col("seq") / stored.EPOCH_ROWS).alias("epoch"),
+                                            F.col("hash_ok").alias("signed"), F.col("link_ok").alias("linked"))
+
+
+@query("A3_S5_summary_of_stored_log", f"""WITH {_STORED}, fam AS (SELECT family, count(*) AS n FROM f GROUP BY family)
+ SELECT count(*) AS total_requests, count(*) FILTER (policy = 'advisory') AS advisory, count(*) FILTER (policy = 'warning') AS warning, count(*) FILTER (policy = 'blocking') AS blocking,
+  {', '.join(f"CAST(coalesce((SELECT n FROM fam WHERE family = '{family}'), 0) AS BIGINT) AS {counter}" for family, _, counter in fv.FAMILIES)} FROM bv""")
+def _stored_summary(spark, sf):
+    return reports.summary(readers.read_audit(spark, _two_appends(spark, sf)))
 
 
 @query("K1_scan_report", f"""WITH {ALL} SELECT files.batch_id, files.path, count(f.type) FILTER (family = 'issues') AS issues, count(f.type) FILTER (family = 'coding') AS coding

@@ -26,24 +26,32 @@ def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+_REDACTED = ["code", "ai_api_key", "repo_license_texts"]
+
+
 def audit_rows(batches: DataFrame, verdicts: DataFrame, findings: DataFrame) -> DataFrame:
-    """One audit row per batch: verdict, redacted request fields and counts per family.
+    """One audit entry per batch: redacted request (``input``), and verdict and counts per family (``output``).
 
-    The findings of a batch are not nested into its row; ``audit_output`` keeps them as a flat,
-    redacted table under the same ``request_id``.
+    The findings of a batch are not nested into its row; ``audit_output`` keeps them as a flat, redacted table under the same
+    ``request_id``, and ``audit_files`` the request's files.
     """
     counts = family_counts(findings, ["batch_id"])
     names = [c for _, _, c in fv.FAMILIES]
     joined = batches.join(verdicts, "batch_id", "left").join(counts, "batch_id", "left")
     counted = F.struct(*[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in names])
+    policy = F.coalesce("policy", F.lit("advisory")) if "policy" in verdicts.columns else F.lit("advisory")
+    allowed = F.coalesce("override_allowed", F.lit(False))
+    asked = [c for c in ("repo", "repo_path", "sector", "pr_number", "commit", "ai_generated", "require_ai_review", "ai_model") if c in batches.columns]
+    hidden = [F.lit("<redacted>").alias(c) for c in _REDACTED if c == "code" or c in batches.columns]
+    output = F.struct(policy.alias("policy"), allowed.alias("override_allowed"), F.coalesce("files_scanned", F.lit(0)).alias("files_scanned"), counted.alias("counts"))
     return joined.select(
-        F.col("batch_id").alias("request_id"),
-        *[c for c in ("repo", "sector", "pr_number", "commit") if c in batches.columns],
-        F.lit("<redacted>").alias("code"),
-        F.coalesce("policy", F.lit("advisory")).alias("policy") if "policy" in verdicts.columns else F.lit("advisory").alias("policy"),
-        F.coalesce("override_allowed", F.lit(False)).alias("override_allowed"),
-        F.coalesce("files_scanned", F.lit(0)).alias("files_scanned"),
-        counted.alias("counts"), F.lit("unresolved").alias("resolution"))
+        F.col("batch_id").alias("request_id"), F.struct(*asked, *hidden).alias("input"), output.alias("output"), policy.alias("policy"),
+        allowed.alias("override_allowed"), F.lit("unresolved").alias("resolution"))
+
+
+def audit_files(files: DataFrame) -> DataFrame:
+    """(request_id, path, size) of a request's files: what its audit entry keeps of them."""
+    return files.select(F.col("batch_id").alias("request_id"), "path", F.length(F.coalesce("code", F.lit(""))).alias("size"))
 
 
 def audit_output(findings: DataFrame) -> DataFrame:
@@ -51,12 +59,6 @@ def audit_output(findings: DataFrame) -> DataFrame:
     return redact_findings(findings).withColumnRenamed("batch_id", "request_id").drop("at_line")
 
 
-def stamp(rows: DataFrame) -> DataFrame:
-    """Add timestamp, audit_id and day before an append.  The ids are random: write the result once."""
-    now = iso_now()
-    return rows.withColumn("timestamp", now).withColumn("audit_id", F.expr("uuid()")).withColumn("day", F.substring(now, 1, 10))
-
-
 def resolution_rows(requests: DataFrame) -> DataFrame:
     """Resolution events from (audit_id, resolution, actor); both ids are required."""
     kept = requests.where("audit_id <> '' and resolution <> ''")

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.operators.audit import audit_output, resolution_rows, stamp
+from codesieve.operators.audit import audit_files, audit_output, resolution_rows
 from codesieve.operators.fixes import backup_rows
+from codesieve.sources import audit_log
 
 PACK_NAME = re.compile(r"[a-zA-Z0-9_-]+")
 
@@ -24,18 +25,18 @@ def write_scan_report(nested: DataFrame, header: DataFrame, path: str, errors: D
         errors.write.mode("overwrite").json(f"{path}/errors")
 
 
-def append_audit(rows: DataFrame, path: str, findings: DataFrame | None = None) -> None:
-    """Append audit rows by day and, when the output is kept, their redacted findings."""
-    stamp(rows).write.mode("append").partitionBy("day").json(f"{path}/log")
+def append_audit(rows: DataFrame, path: str, findings: DataFrame | None = None, key: bytes = b"", files: DataFrame | None = None) -> audit_log.Head:
+    """Append audit entries to the stored log and, when the output is kept, their redacted findings and the files' sizes."""
     if findings is not None:
         audit_output(findings).write.mode("append").parquet(f"{path}/output")
+    if files is not None:
+        audit_files(files).write.mode("append").parquet(f"{path}/input")
+    return audit_log.append(rows, path, key)
 
 
-def append_resolution(requests: DataFrame, path: str) -> None:
+def append_resolution(requests: DataFrame, path: str, key: bytes = b"") -> audit_log.Head:
     """Append resolution events to the same log."""
-    rows = resolution_rows(requests)
-    stamped = rows.withColumn("_id", F.col("audit_id")).drop("audit_id")
-    stamp(stamped).withColumn("audit_id", F.col("_id")).drop("_id").write.mode("append").partitionBy("day").json(f"{path}/log")
+    return audit_log.append(resolution_rows(requests), path, key)
 
 
 def upsert_rulepack(rules: DataFrame, path: str, name: str) -> None:
