@@ -18,7 +18,7 @@ from codesieve.plans.scan import scan, verdicts
 from codesieve.session import checkpoint_folder
 from codesieve.sources import audit_log as stored
 from codesieve.sources import readers, writers
-from codesieve.streaming import jobs
+from codesieve.streaming import batches, jobs
 
 NL = "chr(10)"
 
@@ -261,6 +261,20 @@ def _t1(spark, sf):
     return spark.read.parquet(folder + "/verdicts").select("batch_id", "policy", "files_scanned")
 
 
+@query("T1_split_batches_stream", f"WITH {ALL} SELECT batch_id, CASE max(CASE policy WHEN 'blocking' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'blocking' WHEN 1 THEN 'warning' ELSE 'advisory' END AS policy, count(*) AS files_scanned, true AS complete FROM verdict GROUP BY batch_id")
+def _t1_split(spark, sf):
+    """Files of every batch arrive over several micro-batches; each batch is scanned once, when all its files are there."""
+    folder, files = scratch(spark), corpus(spark, sf)
+    sizes = files.groupBy("batch_id").agg(F.count("*").alias("n_files"))
+    timed = files.join(sizes, "batch_id").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("file_ord") % 3))
+    timed.write.parquet(folder + "/in")
+    schema = "batch_id string, file_ord bigint, path string, code string, n_files bigint, ts timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder + "/in")
+    batches.store_files(stream, folder + "/stored", folder + "/check1").awaitTermination()
+    batches.scan_ended_batches(spark, folder + "/stored", schema, folder + "/findings", folder + "/verdicts", folder + "/check2", OPTIONS).awaitTermination()
+    return spark.read.parquet(folder + "/verdicts/verdicts").select("batch_id", "policy", "files_scanned", "complete")
+
+
 # --- audit rows and scan report ------------------------------------------------------------
 
 
