@@ -44,10 +44,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which one word in twenty lies in benchmark text; rows with a null id stay."""
-    found = postings.contamination(postings.build_index(docs), table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("id").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Drop documents of which one word in twenty lies in benchmark text.
+
+    Each row is judged by its own text: one with a null id goes as any other, and one that shares its id with a
+    contaminated text stays if its own is clean.
+    """
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", F.col("text").cast("string")).alias("row"))
+    found = postings.contamination(postings.build_index(rows, id_col="row"), table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("id").alias("row")).distinct()
+    return rows.join(bad, "row", "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
