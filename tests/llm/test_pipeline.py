@@ -53,3 +53,12 @@ def test_near_duplicates_of_an_id_on_different_texts(spark):
     rows = [(1, b), (5, a), (5, b), (5, c), (5, c), (6, c + " tail"), (8, ""), (8, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()) == [(1, b), (5, a), (5, c), (8, "")]
+
+
+def test_decontamination_judges_each_row_by_its_own_text(spark, tmp_path):
+    leaked, clean = "alpha beta gamma delta here", "plain words about a river"
+    spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(5, leaked), (5, clean), (None, leaked), (None, clean), (6, clean), (7, None), (8, ""), (6, clean)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in cp.decontamination(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert kept == sorted([(5, clean), (None, clean), (6, clean), (7, None), (8, ""), (6, clean)], key=repr)
