@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from codesieve import fixed_values as fv
 
+#: Requests of a client that the stream sorts in memory at a time.
+HELD_ROWS = 100_000
 LIMIT = fv.RATE_RPS * fv.RATE_WINDOW_SECONDS + fv.RATE_BURST
 
 
@@ -91,18 +95,62 @@ def admissions(requests: DataFrame, window: int = fv.RATE_WINDOW_SECONDS, limit:
     return certain.unionByName(decided)
 
 
-def admissions_state(window: int = fv.RATE_WINDOW_SECONDS, limit: int = LIMIT):
-    """State function of the streaming form, for ``applyInPandasWithState``.
+class Admissions(StatefulProcessor):
+    """The streaming form: state of a client are the admitted times of the last window, at most ``limit`` numbers.
 
-    The state holds the admitted times of the last window, at most ``limit`` numbers.
+    Rows of a micro-batch are taken in time order.  Up to ``held_rows`` of them are sorted in memory; more are dealt
+    to time buckets of one window in the state store and taken from there bucket by bucket, so no client is held whole.  The
+    state is dropped when the client was silent for a window.
     """
-    width = window * 1_000_000
-
-    def step(key, batches, state):
-        taken = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(batches)).sort_values(["us", "id"], kind="stable")
-        flags = admit(rows.us.tolist(), width, limit, taken)
-        state.update((list(taken),))
-        yield pd.DataFrame({"client": rows.client, "id": rows.id, "us": rows.us, "admitted": flags})
 
-    return step
+    def __init__(self, window: int, limit: int, held_rows: int = HELD_ROWS):
+        self.width, self.limit, self.held_rows = window * 1_000_000, limit, held_rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.taken = handle.getValueState("taken", "times array<bigint>")
+        self.held = handle.getMapState("held", "bucket bigint, part bigint", "requests binary")
+
+    def _answers(self, key, requests: np.ndarray, taken: deque) -> pd.DataFrame:
+        requests = requests[np.lexsort((requests[:, 1], requests[:, 0]))]
+        flags = admit(requests[:, 0].tolist(), self.width, self.limit, taken)
+        return pd.DataFrame({"client": key[0], "id": requests[:, 1], "us": requests[:, 0], "admitted": flags})
+
+    def handleInputRows(self, key, rows, timerValues):
+        waiting, n, last, parts = [], 0, 0, {}
+        taken = deque(self.taken.get()[0] if self.taken.exists() else ())
+        for pdf in rows:
+            own = pdf[["us", "id"]].to_numpy(np.int64)
+            waiting.append(own)
+            n, last = n + len(own), max(last, int(own[:, 0].max()))
+            if n > self.held_rows:
+                self._put(np.concatenate(waiting), parts)
+                waiting, n = [], 0
+        if parts and waiting:
+            self._put(np.concatenate(waiting), parts)
+        elif waiting:
+            yield self._answers(key, np.concatenate(waiting), taken)
+        for bucket in sorted(parts):
+            names = [(bucket, part) for part in range(parts[bucket])]
+            requests = np.concatenate([np.frombuffer(self.held.getValue(name)[0], np.int64).reshape(-1, 2) for name in names])
+            for name in names:
+                self.held.removeKey(name)
+            yield self._answers(key, requests, taken)
+        self.taken.update((list(taken),))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer((max(last, *taken) if taken else last) // 1000 + self.width // 1000 + 1)
+
+    def _put(self, requests: np.ndarray, parts: dict[int, int]) -> None:
+        buckets = requests[:, 0] // self.width
+        for bucket in np.unique(buckets).tolist():
+            part = parts.get(bucket, 0)
+            self.held.updateValue((bucket, part), (requests[buckets == bucket].tobytes(),))
+            parts[bucket] = part + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.taken.clear()
+        yield pd.DataFrame({"client": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "us": pd.Series([], dtype="int64"), "admitted": pd.Series([], dtype=bool)})
+
+    def close(self) -> None:
+        pass

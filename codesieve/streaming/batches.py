@@ -17,11 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from codesieve.plans.scan import ScanOptions, scan, verdicts
-from codesieve.streaming.jobs import MODES
+from codesieve.streaming.jobs import MODES, ROCKS
 
 #: Folders into which stored files are dealt, so that a completed batch is read from its own folder.
 BUCKETS = 64
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _DONE = "batch_id string, files bigint, complete boolean"
 
 

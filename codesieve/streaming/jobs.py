@@ -8,9 +8,11 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from codesieve import fixed_values as fv
 from codesieve.operators.audit import iso_utc
-from codesieve.operators.limiter import LIMIT, admissions_state
+from codesieve.operators.limiter import HELD_ROWS, LIMIT, Admissions
 from codesieve.plans.scan import ScanOptions, scan, verdicts
 
+#: The state store that timers and lists of state need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MODES = {"available": {"availableNow": True}}
 
 
@@ -49,15 +51,16 @@ def audit_trends(audit: DataFrame, delay: str = "1 hour") -> DataFrame:
     return counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), *fv.LEVELS)
 
 
-def admission_stream(requests: DataFrame, window: int = fv.RATE_WINDOW_SECONDS, limit: int = LIMIT) -> DataFrame:
+def admission_stream(requests: DataFrame, window: int = fv.RATE_WINDOW_SECONDS, limit: int = LIMIT, delay: str = "1 hour",
+                     held_rows: int = HELD_ROWS) -> DataFrame:
     """Admission of arriving requests (client, ts, id) with per-client state.
 
-    Rows of one micro-batch are taken in time order; later micro-batches are not reordered.
+    Rows of one micro-batch are taken in time order; later micro-batches are not reordered, and rows later than the delay are
+    dropped.  A client's state ends when it was silent for a window and the watermark has passed.
     """
-    keyed = requests.select("client", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return keyed.groupBy("client").applyInPandasWithState(
-        admissions_state(window, limit), "client bigint, id bigint, us bigint, admitted boolean", "taken array<bigint>",
-        "append", "NoTimeout")
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    keyed = _timed(requests).withWatermark("ts", delay).select("client", "id", F.unix_micros("ts").alias("us"), "ts")
+    return keyed.groupBy("client").transformWithStateInPandas(Admissions(window, limit, held_rows), "client bigint, id bigint, us bigint, admitted boolean", "Append", "EventTime")
 
 
 def new_comments(comments: DataFrame, delay: str = "1 day") -> DataFrame:

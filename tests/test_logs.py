@@ -55,6 +55,23 @@ def test_admission_stream_over_batches(spark, tmp_path):
     assert got == brute_admissions(rows, 10, 3)
 
 
+@pytest.mark.parametrize("held", [100_000, 5])
+def test_admission_state_ends(spark, tmp_path, held):
+    rng = random.Random(8)
+    parts = [[(c, us + rng.randrange(1000), 1000 * k + i) for i, (c, us) in enumerate((c, us) for c in clients for us in range(start, start + 40_000_000, 1_000_000))]
+             for k, (clients, start) in enumerate([((1, 2), 0), ((2,), 50_000_000), ((2, 3), 200_000_000), ((3,), 400_000_000)])]
+    for part in parts:
+        rng.shuffle(part)
+        frame = spark.createDataFrame(part, "client bigint, us bigint, id bigint").withColumn("ts", F.timestamp_micros("us"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("client bigint, us bigint, id bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        jobs.append_files(jobs.admission_stream(stream, 10, 3, "1 second", held), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == brute_admissions([r for part in parts for r in part], 10, 3)
+    state = spark.read.format("statestore").option("stateVarName", "taken").load(str(tmp_path / "cp")).selectExpr("key.client as client").collect()
+    assert {r.client for r in state} <= {3}
+
+
 def test_chain_finds_the_altered_row(spark):
     rows = spark.createDataFrame([(s, i, json.dumps({"b": i, "a": "ü", "n": None})) for s in (0, 1) for i in range(20)],
                                  "segment bigint, seq bigint, entry string")
