@@ -252,6 +252,15 @@ _cross("D28_W3_J5_cross_file_duplicate", 6, 240)
 _cross("D28_W3_three_line_blocks", 3, 120)
 
 
+@query("D28_W3_two_pass_repeated_paths", f"""WITH {_blocks("base AS (SELECT source AS batch_id, doc_id AS file_ord, source || '/' || doc_id // 40 || '.txt' AS path, text AS code FROM documents), files AS (SELECT batch_id, first AS file_ord, path, code FROM (SELECT *, min(file_ord) OVER p AS first, max(file_ord) OVER p AS last FROM base WINDOW p AS (PARTITION BY batch_id, path)) WHERE file_ord = last)", 3, 120)},
+ o AS (SELECT *, first_value(path) OVER w AS original_file, first_value(line) OVER w AS original_line FROM b WINDOW w AS (PARTITION BY batch_id, k ORDER BY file_ord, line))
+ SELECT path, CAST(line AS INTEGER) AS line, original_file, CAST(original_line AS INTEGER) AS original_line FROM o WHERE path <> original_file""")
+def _d28_two_pass(spark, sf):
+    """Copies across files in two passes, where a path may come twice in a batch: its last text counts, at its first place."""
+    files = docs(spark, sf).withColumn("path", F.concat("batch_id", F.lit("/"), F.floor(F.col("file_ord") / 40).cast("string"), F.lit(".txt")))
+    return duplicates.cross_file_duplicates(files, 3, 120, two_pass=True).select("path", "line", "original_file", "original_line")
+
+
 @query("D28_W3_one_batch", f"""WITH {_blocks("files AS (SELECT 'all' AS batch_id, doc_id AS file_ord, source || '/' || doc_id || '.txt' AS path, text AS code FROM documents)", 6, 240)},
  r AS (SELECT path, line, k,
    first_value(path) OVER (PARTITION BY k ORDER BY file_ord, line) AS original_file,

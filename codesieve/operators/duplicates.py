@@ -6,6 +6,9 @@ files only (batch, block hash, file, line) rows are shuffled, never text.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from codesieve.operators.skew import SALTS, salt_of
 
 KEYS = ["batch_id", "file_ord", "path"]
 _LINE_RANGE = 2**31
+#: Bits (as a power of two) of the table of shared blocks: 16 MB; bits of one of its rows.
+BLOOM_BITS, _WORD_BITS = 27, 32_768
 _SIZES = ["_min_lines", "_min_chars"]
 
 
@@ -70,6 +75,29 @@ def _line_items(lines: Column) -> Column:
     return F.filter(keyed, lambda e: e["k"] != "")
 
 
+def _block(lines: Column, line: Column, width: Column) -> Column:
+    """Text of the block of ``width`` lines that starts at a line."""
+    return text.strip(F.array_join(F.slice(lines, line, width), "\n"))
+
+
+def _block_hashes(lines: Column, min_lines: int | Column, min_chars: int | Column) -> Column:
+    """64-bit hash of every full window, null for those that are too short."""
+    width = F.lit(min_lines)
+
+    def hashes(lines: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(lines) - width + 1), lambda i: _let(
+            _block(lines, i, width), lambda b: F.when(F.length(b) >= min_chars, F.xxhash64("batch_id", b))))
+
+    return F.when(F.size(lines) >= width, hashes(lines))
+
+
+def _some_block_items(lines: Column, min_lines: int | Column, chosen: Column) -> Column:
+    """The items of the windows whose numbers (from 0) are ``chosen``; lines come stripped at their right ends."""
+    width = F.lit(min_lines)
+    return F.transform(chosen, lambda i: _let(_block(lines, i + 1, width), lambda b: F.struct(
+        F.unhex(F.sha2(b, 256)).alias("k"), (i + 1).alias("line"), text.snippet(b, 80).alias("s"))))
+
+
 def _block_items(lines: Column, min_lines: int | Column, min_chars: int | Column) -> Column:
     """struct(k = hash, line, s = snippet) of every full window that is long enough."""
     width = F.lit(min_lines)
@@ -77,7 +105,7 @@ def _block_items(lines: Column, min_lines: int | Column, min_chars: int | Column
     def windows(lines: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(lines) - width + 1)
         blocks = F.transform(starts, lambda i: _let(
-            text.strip(F.array_join(F.slice(lines, i, width), "\n")),
+            _block(lines, i, width),
             lambda b: F.when(F.length(b) >= min_chars, F.struct(
                 F.unhex(F.sha2(b, 256)).alias("k"), i.alias("line"), text.snippet(b, 80).alias("s")))))
         # sequence() would count downwards when the file is shorter than one window
@@ -152,17 +180,76 @@ def superseded_paths(files: DataFrame) -> DataFrame:
     )
 
 
-def file_blocks(files: DataFrame, min_lines: int | Column = fv.BLOCK_MIN_LINES, min_chars: int | Column = fv.BLOCK_MIN_CHARS) -> DataFrame:
-    """One narrow row per distinct block of a file: hash, all lines where it starts, snippet."""
+def _hashed(files: DataFrame, min_lines: int | Column, min_chars: int | Column) -> DataFrame:
+    """File keys, right-stripped lines, and the hash of every block."""
     files, min_lines, min_chars = _sized(files, min_lines, min_chars)
-    items = _with_lines(files, min_chars).select(*KEYS, _block_items(F.col("lines"), min_lines, min_chars).alias("items"))
+    lines = _with_lines(files, min_chars)
+    stripped = lines.withColumn("lines", F.transform("lines", text.rstrip))
+    return stripped.withColumn("hashes", _block_hashes(F.col("lines"), min_lines, min_chars))
+
+
+def shared_block_bits(files: DataFrame, min_lines: int | Column = fv.BLOCK_MIN_LINES, min_chars: int | Column = fv.BLOCK_MIN_CHARS, bits: int = BLOOM_BITS) -> np.ndarray:
+    """Bit table of the hashes of blocks that occur in two files of a batch: ``2**bits`` bits on the driver.
+
+    Only (hash, least and greatest position) are shuffled, after partial aggregation; files whose path occurs again
+    count too, so a bit may be set in vain, but none is missing.
+    """
+    pairs = _hashed(files, min_lines, min_chars).select("file_ord", F.explode(F.array_distinct(F.array_compact("hashes"))).alias("h"))
+    shared = pairs.groupBy("h").agg(F.min("file_ord").alias("lo"), F.max("file_ord").alias("hi")).where("lo < hi")
+    place = F.col("h").bitwiseAND((1 << bits) - 1)
+    words = shared.select(F.floor(place / _WORD_BITS).alias("word"), (place % _WORD_BITS).alias("bit")).groupBy("word").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    table = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    for row in words.toLocalIterator():  # at most 2**bits bits
+        at = row.word * _WORD_BITS // 8
+        table[at:at + len(row.bits)] = np.frombuffer(bytes(row.bits), np.uint8)[:len(table) - at]
+    return table
+
+
+def _chosen(sent, bits: int):
+    """For lists of hashes, the places of those whose bit is set."""
+
+    @F.arrow_udf("array<int>")
+    def places(hashes: pa.Array) -> pa.Array:
+        table = sent.value
+        lengths = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = hashes.flatten()
+        at = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
+        hit = ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & pc.is_valid(flat).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        inner = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(lengths)))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(inner[hit], pa.int32()))
+
+    return places
+
+
+def file_blocks(files: DataFrame, min_lines: int | Column = fv.BLOCK_MIN_LINES, min_chars: int | Column = fv.BLOCK_MIN_CHARS, shared_only: bool = False,
+                bits: int = BLOOM_BITS) -> DataFrame:
+    """One narrow row per distinct block of a file: hash, all lines where it starts, snippet.
+
+    With ``shared_only``, blocks that are surely in one file of their batch only are left out; a job over the files finds the others first.
+    """
+    if shared_only:
+        table = shared_block_bits(files, min_lines, min_chars, bits)
+        if not table.any():
+            shared_only, files = False, files.where(F.lit(False))
+        else:
+            hashed = _hashed(files, min_lines, min_chars)
+            places = _chosen(files.sparkSession.sparkContext.broadcast(table), bits)  # 2**bits bits
+            width = F.col("_min_lines") if "_min_lines" in hashed.columns else min_lines
+            items = hashed.withColumn("chosen", places(F.col("hashes"))).where(F.size("chosen") > 0).withColumn("items", _some_block_items(F.col("lines"), width, F.col("chosen")))
+    if not shared_only:
+        files, min_lines, min_chars = _sized(files, min_lines, min_chars)
+        items = _with_lines(files, min_chars).withColumn("items", _block_items(F.col("lines"), min_lines, min_chars))
+    items = items.select(*KEYS, "items")
     grouped = F.transform(_runs(F.col("items")), lambda run: F.struct(
         run.getItem(0)["k"].alias("k"), F.transform(run, lambda e: e["line"]).alias("lines"), run.getItem(0)["s"].alias("s")))
     return items.select(*KEYS, grouped.alias("b")).select(*KEYS, F.inline_outer("b")).where("k is not null")
 
 
 def cross_file_duplicates(files: DataFrame, min_lines: int | Column = fv.BLOCK_MIN_LINES, min_chars: int | Column = fv.BLOCK_MIN_CHARS,
-                          unique_paths: bool = False, salts: int = SALTS) -> DataFrame:
+                          unique_paths: bool = False, salts: int = SALTS, two_pass: bool = False, bits: int = BLOOM_BITS) -> DataFrame:
     """Copies of a block that first occurs in another file of the batch.
 
     Order is (position of the file, line).  When a path occurs twice in a batch, its last text
@@ -171,8 +258,12 @@ def cross_file_duplicates(files: DataFrame, min_lines: int | Column = fv.BLOCK_M
     A boilerplate block may occur in a third of all files.  First occurrences are therefore
     aggregated per (block, salt) before they meet per block, where at most ``salts`` rows remain,
     and the join back runs on (block, salt).
+
+    With ``two_pass``, a first pass shuffles 64-bit hashes and positions only and leaves a table of ``2**bits`` bits of the blocks in
+    two files; hashes, lines and snippets of the others then never move.  It reads and cuts the text once more, so it pays
+    where the shuffle is the bottleneck and most blocks are in one file only.
     """
-    blocks = file_blocks(files, min_lines, min_chars)
+    blocks = file_blocks(files, min_lines, min_chars, two_pass, bits)
     blocks = blocks.withColumn("pos", F.col("file_ord"))
     if not unique_paths:
         twice = superseded_paths(files)

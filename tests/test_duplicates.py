@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codesieve.operators import duplicates
 
@@ -76,8 +78,8 @@ def test_within_file(spark, seed, parts):
     assert rows(both.where("type = 'ip_near_duplicate'")) == blocks
 
 
-@pytest.mark.parametrize("seed,parts,unique,salts", [(4, 1, True, 32), (5, 7, True, 1), (6, 3, False, 4)])
-def test_across_files(spark, seed, parts, unique, salts):
+@pytest.mark.parametrize("seed,parts,unique,salts,bits", [(4, 1, True, 32, None), (5, 7, True, 1, None), (6, 3, False, 4, None), (6, 3, False, 4, 27), (4, 2, True, 2, 5)])
+def test_across_files(spark, seed, parts, unique, salts, bits):
     rng = random.Random(seed)
     hot = "hot boilerplate block\nwith three lines\nin every third file\n"
     items = [(rng.choice("xyz"), f"p{i}" if unique else f"p{rng.randint(0, 25)}", (hot if rng.random() < 0.4 else "") + c)
@@ -88,7 +90,7 @@ def test_across_files(spark, seed, parts, unique, salts):
     for batch in "xyz":
         want |= {(batch, *x) for x in brute_cross([(p, c) for b, p, c in items if b == batch], 3, 12)}
     got = [(r.batch_id, r.path, r.line, r.original_file, r.original_line, r.snippet)
-           for r in duplicates.cross_file_duplicates(df, 3, 12, unique_paths=unique, salts=salts).collect()]
+           for r in duplicates.cross_file_duplicates(df, 3, 12, unique_paths=unique, salts=salts, two_pass=bits is not None, bits=bits or 27).collect()]
     assert want and len(got) == len(set(got))
     assert set(got) == want
 
@@ -97,3 +99,20 @@ def test_short_files(files):
     f = files("", "a", "a\nb", "x" * 300)
     assert duplicates.near_duplicate_blocks(f).count() == 0
     assert duplicates.cross_file_duplicates(f).count() == 0
+
+
+def test_two_passes_move_shared_blocks_only(spark):
+    shared = "".join(f"line {i} of the part that all files have\n" for i in range(6))
+    rows = [("b", i, f"p{i}", "".join(f"own line {i} {j} of this file\n" for j in range(100)) + shared) for i in range(50)]
+    df = spark.createDataFrame(rows, "batch_id string, file_ord bigint, path string, code string")
+    every, some = duplicates.file_blocks(df, 4, 10), duplicates.file_blocks(df, 4, 10, shared_only=True)
+    assert every.count() == 50 * 103 and some.count() == 50 * 3
+    kept = some.collect()
+    keys = {r.k for r in kept}
+    assert sorted(map(repr, kept)) == sorted(repr(r) for r in every.collect() if r.k in keys)
+    table = duplicates.shared_block_bits(df, 4, 10, bits=20)
+    assert table.nbytes == (1 << 20) // 8 and int(np.unpackbits(table).sum()) == 3
+    sized = df.withColumn("w", F.lit(4)).withColumn("c", F.lit(10))
+    assert duplicates.cross_file_duplicates(sized, F.col("w"), F.col("c"), two_pass=True).count() == 49 * 3
+    alone = df.limit(1)
+    assert duplicates.cross_file_duplicates(alone, 4, 10, two_pass=True).count() == 0
