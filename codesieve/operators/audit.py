@@ -17,6 +17,10 @@ from codesieve.operators.enrich import family_counts, redact_findings
 from codesieve.operators.skew import ordered_running
 
 
+#: Buckets of positions whose sizes are summed at a time when the log is cut.
+CUT_BUCKETS = 4096
+
+
 def iso_now() -> Column:
     """ISO-8601 UTC with microseconds and Z."""
     return iso_utc(F.current_timestamp())
@@ -76,13 +80,44 @@ def latest_resolution(audit: DataFrame) -> DataFrame:
         .withColumn("actor", F.col("last.actor")).withColumn("resolved_at", F.col("last.timestamp")).drop("last", "_own"))
 
 
+def _kept_from(audit: DataFrame, size: Column, budget: int) -> int | None:
+    """The least ``seq`` from which on all newer rows together stay within the budget; None for an empty log.
+
+    Sizes are summed per bucket of positions, at most ``CUT_BUCKETS`` rows come to the driver, and only the bucket in which
+    the budget ends is looked into more closely, until it is a single position.
+    """
+    ends = audit.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    if ends.lo is None:
+        return None
+    lo, hi, taken = ends.lo, ends.hi, 0
+    while True:
+        width = -(-(hi - lo + 1) // CUT_BUCKETS)
+        inside = audit.where(F.col("seq").between(lo, hi)).groupBy(F.expr(f"(seq - {lo}L) div {width}L").alias("b")).agg(F.sum(size.cast("bigint")).alias("n"))
+        cut = None
+        for row in sorted(inside.collect(), key=lambda r: -r.b):
+            if taken + row.n > budget:
+                cut = row.b
+                break
+            taken += row.n
+        if cut is None:
+            return lo
+        lo, hi = lo + cut * width, min(hi, lo + (cut + 1) * width - 1)
+        if lo == hi:
+            return lo + 1
+
+
 def retained(audit: DataFrame, size: Column, max_bytes: int, segments: int = fv.AUDIT_MAX_SEGMENTS) -> DataFrame:
-    """Newest rows whose total size stays within the active and the kept segments, with a segment number."""
+    """Newest rows whose total size stays within the active and the kept segments, with a segment number.
+
+    Where the kept part begins is found from sums per bucket of positions; only its rows, which the budget bounds, are then
+    ordered and numbered.
+    """
     if max_bytes <= 0:
         return audit.withColumn("running", F.lit(None).cast("bigint")).withColumn("segment_no", F.lit(0).cast("bigint"))
-    total = ordered_running(audit, [], "seq", size, "running", descending=True)
-    kept = total.where(F.col("running") <= max_bytes * (segments + 1))
-    return kept.withColumn("segment_no", F.floor((F.col("running") - 1) / max_bytes))
+    first = _kept_from(audit, size, max_bytes * (segments + 1))
+    newest = audit.where(F.lit(False)) if first is None else audit.where(F.col("seq") >= first)
+    total = ordered_running(newest, [], "seq", size, "running", descending=True)
+    return total.withColumn("segment_no", F.floor((F.col("running") - 1) / max_bytes))
 
 
 # --- hash chain -----------------------------------------------------------------------

@@ -44,8 +44,11 @@ def max_files(files: DataFrame, limit: int) -> DataFrame:
 
 
 def chunk_numbers(files: DataFrame, size: int = fv.CHUNK_FILES) -> DataFrame:
-    """(batch_id, file_ord, chunk): consecutive files of a batch in chunks of ``size``."""
-    numbered = ordered_number(files.select("batch_id", "file_ord"), ["batch_id"], "file_ord")
+    """(batch_id, file_ord, chunk): consecutive files of a batch in chunks of ``size``.
+
+    Positions may be hashes (``readers.number_files``): they are numbered in ranges between their quantiles.
+    """
+    numbered = ordered_number(files.select("batch_id", "file_ord"), ["batch_id"], "file_ord", bucket=None)
     return numbered.select("batch_id", "file_ord", F.floor((F.col("rn") - 1) / size).alias("chunk"))
 
 

@@ -24,15 +24,38 @@ def salted_join(left: DataFrame, dim: DataFrame, keys: list[str], spread: str, h
     return left.withColumn("_salt", salt_of(spread, salts)).join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def order_cuts(df: DataFrame, order: str, parts: int | None = None) -> list[int]:
+    """Values of an integer column that part its rows into about equal shares: approximate quantiles, one row to the driver."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts < 2:
+        return []
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = df.agg(F.percentile_approx(order, shares, 20 * parts).alias("q")).first().q
+    return sorted(set(found or []))
+
+
+def _place(order: str, cuts: list[int]) -> Column:
+    """Number of cuts at or below a value: a search through halves, so a row compares with few of them."""
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(order) < F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(cuts)).cast("bigint")
+
+
 def ordered_running(df: DataFrame, keys: list[str], order: str, amount: Column, out: str, descending: bool = False,
-                    bucket: int = ORDER_BUCKET) -> DataFrame:
+                    bucket: int | None = ORDER_BUCKET, parts: int | None = None) -> DataFrame:
     """Running total of ``amount`` in the order of an integer column (unique within its key).
 
     A window over a whole key would be one task.  Here rows are totalled per bucket of the order
     column first, the bucket totals (few rows) get the offsets, and the row-level window only
-    spans one bucket.
+    spans one bucket.  Buckets are ``bucket`` wide; with None they are ``parts`` ranges between quantiles of the column
+    (as many as shuffle partitions by default), which also serves positions that are hashes.
     """
-    numbered = df.withColumn("_bucket", F.floor(F.col(order) / bucket)).withColumn("_amount", amount.cast("bigint"))
+    place = F.floor(F.col(order) / bucket) if bucket else _place(order, order_cuts(df, order, parts))
+    numbered = df.withColumn("_bucket", place).withColumn("_amount", amount.cast("bigint"))
     totals = numbered.groupBy(*keys, "_bucket").agg(F.sum("_amount").alias("_total"))
     by_bucket = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     before = Window.partitionBy(*keys).orderBy(by_bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -43,8 +66,8 @@ def ordered_running(df: DataFrame, keys: list[str], order: str, amount: Column,
     return joined.withColumn(out, F.col("_offset") + F.sum("_amount").over(inside)).drop("_bucket", "_amount", "_offset")
 
 
-def ordered_number(df: DataFrame, keys: list[str], order: str, out: str = "rn", bucket: int = ORDER_BUCKET) -> DataFrame:
-    """1-based position inside each key, in the order of an integer column."""
+def ordered_number(df: DataFrame, keys: list[str], order: str, out: str = "rn", bucket: int | None = ORDER_BUCKET) -> DataFrame:
+    """1-based position inside each key, in the order of an integer column; for ``bucket`` see ``ordered_running``."""
     return ordered_running(df, keys, order, F.lit(1), out, bucket=bucket)
 
 

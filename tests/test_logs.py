@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codesieve.functions import text
 from codesieve.operators import audit as au
 from codesieve.operators import fixes, limiter, options, review, selection
+from codesieve.operators import selection, skew
 from codesieve.operators.skew import first_n, ordered_running, salted_join
 from codesieve.rules import pack_rules, rules_frame
 from codesieve.sources import readers, writers
@@ -103,6 +104,43 @@ def test_ordered_running(spark, descending):
     assert got == want
 
 
+def test_hashed_positions_are_numbered_in_even_ranges(spark):
+    files = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("b"), F.col("id") % 50)).alias("batch_id"), F.xxhash64("id").alias("file_ord"))
+    cuts = skew.order_cuts(files, "file_ord", 16)
+    sizes = files.groupBy(skew._place("file_ord", cuts).alias("p")).count().collect()
+    assert len(cuts) == 15 and len(sizes) == 16 and max(r["count"] for r in sizes) < 2 * 20_000 / 16
+    numbered = skew.ordered_running(files, ["batch_id"], "file_ord", F.lit(1), "rn", bucket=None, parts=16)
+    got = {(r.batch_id, r.file_ord): r.rn for r in numbered.collect()}
+    by_batch = {}
+    for b, o in sorted(got):
+        by_batch.setdefault(b, []).append(o)
+    assert got == {(b, o): i for b, orders in by_batch.items() for i, o in enumerate(orders, 1)}
+    chunks = selection.chunk_numbers(files, 100).groupBy("batch_id", "chunk").count().where("batch_id = 'hot'").collect()
+    assert sorted(r["count"] for r in chunks)[1:] == [100] * (len(chunks) - 1)
+    assert skew.ordered_number(files.where("false"), ["batch_id"], "file_ord", bucket=None).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [4096, 2, 7])
+def test_retention_keeps_the_newest_rows(spark, monkeypatch, buckets):
+    monkeypatch.setattr(au, "CUT_BUCKETS", buckets)
+    rng = random.Random(9)
+    rows = [((1 << 55) + i * rng.randrange(1, 1 << 30), rng.randrange(0, 60)) for i in range(500)]
+    rows = list({s: (s, n) for s, n in rows}.values())
+    log = spark.createDataFrame(rows, "seq bigint, bytes bigint")
+    for most, segments in ((100, 3), (1, 0), (10**6, 1), (37, 5)):
+        got = {r.seq: (r.running, r.segment_no) for r in au.retained(log, F.col("bytes"), most, segments).collect()}
+        want, running = {}, 0
+        for s, n in sorted(rows, reverse=True):
+            running += n
+            if running <= most * (segments + 1):
+                want[s] = (running, (running - 1) // most)
+        assert got == want
+    assert au.retained(log.where("false"), F.col("bytes"), 10).count() == 0
+    assert au.retained(log, F.col("bytes"), 0).count() == len(rows)
+    plan = au.retained(log, F.col("bytes"), 100, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "seq#" in plan and ">= " in plan
+
+
 def test_salted_join_and_first_n(spark):
     left = spark.range(1000).selectExpr("'hot' as k", "id as file_ord").unionByName(spark.range(3).selectExpr("'none' as k", "id as file_ord"))
     dim = spark.createDataFrame([("hot", 7)], "k string, v int")
