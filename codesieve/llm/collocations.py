@@ -229,6 +229,16 @@ class Trie:
         self.check[slot[child]] = slot[parent]
         self.accept[slot[node]] = np.arange(len(node))
 
+    def arrays(self) -> tuple:
+        """The trie as plain values: a broadcast names the classes in it, which workers may not have on their path."""
+        return self.roots, self.base, self.check, self.accept
+
+    @classmethod
+    def of(cls, arrays: tuple) -> Trie:
+        own = cls.__new__(cls)
+        own.roots, own.base, own.check, own.accept = arrays
+        return own
+
     def count(self, batch: pa.RecordBatch, sums: np.ndarray) -> None:
         """Add the occurrences of all phrases in a batch (lang, text) to ``sums``."""
         words = Words(batch)
@@ -292,7 +302,7 @@ def _placed(parent: np.ndarray, symbol: np.ndarray, child: np.ndarray, nodes: in
 
 def _counts(trie, ids):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names = trie.value, ids.value
+        own, names = Trie.of(trie.value), ids.value
         sums = np.zeros(len(names), np.int64)
         for batch in batches:
             for part in text_steps(batch, limit=STEP):
@@ -330,7 +340,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, lang_col:
     counts = spark.createDataFrame([], "id bigint, f bigint")
     for shard in range(shards):
         own = candidates.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)) == shard).toArrow()  # about TRIE_BYTES
-        trie = spark.sparkContext.broadcast(Trie(own["lang"].to_pylist(), own["phrase"].combine_chunks()))
+        trie = spark.sparkContext.broadcast(Trie(own["lang"].to_pylist(), own["phrase"].combine_chunks()).arrays())
         ids = spark.sparkContext.broadcast(own["id"].to_numpy())
         counts = counts.unionAll(written(rows.mapInArrow(_counts(trie, ids), "id bigint, f bigint")))
         trie.unpersist()

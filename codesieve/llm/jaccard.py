@@ -22,7 +22,6 @@ all its classes to the least one, and only keys that still hold several componen
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +80,24 @@ def band_of(n: int) -> int:
     return b
 
 
-@lru_cache(maxsize=4096)
+def _remembered(f):
+    """Keep results by their number.  (``lru_cache`` would be pickled by name, and workers may not have the package.)"""
+    known: dict = {}
+
+    def g(b: int):
+        if b not in known:
+            known[b] = f(b)
+        return known[b]
+
+    return g
+
+
+@_remembered
 def band_low(b: int) -> int:
     return math.ceil(_RATIO**b)
 
 
-@lru_cache(maxsize=4096)
+@_remembered
 def allocation(b: int) -> tuple[int, int, int]:
     """(segments, of them with deletions, slack) of a band, at the least expected number of index rows.
 
