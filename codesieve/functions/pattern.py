@@ -20,10 +20,11 @@ MANY = 1000
 _WORD = {False: r"\p{L}\p{N}_", True: "a-zA-Z0-9_"}
 _DIGIT = {False: r"\p{Nd}", True: "0-9"}
 _SPACE = {False: r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}", True: r"\t-\r\x20"}
-_CLASSES = {_c.CATEGORY_WORD: _WORD, _c.CATEGORY_DIGIT: _DIGIT, _c.CATEGORY_SPACE: _SPACE}
-_NOT_CLASSES = {_c.CATEGORY_NOT_WORD: _WORD, _c.CATEGORY_NOT_DIGIT: _DIGIT, _c.CATEGORY_NOT_SPACE: _SPACE}
-_REPEATS = {_c.MAX_REPEAT: "", _c.MIN_REPEAT: "?", _c.POSSESSIVE_REPEAT: "+"}
-_SINGLE = (_c.LITERAL, _c.NOT_LITERAL, _c.IN, _c.ANY)
+# by name: the constants themselves cannot be pickled, and tasks take these functions by value
+_CLASSES = {"CATEGORY_WORD": _WORD, "CATEGORY_DIGIT": _DIGIT, "CATEGORY_SPACE": _SPACE}
+_NOT_CLASSES = {"CATEGORY_NOT_WORD": _WORD, "CATEGORY_NOT_DIGIT": _DIGIT, "CATEGORY_NOT_SPACE": _SPACE}
+_REPEATS = {"MAX_REPEAT": "", "MIN_REPEAT": "?", "POSSESSIVE_REPEAT": "+"}
+_SINGLE = ("LITERAL", "NOT_LITERAL", "IN", "ANY")
 
 
 class Untranslatable(ValueError):
@@ -56,7 +57,7 @@ def has_scoped_flags(items) -> bool:
 def _inner(op, av) -> list:
     if op is _c.SUBPATTERN:
         return [av[3]]
-    if op in _REPEATS:
+    if op.name in _REPEATS:
         return [av[2]]
     if op is _c.BRANCH:
         return list(av[1])
@@ -78,7 +79,7 @@ def _groups(items) -> set[int]:
 def _even(items) -> bool:
     """True when all matches have one length and there is one way to find them, so that Java repeats it in a loop."""
     return all(
-        op in _SINGLE or op is _c.AT or (op is _c.SUBPATTERN and _even(av[3])) or (op in _REPEATS and av[0] == av[1] and _even(av[2])) for op, av in items)
+        op.name in _SINGLE or op is _c.AT or (op is _c.SUBPATTERN and _even(av[3])) or (op.name in _REPEATS and av[0] == av[1] and _even(av[2])) for op, av in items)
 
 
 def _char(code: int) -> str:
@@ -114,7 +115,7 @@ def _edge(items, ascii_only: bool, first: bool) -> bool | None:
             return kinds.pop() if len(kinds) == 1 else None
         if op is _c.SUBPATTERN and not (av[1] or av[2]) and len(av[3]):
             return _edge(av[3], ascii_only, first)
-        if op in _REPEATS and av[0] >= 1 and len(av[2]):
+        if op.name in _REPEATS and av[0] >= 1 and len(av[2]):
             return _edge(av[2], ascii_only, first)
         if op is _c.BRANCH:
             kinds = {_edge(b, ascii_only, first) for b in av[1]}
@@ -191,19 +192,19 @@ class _Writer:
             if any_case and ascii_only:
                 raise Untranslatable("a group is named regardless of ASCII case")
             return f"(?:\\{self.numbers[av]})"
-        if op in _REPEATS:
+        if op.name in _REPEATS:
             low, high, inner = av
             if high > 1 and inner.getwidth()[0] == 0:
                 raise Untranslatable("what is repeated may be empty")
             if high > MANY and not _even(inner):
                 raise Untranslatable("Java would repeat it by recursion")
             body = self.sequence(inner, flags, behind)
-            if len(inner) != 1 or inner[0][0] not in (*_SINGLE, _c.SUBPATTERN, _c.BRANCH, _c.ATOMIC_GROUP):
+            if len(inner) != 1 or inner[0][0].name not in (*_SINGLE, "SUBPATTERN", "BRANCH", "ATOMIC_GROUP"):
                 body = f"(?:{body})"
             times = {(0, 1): "?", (0, _c.MAXREPEAT): "*", (1, _c.MAXREPEAT): "+"}.get((low, high))
             if times is None:
                 times = "{%d}" % low if low == high else "{%d,}" % low if high == _c.MAXREPEAT else "{%d,%d}" % (low, high)
-            return body + times + _REPEATS[op]
+            return body + times + _REPEATS[op.name]
         raise Untranslatable("it asks whether a group was found" if op is _c.GROUPREF_EXISTS else f"unknown element {op}")
 
     def _anchor(self, where, items, i: int, flags: int) -> str:
@@ -235,11 +236,11 @@ def _class(members, ascii_only: bool) -> str:
             parts.append(_char(value))
         elif kind is _c.RANGE:
             parts.append(f"{_char(value[0])}-{_char(value[1])}")
-        elif value in _CLASSES:
-            parts.append(_CLASSES[value][ascii_only])
+        elif value.name in _CLASSES:
+            parts.append(_CLASSES[value.name][ascii_only])
         else:
             nested = True
-            parts.append(f"[^{_NOT_CLASSES[value][ascii_only]}]")
+            parts.append(f"[^{_NOT_CLASSES[value.name][ascii_only]}]")
     if not negated:
         return f"[{''.join(parts)}]"
     return f"(?:(?![{''.join(parts)}])(?s:.))" if nested else f"[^{''.join(parts)}]"

@@ -106,6 +106,13 @@ class _Lookup:
         if places:
             self.automaton.make_automaton()
 
+    @classmethod
+    def of(cls, parts: dict) -> _Lookup:
+        """From its parts: a broadcast names the classes in it, which workers may not have on their path."""
+        own = cls.__new__(cls)
+        own.__dict__.update(parts)
+        return own
+
     def candidates(self, repo: str | None, code: str | None) -> list[int]:
         """Rules of the repository, or of all, whose literals occur in the text."""
         scopes = [s for s in ((None, repo) if repo is not None else (None,)) if s in self.scopes]
@@ -129,7 +136,7 @@ class _Lookup:
 
 def _named(lookup, code_at: int, repo_at: int):
     def step(batches):
-        own = lookup.value
+        own = _Lookup.of(lookup.value)
         for batch in batches:
             wanted = [own.candidates(r, c) for r, c in zip(batch.column(repo_at).to_pylist(), batch.column(code_at).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wanted, pa.list_(pa.int32()))], names=[*batch.schema.names, "wanted"])
@@ -152,7 +159,7 @@ def _applies(columns: list[str]) -> Column:
 def _part(files: DataFrame, rows: list, columns: list[str]) -> DataFrame:
     """Hits of one part of the rule table, with the rules' columns."""
     spark = files.sparkSession
-    lookup = spark.sparkContext.broadcast(_Lookup(rows))  # at most TABLE_BYTES of rules
+    lookup = spark.sparkContext.broadcast(vars(_Lookup(rows)))  # at most TABLE_BYTES of rules
     names = files.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
     named = files.mapInArrow(_named(lookup, names.index("code"), names.index("repo")), kinds + ", wanted array<int>")

@@ -122,3 +122,25 @@ def test_configuration_drives_a_scan(spark):
     assert {r.batch_id: r.policy for r in per_batch.collect()}["x"] == "blocking" and per_file.count() == 8
     again = {r.scope for r in configured.configured_batches(batches, configs(spark)).collect()}
     assert len(again) == 2
+
+
+def test_task_functions_can_be_shipped_by_value(spark):
+    """Sessions that were started from another folder have no package on their workers' path."""
+    from pyspark import cloudpickle
+
+    import codesieve
+    from codesieve.operators import duplicates, limiter
+    from codesieve.sources import audit_log
+    from codesieve.streaming import batches
+
+    class Table:
+        value = None
+
+    parts = [repository._searched, repository._named(Table, 0, 1), repository._Lookup, detect.twin_rows, batches.Arrivals(1), limiter.Admissions(1, 1),
+             audit_log._chained(audit_log.Head(0, 1, {}), b"k"), duplicates._chosen(Table, 5).func]
+    cloudpickle.register_pickle_by_value(codesieve)
+    try:
+        sizes = [len(cloudpickle.dumps(p)) for p in parts]
+    finally:
+        cloudpickle.unregister_pickle_by_value(codesieve)
+    assert min(sizes) > 500
