@@ -286,14 +286,21 @@ def _d29(spark, sf):
     return licenses.repo_licenses(corpus(spark, sf)).select("batch_id", "license", "type", "message", "severity")
 
 
-@query("A8_distinct_licenses", f"""WITH {CORPUS}, f AS ({license_sql()}),
- n AS (SELECT batch_id, license, min(file_ord * 1000 + rule_ord) AS seen FROM f GROUP BY ALL)
- SELECT batch_id, license, row_number() OVER (PARTITION BY batch_id ORDER BY seen, license) AS position FROM n""")
+_TWO_IDS = CORPUS.replace("text || chr(10) || snippet AS code", "text || chr(10) || snippet || CASE WHEN doc_id % 7 = 0 THEN ' SPDX-License-Identifier: Z-' || doc_id % 3 || ' SPDX-License-Identifier: A-1' ELSE '' END AS code")
+
+
+@query("A8_distinct_licenses", f"""WITH {_TWO_IDS}, m AS (
+  {" UNION ALL ".join(f"SELECT batch_id, file_ord, {k + 1} AS rule_ord, {'l' if name == 'spdx' else f'list_transform(l, lambda x: {_sql(name)})'} AS l FROM (SELECT batch_id, file_ord, regexp_extract_all(code, {_sql('(?i)' + p)}, {1 if name == 'spdx' else 0}) AS l FROM files)" for k, (name, p) in enumerate(fv.LICENSE_PATTERNS))}),
+ f AS (SELECT batch_id, file_ord, rule_ord, unnest(l) AS license, generate_subscripts(l, 1) AS nth FROM m),
+ n AS (SELECT batch_id, license, min({{'f': file_ord, 'r': rule_ord, 'a': nth}}) AS seen FROM f GROUP BY ALL)
+ SELECT batch_id, license, row_number() OVER (PARTITION BY batch_id ORDER BY seen) AS position FROM n""")
 def _a8(spark, sf):
     from pyspark.sql import Window
 
-    names = licenses.license_names(corpus(spark, sf))
-    w = Window.partitionBy("batch_id").orderBy("seen", "license")  # a batch has few distinct names
+    k = F.col("file_ord")
+    more = F.concat(F.lit(" SPDX-License-Identifier: Z-"), (k % 3).cast("string"), F.lit(" SPDX-License-Identifier: A-1"))
+    names = licenses.license_names(corpus(spark, sf).withColumn("code", F.concat("code", F.when(k % 7 == 0, more).otherwise(""))))
+    w = Window.partitionBy("batch_id").orderBy("seen")  # a batch has few distinct names
     return names.select("batch_id", "license", F.row_number().over(w).cast("bigint").alias("position"))
 
 

@@ -170,38 +170,40 @@ def _ann(spark, sf):
 _MARK = _sql(fv.REVIEW_MARKER)
 # Some comments were posted before: those on files with an even position.
 _POSTED = f"""posted AS (SELECT batch_id, path, line, message || {NL} || {_MARK} AS body FROM placed WHERE file_ord % 4 = 0),
- visible AS (SELECT batch_id, path, CAST(unnest(range(1, 400)) AS INTEGER) AS line FROM files)"""
+ visible AS (SELECT batch_id, path, CAST(unnest(range(1, length(code) - length(replace(code, {NL}, '')) + 2)) AS INTEGER) AS line FROM files)"""
 
 
 @query("J7_J8_L3_review_comments", f"""WITH {_ANN}, {_POSTED} SELECT batch_id, path, line, 'RIGHT' AS side, message || {NL} || {_MARK} AS body FROM placed
- WHERE line BETWEEN 1 AND 399 AND file_ord % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY file_ord, ord, start) <= 50""")
+ WHERE line % 5 <> 3 AND file_ord % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY file_ord, ord, start) <= 50""")
 def _j7(spark, sf):
     files, found = corpus(spark, sf), _plain_security(spark, sf)
     located = changes.locate(found)
     posted = located.where("file_ord % 4 = 0").select(
         "batch_id", "path", "line", F.concat(changes.message_text(), F.lit("\n" + fv.REVIEW_MARKER)).alias("body"))
-    visible = files.select("batch_id", "path", F.explode(F.sequence(F.lit(1), F.lit(399))).alias("line"))
+    n_lines = F.length("code") - F.length(F.replace("code", F.lit("\n"), F.lit(""))) + 1
+    visible = files.select("batch_id", "path", F.explode(F.sequence(F.lit(1), n_lines)).alias("line")).where("line % 5 <> 3")
     return changes.review_comments(found, files, visible, changes.existing_comments(posted), fv.ANNOTATION_LIMIT)
 
 
 @query("S9_U2_existing_comments", f"""WITH conv AS (SELECT conv_id, turn, text FROM conversations)
- SELECT DISTINCT conv_id AS batch_id, 'f' || (turn % 2) AS path, CAST(turn % 3 AS INTEGER) AS line, substr(text, 1, 3) || {_MARK} AS body
+ SELECT DISTINCT conv_id AS batch_id, 'f' || (turn % 2) AS path, CAST(turn % 3 AS INTEGER) AS line, text || {_MARK} AS body
  FROM conv WHERE turn % 3 > 0 AND conv_id % 2 = 0""")
 def _s9(spark, sf):
     c = table(spark, sf, "conversations")
     mark = F.when(F.col("conv_id") % 2 == 0, fv.REVIEW_MARKER).otherwise("")
     rows = c.select(
         F.col("conv_id").alias("batch_id"), F.concat(F.lit("f"), (F.col("turn") % 2).cast("string")).alias("path"),
-        (F.col("turn") % 3).cast("int").alias("line"), F.concat(F.substring("text", 1, 3), mark).alias("body"))
+        (F.col("turn") % 3).cast("int").alias("line"), F.concat("text", mark).alias("body"))
     return changes.existing_comments(rows)
 
 
-@query("U4_new_comments", f"""WITH c AS (SELECT conv_id, turn, substr(text, 1, 2) AS body FROM conversations)
- SELECT conv_id, turn FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.body = c.body AND d.turn % 2 = 0)""")
+@query("U4_new_comments", f"""WITH c AS (SELECT conv_id // 3 AS batch_id, conv_id, turn, role, text FROM conversations)
+ SELECT conv_id, turn FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.batch_id = c.batch_id AND d.role = c.role AND d.text = c.text AND d.turn % 2 = 0 AND d.text <> '')""")
 def _u4(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 2).alias("body"))
-    old = c.where("turn % 2 = 0").select("conv_id", "body").dropDuplicates()
-    return c.join(old, ["conv_id", "body"], "left_anti").select("conv_id", "turn")
+    """Comments of three conversations a batch; those of even turns were posted before."""
+    c = table(spark, sf, "conversations").select(
+        F.floor(F.col("conv_id") / 3).alias("batch_id"), F.col("role").alias("path"), F.lit(1).alias("line"), F.col("text").alias("body"), "conv_id", "turn")
+    return changes.new_comments(c, changes.existing_comments(c.where("turn % 2 = 0"), marker="")).select("conv_id", "turn")
 
 
 # Change metadata from conversations: title and body are the first turns, messages all turns.

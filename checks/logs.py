@@ -24,8 +24,10 @@ NL = "chr(10)"
 
 
 def scratch(spark) -> str:
-    """A new folder: on the shared storage the cluster names, else a temporary one (tests)."""
+    """A new folder: on the shared storage the cluster names, else, on a local master only, a temporary one."""
     shared = checkpoint_folder(spark)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="scan-")
 
 
@@ -471,11 +473,11 @@ def _x4(spark, sf):
     return review.review(corpus(spark, sf), reviewer, max_chars=10_000_000).select("path", "type", "explanation")
 
 
-@query("F25_strip_fence", "SELECT doc_id, text FROM documents")
+@query("F25_strip_fence", r"SELECT doc_id, regexp_replace(text || chr(10), '^[ \t\n\x0B\f\r]+', '') AS text FROM documents")
 def _f25(spark, sf):
     d = table(spark, sf, "documents")
     fenced = F.concat(F.lit("```python\n"), "text", F.lit("\n```\n"))
-    return d.select("doc_id", F.substring(text.strip_fence(fenced), F.lit(1), F.length("text")).alias("text"))
+    return d.select("doc_id", text.strip_fence(fenced).alias("text"))
 
 
 @query("D30_missing_key", """SELECT doc_id AS file_ord, f AS family, 'ai_review_missing_key' AS type, 'blocking' AS severity

@@ -246,12 +246,17 @@ def _j10(spark, sf):
     f"('{pack}', '{rid}', '{kind}', '{sev}', {_sql(p)}, {n})" for pack, rid, kind, sev, _m, ps in fv.SECTOR_RULES for p in ps
     for n in [0]) + ") AS r(pack, rule_id, type, severity, pattern, zero) JOIN (SELECT source, ['finance','healthcare','telecom','public_sector','government'][CAST(replace(source,'src','') AS INTEGER) % 5 + 1] AS pack, count(*) AS n_files FROM documents GROUP BY ALL) USING (pack)")
 def _s3(spark, sf):
+    from checks.logs import scratch
     from codesieve.rules import rules_frame, sector_rules
+    from codesieve.sources import readers
 
-    names = F.array(*[F.lit(x) for x in ["finance", "healthcare", "telecom", "public_sector", "government"]])
+    packs, folder = ["finance", "healthcare", "telecom", "public_sector", "government"], scratch(spark) + "/packs"
+    names = F.array(*[F.lit(x) for x in packs])
     wanted = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n_files")).withColumn(
         "pack", F.element_at(names, F.regexp_replace("source", "src", "").cast("int") % 5 + 1))
-    rules = rules_frame(spark, sector_rules()).select("pack", "rule_id", "type", "severity", "pattern", F.lit(0).alias("zero"))
+    rules_frame(spark, sector_rules()).write.partitionBy("pack").parquet(folder)
+    stored = [readers.read_rulepacks(spark, folder, pack).select("pack", "rule_id", "type", "severity", "pattern", F.lit(0).alias("zero")) for pack in packs]
+    rules = stored[0].unionByName(stored[1]).unionByName(stored[2]).unionByName(stored[3]).unionByName(stored[4])
     return wanted.join(F.broadcast(rules), "pack")
 
 

@@ -114,13 +114,19 @@ def existing_comments(comments: DataFrame, marker: str = fv.REVIEW_MARKER) -> Da
     return kept.select("batch_id", "path", "line", "body").dropDuplicates()
 
 
+def new_comments(comments: DataFrame, existing: DataFrame) -> DataFrame:
+    """Comments that were not posted before with the same batch, path, line and body."""
+    keys = ["batch_id", "path", "line", "body"]
+    return comments.join(existing.select(*keys), keys, "left_anti")
+
+
 def review_comments(findings: DataFrame, files: DataFrame | None, changed: DataFrame, existing: DataFrame | None = None,
                     limit: int | None = None, marker: str = fv.REVIEW_MARKER) -> DataFrame:
     """Comments on changed lines that were not posted before; the first ``limit`` of a batch if given."""
     placed = _placed(findings, files).withColumn("body", F.concat("message", F.lit("\n" + marker)))
     placed = placed.join(changed.select("batch_id", "path", "line"), ["batch_id", "path", "line"], "left_semi")
     if existing is not None:
-        placed = placed.join(existing.select("batch_id", "path", "line", "body"), ["batch_id", "path", "line", "body"], "left_anti")
+        placed = new_comments(placed, existing)
     top = first_n(placed, ["batch_id"], _order(), limit)
     return top.select("batch_id", "path", "line", F.lit("RIGHT").alias("side"), "body")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codesieve import fixed_values as fv
 from codesieve import rules as R
 from codesieve.functions import text
-from codesieve.operators.detect import detect
+from codesieve.operators.detect import rule_hits
 from codesieve.operators.findings import as_findings
 
 
@@ -19,10 +19,14 @@ def license_files(files: DataFrame, max_chars: int | None = None) -> DataFrame:
 
 
 def license_names(license_texts: DataFrame) -> DataFrame:
-    """(batch_id, license, seen): distinct names per batch with the place where each is first seen."""
-    found = detect(license_texts, R.license_rules())
-    # offsets are not part of license findings; the order of patterns inside a text decides
-    return found.groupBy("batch_id", "license").agg(F.min(F.struct("file_ord", "rule_ord")).alias("seen"))
+    """(batch_id, license, seen): distinct names per batch with the place where each is first seen.
+
+    ``seen`` is the position of the text, the pattern, and the place in the text, in this order.
+    """
+    rules = R.license_rules()
+    named = R.small_frame(license_texts.sparkSession, [{"rule_ix": ix, "rule_ord": r["rule_ord"], "name": r["license"]} for ix, r in enumerate(rules)], "rule_ix int, rule_ord int, name string")
+    found = rule_hits(license_texts, rules).join(F.broadcast(named), "rule_ix").withColumn("license", F.coalesce("name", "g"))
+    return found.groupBy("batch_id", "license").agg(F.min(F.struct("file_ord", "rule_ord", "start")).alias("seen"))
 
 
 def repo_licenses(license_texts: DataFrame, restricted: list[str] | None = None, batches: DataFrame | None = None) -> DataFrame:

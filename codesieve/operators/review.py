@@ -54,9 +54,13 @@ def static_severity(col: Column) -> Column:
 
 
 def prompt(code: Column, path: Column, language: Column, patch: Column, repo: Column, pr_number: Column, commit: Column,
-           generated: Column, max_chars: Column) -> Column:
-    """Review prompt of one file; the text is cut at the limit and says so."""
-    limit = F.when(max_chars > 0, max_chars).otherwise(F.lit(fv.REVIEW_MAX_CHARS))
+           generated: Column, max_chars: Column | None = None) -> Column:
+    """Review prompt of one file: with its whole text, or cut at a limit, which it then says.
+
+    In a limit column, values that are not positive stand for the documented default.
+    """
+    limit = None if max_chars is None else F.when(max_chars > 0, max_chars).otherwise(F.lit(fv.REVIEW_MAX_CHARS))
+    cut = [] if limit is None else [F.when(F.length(code) > limit, "Note: File content truncated for analysis.")]
 
     def told(value: Column) -> Column:
         return F.coalesce(value.cast("string"), F.lit("None"))
@@ -69,8 +73,8 @@ def prompt(code: Column, path: Column, language: Column, patch: Column, repo: Co
         F.concat(F.lit("PR: "), pr_number.cast("string")),
         F.when(commit != "", F.concat(F.lit("Commit: "), commit)),
         F.concat(F.lit("Copilot suspected: "), F.when(F.coalesce(generated, F.lit(False)), "True").otherwise("False")),
-        F.when(F.length(code) > limit, "Note: File content truncated for analysis."))
-    shown = text.truncate(code, limit)
+        *cut)
+    shown = code if limit is None else text.truncate(code, limit)
     diff = F.concat(F.lit("\n\nDiff:\n"), patch, F.lit("\n\nFull file content (for context):\n"))
     return F.concat(head, F.when(patch != "", diff).otherwise(F.lit("\n\nFile content:\n")), shown)
 
@@ -159,15 +163,15 @@ def answers_to_findings(answers: DataFrame) -> DataFrame:
     return as_findings(flat, family="ai", detector="ai_review", detector_ord=1, rule_ord=F.col("pos") + 1, pattern_ord=1)
 
 
-def review(files: DataFrame, reviewer: Callable[[str], str], max_chars: int = fv.REVIEW_MAX_CHARS) -> DataFrame:
-    """Findings of a reviewer over all files."""
+def review(files: DataFrame, reviewer: Callable[[str], str], max_chars: int | None = None) -> DataFrame:
+    """Findings of a reviewer over all files; it sees whole texts, or ``max_chars`` characters of each."""
 
     def column(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in files.columns else F.lit(None).cast(kind)
 
     asked = files.select("batch_id", "file_ord", "path", prompt(
         F.col("code"), F.col("path"), text.guess_language(F.col("path"), column("language")), column("patch"), column("repo"),
-        column("pr_number", "int"), column("commit"), column("ai_generated", "boolean"), F.lit(max_chars)).alias("prompt"))
+        column("pr_number", "int"), column("commit"), column("ai_generated", "boolean"), None if max_chars is None else F.lit(max_chars)).alias("prompt"))
     return answers_to_findings(ask(asked, reviewer))
 
 

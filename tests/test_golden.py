@@ -182,3 +182,21 @@ def test_remaining_counts_errors(spark, files):
     errors = spark.createDataFrame([("a", "failed"), ("b", "failed")], "path string, error string")
     row = reports.remaining(clean, errors).collect()[0]
     assert (row.errors, row.total, row.exit_code) == (2, 2, 2)
+
+
+def test_license_names_in_order_of_their_place(files):
+    from codesieve.operators import licenses
+
+    code = "SPDX-License-Identifier: Zlib\nSPDX-License-Identifier: Apache-2.0\nMIT License SPDX-License-Identifier: Zlib"
+    seen = {r.license: (r.seen.file_ord, r.seen.rule_ord, r.seen.start) for r in licenses.license_names(files(("b", "LICENSE", code), ("b", "COPYING", "SPDX-License-Identifier: BSD-3"))).collect()}
+    names = sorted(seen, key=seen.get)
+    assert names.index("Zlib") < names.index("Apache-2.0") < names.index("BSD-3") and len(names) == 4
+
+
+def test_reviewer_sees_whole_texts_unless_told(files):
+    from codesieve.operators import review
+
+    long = "x" * 30_000
+    seen = review.review(files(("b", "a.py", long)), lambda p: '[{"type": "n", "message": "%d"}]' % p.count("x")).collect()
+    cut = review.review(files(("b", "a.py", long)), lambda p: '[{"type": "n", "message": "%d"}]' % p.count("x"), max_chars=100).collect()
+    assert int(seen[0].message) >= 30_000 and 100 <= int(cut[0].message) < 200
