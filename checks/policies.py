@@ -158,6 +158,32 @@ def _a7(spark, sf):
     return reports.remaining(findings_of(corpus(spark, sf), OPTIONS))
 
 
+_FIXED = CORPUS.replace("files AS (", "base AS (") + """, files AS (SELECT * REPLACE (CASE WHEN ext = '.py' THEN replace(code, 'print(', 'logger.info(') ELSE code END AS code) FROM base)"""
+
+
+@query("K1_K5_J10_A7_fix_and_rescan", f"""WITH {_FIXED}, sec AS ({_all_security_sql()}), cod AS ({_coding_all()})
+ SELECT (SELECT count(*) FROM sec) AS issues, (SELECT count(*) FROM cod) AS coding_issues, (SELECT count(*) FROM base WHERE ext = '.py' AND contains(code, 'print(')) AS rewritten,
+  (SELECT count(*) FROM base WHERE ext = '.py' AND contains(code, 'print(')) AS saved, CASE WHEN (SELECT count(*) FROM sec) + (SELECT count(*) FROM cod) > 0 THEN 2 ELSE 0 END AS exit_code""")
+def _fix_and_rescan(spark, sf):
+    """Scan, rewrite what has findings, scan that again, and report what is left: from one store with two generations."""
+    from checks.logs import scratch
+    from codesieve.plans import rewrite as rw
+
+    def scanner(files):
+        return detect.detect(files, R.security_rules() + R.coding_rules())
+
+    def rewriter(files):
+        due = F.col("path").endswith(".py") & F.contains("code", F.lit("print("))
+        return files.withColumn("original", F.col("code")).withColumn("changes", F.when(due, F.array(F.lit("logger"))).otherwise(F.array().cast("array<string>"))).withColumn(
+            "code", F.when(due, F.replace("code", F.lit("print("), F.lit("logger.info("))).otherwise(F.col("code")))
+
+    folder = scratch(spark) + "/store"
+    rw.scan_into(corpus(spark, sf), folder, scanner)
+    rw.rewrite(spark, folder, rewriter, scanner)
+    saved = rw.backups(spark, folder).where(F.contains("code", F.lit("print("))).count()
+    return rw.report(spark, folder).select("issues", "coding_issues", "rewritten", F.lit(saved).cast("bigint").alias("saved"), "exit_code")
+
+
 @query("A13_breakdown", f"WITH {ALL} SELECT type, severity, batch_id, count(*) AS n, grouping(type, severity, batch_id) AS grouping FROM f GROUP BY CUBE (type, severity, batch_id)")
 def _a13(spark, sf):
     return reports.breakdown(findings_of(corpus(spark, sf), OPTIONS), ["type", "severity", "batch_id"])

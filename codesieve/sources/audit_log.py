@@ -28,6 +28,7 @@ from pyspark.sql.types import StringType
 from codesieve import schemas
 from codesieve.functions import text
 from codesieve.operators.audit import canonical_entry
+from codesieve.sources.commits import Conflict, commit, files_of
 
 #: Chains of a new log.
 LANES = 16
@@ -38,10 +39,6 @@ PLACED = ["hash", "prev_hash", "seq", "lane", "pos"]
 _COMMIT = "epoch bigint, folder string, lanes int, rows bigint, heads array<struct<lane:int,pos:bigint,hash:string>>"
 
 
-class Conflict(RuntimeError):
-    """Another append put its commit in place first."""
-
-
 @dataclass(frozen=True)
 class Head:
     """The end of a log: its newest epoch, its number of lanes, and (position, hash) of each lane's last row."""
@@ -51,15 +48,9 @@ class Head:
     last: dict[int, tuple[int, str | None]]
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def is_log(spark: SparkSession, path: str) -> bool:
     """Whether a folder holds a stored log with a commit."""
-    place, files = _files(spark, f"{path}/commits")
+    place, files = files_of(spark, f"{path}/commits")
     return files.exists(place)
 
 
@@ -78,27 +69,6 @@ def head(spark: SparkSession, path: str, lanes: int = LANES) -> Head:
     return Head(last.epoch, last.lanes, {h.lane: (h.pos, h.hash) for h in last.heads})
 
 
-def _commit(spark: SparkSession, path: str, body: dict) -> None:
-    """Put a commit in place, whole or not at all; an existing one of the same epoch stays."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder, files = _files(spark, f"{path}/commits")
-    files.mkdirs(folder)
-    draft, _ = _files(spark, f"{path}/commits/.{uuid.uuid4().hex}")
-    out = files.create(draft, False)
-    out.write(bytearray(json.dumps(body).encode()))
-    out.close()
-    final = jvm.org.apache.hadoop.fs.Path(f"{path}/commits/{body['epoch']}.json")
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf) if final.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
-    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-    try:
-        context.rename(draft, final, none)
-    except Exception as e:
-        files.delete(draft, False)
-        if files.exists(final):
-            raise Conflict(str(body["epoch"])) from e
-        raise
-
-
 def _chained(at: Head, key: bytes):
     """Tasks' step over rows (lane, entry), lane after lane: the stored lines."""
 
@@ -157,10 +127,10 @@ def append(rows: DataFrame, path: str, key: bytes = b"", lanes: int = LANES, tri
         body = {"epoch": at.epoch + 1, "folder": folder, "lanes": at.lanes, "rows": sum(r.n for r in ends),
                 "heads": [{"lane": lane, "pos": pos, "hash": hash_} for lane, (pos, hash_) in sorted(last.items())]}
         try:
-            _commit(spark, path, body)
+            commit(spark, path, body)
             return Head(at.epoch + 1, at.lanes, last)
         except Conflict:
-            place, files = _files(spark, f"{path}/log/{folder}")
+            place, files = files_of(spark, f"{path}/log/{folder}")
             files.delete(place, True)  # this append's own folder
     raise Conflict(f"{path}: other appends came first {tries} times")
 

@@ -11,15 +11,22 @@ from codesieve.operators.audit import audit_files, audit_output, resolution_rows
 from codesieve.operators.fixes import backup_rows
 from codesieve.sources import audit_log
 
+#: Folders of reports and backups.
+BUCKETS = 64
 PACK_NAME = re.compile(r"[a-zA-Z0-9_-]+")
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("batch_id"), F.lit(BUCKETS)).cast("int"))
+
+
 def write_scan_report(nested: DataFrame, header: DataFrame, path: str, errors: DataFrame | None = None) -> None:
     """Scan report as JSON lines: ``files`` (one object per file, by batch) and ``batches`` (counts, verdict).
 
-    A batch can hold any number of files, so its files are lines of their own and not one map.
+    A batch can hold any number of files, so its files are lines of their own and not one map; batches are dealt to
+    ``BUCKETS`` folders by hash.
     """
-    nested.write.mode("overwrite").partitionBy("batch_id").json(f"{path}/files")
+    _bucketed(nested).write.mode("overwrite").partitionBy("bucket").json(f"{path}/files")
     header.write.mode("overwrite").json(f"{path}/batches")
     if errors is not None:
         errors.write.mode("overwrite").json(f"{path}/errors")
@@ -48,8 +55,8 @@ def upsert_rulepack(rules: DataFrame, path: str, name: str) -> None:
 
 
 def write_backups(fixed: DataFrame, path: str) -> None:
-    """Original texts of changed files."""
-    backup_rows(fixed).write.mode("overwrite").partitionBy("batch_id").parquet(path)
+    """Original texts of changed files, in ``BUCKETS`` folders by the hash of their batch."""
+    _bucketed(backup_rows(fixed)).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def export_audit(audit: DataFrame, path: str) -> None:
