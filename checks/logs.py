@@ -544,26 +544,40 @@ def _f10(spark, sf):
     return table(spark, sf, "events").select("event_id", au.iso_utc(F.col("ts")).alias("stamp"))
 
 
-@query("S1_read_tree", f"WITH {CORPUS} SELECT path, length(code) AS size FROM files WHERE ext <> '.sql' AND batch_id <> 'src3'")
+_TREE = f"WITH {CORPUS} SELECT path, length(code) AS size FROM files WHERE ext <> '.sql' AND batch_id <> 'src3'"
+
+
+@query("S1_read_tree", _TREE)
 def _s1(spark, sf):
     """Texts written one file per row below a folder, and read back as a tree."""
+    return _read_tree(spark, sf, "walk")
+
+
+@query("S1_tree_source", _TREE)
+def _s1_source(spark, sf):
+    """The same through the data source, whose partitions are planned from the listing."""
+    return _read_tree(spark, sf, "source")
+
+
+def _read_tree(spark, sf, listing):
     root = scratch(spark) + "/tree"
     rows = corpus(spark, sf).select("batch_id", "file_ord", F.regexp_extract("path", r"(\.[a-z]+)$", 1).alias("ext"), "code")
     folder = F.when(F.col("batch_id") == "src3", F.concat("batch_id", F.lit("/node_modules"))).otherwise(F.col("batch_id"))
     _write_tree(rows.select(F.concat_ws("/", folder, F.concat(F.col("file_ord").cast("string"), "ext")).alias("path"), "code"), root)
-    return readers.read_tree(spark, root).select("path", F.length("code").cast("bigint").alias("size"))
+    return readers.read_tree(spark, root, listing=listing).select("path", F.length("code").cast("bigint").alias("size"))
 
 
 def _write_tree(files, root: str) -> None:
     """One file per row, written by the tasks (a fixture for reading trees)."""
 
     def save(rows):
-        from pathlib import Path
+        from codesieve.sources import tree
 
+        system, start = tree._open(root)
         for r in rows:
-            target = Path(root) / r.path
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text(r.code, encoding="utf-8", newline="")
+            system.create_dir(f"{start}/{r.path}".rpartition("/")[0], recursive=True)
+            with system.open_output_stream(f"{start}/{r.path}") as out:
+                out.write(r.code.encode())
 
     files.foreachPartition(save)
 

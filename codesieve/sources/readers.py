@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codesieve import fixed_values as fv
 from codesieve import schemas
 from codesieve.functions import text
-from codesieve.sources import audit_log, tree
+from codesieve.sources import audit_log, tree, tree_source
 
 
 def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = None, exclude_dirs: list[str] | None = None,
@@ -17,11 +17,14 @@ def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = Non
 
     Excluded folders are not entered; extensions and sizes are checked before content is read.
     Spark's own listing skips names that start with ``_`` or ``.``, such as ``__init__.py``, so by
-    default tasks list the folders and read the files.  ``listing="spark"`` uses the built-in
-    binary source for trees without such names.
+    default tasks list the folders and read the files.  ``listing="source"`` uses the data source ``code_tree``, which plans
+    partitions of even bytes from one listing; ``listing="spark"`` the built-in binary source for trees without such names.
     """
     known = list(fv.LANGUAGE_BY_EXTENSION) if extensions is None else [e.lower() for e in extensions]
     skipped = fv.EXCLUDED_DIRS if exclude_dirs is None else exclude_dirs
+    if listing == "source":
+        found = tree_source.read_tree(spark, root, known, list(skipped), max_bytes)
+        return found.select(F.lit(batch_id).alias("batch_id"), "path", "code")
     if listing == "walk":
         contents = tree.read_contents(tree.list_files(spark, root, known, skipped, max_bytes), root)
         return contents.select(F.lit(batch_id).alias("batch_id"), "path", text.utf8_text(F.col("content")).alias("code"))

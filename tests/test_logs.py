@@ -161,10 +161,37 @@ def test_read_tree(spark, tmp_path):
     hidden = {"sub/__init__.py": "yes", ".ci/x.yml": "yes"}
     assert {r.path: r.code for r in readers.read_tree(spark, str(tmp_path)).collect()} == visible | hidden
     assert {r.path: r.code for r in readers.read_tree(spark, str(tmp_path), listing="spark").collect()} == visible
-    assert readers.read_tree(spark, str(tmp_path), extensions=[], exclude_dirs=[]).count() == 10
+    assert {r.path: r.code for r in readers.read_tree(spark, str(tmp_path), listing="source").collect()} == visible | hidden
+    for listing in ("walk", "source"):
+        assert readers.read_tree(spark, str(tmp_path), extensions=[], exclude_dirs=[], listing=listing).count() == 10
+        assert readers.read_tree(spark, str(tmp_path), max_bytes=2, listing=listing).count() == 2
     assert readers.read_tree(spark, str(tmp_path), max_bytes=2).count() == 2
 
 
+def test_a_flat_folder_is_read_by_all_tasks(spark, tmp_path):
+    for i in range(3000):
+        (tmp_path / f"f{i}.py").write_text("x" * (i % 50))
+    (tmp_path / "large.py").write_text("y" * 200_000)
+    found = readers.read_tree(spark, str(tmp_path), listing="source").withColumn("task", F.spark_partition_id())
+    rows = found.groupBy("task").agg(F.count("*").alias("n"), F.sum(F.length("code")).alias("chars")).collect()
+    assert len(rows) == 2 * spark.sparkContext.defaultParallelism and sum(r.n for r in rows) == 3001
+    assert sorted(r.chars for r in rows)[-1] == 200_000 and max(r.chars for r in rows if r.chars < 200_000) < 2 * 73_500 / len(rows)
+    (tmp_path / "none").mkdir()
+    assert readers.read_tree(spark, str(tmp_path / "none"), listing="source").count() == 0
+
+
+def test_partitions_hold_even_bytes():
+    from codesieve.sources.tree_source import packed
+
+    rng = random.Random(1)
+    sizes = [rng.choice([0, 10, 1000, 100_000]) for _ in range(2000)]
+    parts = packed(sizes, 7, most_bytes=2_000_000, most_files=100)
+    assert sorted(i for p in parts for i in p) == list(range(2000)) and max(map(len, parts)) <= 100
+    sums = sorted(sum(sizes[i] for i in p) for p in parts)
+    assert sums[-1] - sums[0] <= 100_000 and len(parts) >= sum(sizes) // 2_000_000
+    assert packed([], 3) == [] and packed([5], 3) == [[0]]
+
+
 def test_audit_read_modes(spark, tmp_path):
     (tmp_path / "log.json").write_text('{"audit_id": "a", "policy": "warning"}\n{broken\n{"audit_id": "b"}\n')
     loose = readers.read_audit(spark, str(tmp_path / "log.json"), strict=False)
