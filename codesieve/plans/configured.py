@@ -17,6 +17,8 @@ from codesieve.operators.findings import union_findings
 from codesieve.operators.skew import salted_join
 from codesieve.sources import readers
 
+#: Up to this many batches, their options are held by the driver and broadcast to the files; more meet them in a salted join.
+HELD_BATCHES = 20_000
 _TOGGLES = "naming boolean, logging boolean, error_handling boolean, typing boolean"
 _RULES = "array<struct<id string, type string, message string, suggestion string, severity string, pattern variant>>"
 
@@ -70,6 +72,14 @@ def configured_rules(batches: DataFrame) -> DataFrame:
     return user.unionByName(names, allowMissingColumns=True)
 
 
+def _held(batches: DataFrame) -> tuple[DataFrame, bool]:
+    """The options of few batches as a local table, whose size the planner knows and which is computed once."""
+    rows = batches.limit(HELD_BATCHES + 1).toArrow()
+    if rows.num_rows > HELD_BATCHES:
+        return batches, False
+    return batches.sparkSession.createDataFrame(rows, schema=batches.schema), True
+
+
 def _toggles(builtin: Column, language: Column) -> Column:
     """The built-in coding checks that are on for a file; unset ones are on."""
     flat = F.struct(*[F.try_element_at(builtin, F.lit(n)).try_cast("boolean").alias(n) for n in ("naming", "logging", "error_handling", "typing")])
@@ -79,8 +89,9 @@ def _toggles(builtin: Column, language: Column) -> Column:
 
 def configured_findings(files: DataFrame, batches: DataFrame, unique_paths: bool = False, cross_file: bool = True, license_texts: DataFrame | None = None) -> DataFrame:
     """Findings of all detectors under the options of ``configured_batches``, with policy levels and guideline links."""
-    names = ["sector", "scope", "builtin", "ai_generated", "ip_min_lines", "ip_min_chars"]
-    own = salted_join(files, batches.select("batch_id", *names), ["batch_id"], "file_ord").withColumnRenamed("scope", "repo")
+    batches, few = _held(batches)
+    wanted = batches.select("batch_id", "sector", F.col("scope").alias("repo"), "builtin", "ai_generated", "ip_min_lines", "ip_min_chars")
+    own = files.join(F.broadcast(wanted), "batch_id", "left") if few else salted_join(files, wanted, ["batch_id"], "file_ord")
     language = text.guess_language(F.col("path"), F.col("language") if "language" in files.columns else None)
     own = own.withColumn("toggles", _toggles(F.col("builtin"), language)).drop("builtin")
     found = detect.detect(own, R.builtin_rules() + R.sector_rules(), flag_generated=True)
@@ -95,7 +106,7 @@ def configured_findings(files: DataFrame, batches: DataFrame, unique_paths: bool
 
 def configured_scan(files: DataFrame, batches: DataFrame, configs: DataFrame, paths: list[str] | None = None, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, verdict per file, verdict per batch) of batches from many repositories in one scan."""
-    decided = configured_batches(batches, configs, paths)
+    decided, _ = _held(configured_batches(batches, configs, paths))
     findings = configured_findings(files, decided, **how)
     per_file = policy.file_verdict(files, findings, decided)
     return findings, per_file, policy.batch_verdict(per_file)
