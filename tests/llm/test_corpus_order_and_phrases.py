@@ -221,7 +221,7 @@ def some_texts(n, seed):
     return [(rng.choice(["en", "de", None, "und", ""]), "".join(rng.choice(letters) + rng.choice(ends) for _ in range(rng.randrange(40)))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("trie_bytes, held, known, longest", [(6 << 20, 4_000_000, 10**6, 4), (300, 200, 5, 4), (50, 10, 10**6, 3), (6 << 20, 10**6, 10**6, 2)])
+@pytest.mark.parametrize("trie_bytes, held, known, longest", [(6 << 20, 4_000_000, 10**6, 4), (300, 200, 5, 4), (150, 10, 10**6, 3), (6 << 20, 10**6, 10**6, 2)])
 def test_collocations(spark, monkeypatch, trie_bytes, held, known, longest):
     for name, value in (("TRIE_BYTES", trie_bytes), ("HELD", held), ("KNOWN", known)):
         monkeypatch.setattr(collocations, name, value)
