@@ -39,16 +39,21 @@ def window_counts(requests: DataFrame, window: int = fv.RATE_WINDOW_SECONDS) ->
     """Requests of the client in the window ending at each request (an upper bound of admissions).
 
     A window over a whole client would be one task.  Rows are grouped by client and time bucket of
-    one window length, with the rows of the bucket before as context.  The window is open at its
-    far end: a request exactly ``window`` seconds old does not count.
+    one window length, and each row ends in the bucket after its own.  All rows of the bucket before
+    are in the window when a bucket begins, so the count is their number, less the ends and plus the
+    requests so far: running sums, linear in the rows of a bucket.  The window is open at its
+    far end: a request exactly ``window`` seconds old does not count.  Rows without a time are left out.
     """
-    micros = _micros()
     width = window * 1_000_000
-    spread = requests.withColumn("_us", micros).withColumn("_own", F.floor(F.col("_us") / width)).withColumn(
-        "_bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    recent = Window.partitionBy("client", "_bucket").orderBy("_us").rangeBetween(-(width - 1), 0)
-    counted = spread.withColumn("in_window", F.count("*").over(recent)).where("_own = _bucket")
-    return counted.drop("_us", "_own", "_bucket")
+    stamped = requests.withColumn("_us", _micros()).where("_us is not null").withColumn("_bucket", F.floor(F.col("_us") / width))
+    ended = F.col("_step") < 0
+    both = stamped.withColumn("_step", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumns({
+        "_us": F.when(ended, F.col("_us") + width).otherwise(F.col("_us")),
+        "_bucket": F.when(ended, F.col("_bucket") + 1).otherwise(F.col("_bucket"))})
+    bucket = Window.partitionBy("client", "_bucket")
+    so_far = bucket.orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("in_window", F.sum("_step").over(so_far) + F.count_if(ended).over(bucket)).where(~ended)
+    return counted.drop("_us", "_bucket", "_step")
 
 
 def admissions(requests: DataFrame, window: int = fv.RATE_WINDOW_SECONDS, limit: int = LIMIT) -> DataFrame:

@@ -20,3 +20,18 @@ def test_review_comments_reach_every_line(spark, tmp_path):
     found = QUERIES["J7_J8_L3_review_comments"](spark, sf).collect()
     lines = {(r.path.split("/")[1].split(".")[0], r.line) for r in found}
     assert {("1", 2), ("18", 3), ("35", 4)} <= lines
+
+
+def test_window_counts_are_running_sums(spark):
+    from codesieve.operators import limiter
+
+    start = datetime(2024, 1, 1)
+    seconds = [0, 1, 1, 9, 10, 11, 11, 19, 20, 21, 35, 3600, None]
+    rows = [(c, None if s is None else start + timedelta(seconds=s), 100 * c + i) for c in (1, 2) for i, s in enumerate(seconds) if c == 1 or i % 2]
+    requests = spark.createDataFrame(rows, "client int, ts timestamp, id int")
+    found = limiter.window_counts(requests, 10)
+    expected = {i: sum(1 for d, u, _ in rows if u is not None and d == c and timedelta(0) <= t - u < timedelta(seconds=10)) for c, t, i in rows if t is not None}
+    assert {r.id: r.in_window for r in found.collect()} == expected
+    # a frame with two moving ends is counted anew for every row: quadratic in the rows of a bucket
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding" in plan and "-9999999" not in plan
