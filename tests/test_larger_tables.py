@@ -35,3 +35,18 @@ def test_window_counts_are_running_sums(spark):
     # a frame with two moving ends is counted anew for every row: quadratic in the rows of a bucket
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "unboundedpreceding" in plan and "-9999999" not in plan
+
+
+def test_reports_scan_once(spark, tmp_path, monkeypatch):
+    from checks import events, logs
+    from checks.all import QUERIES
+
+    sf = documents(spark, tmp_path, [(i, f"line {i}", "src1") for i in range(20)])
+    scans = []
+    plain = logs.scan
+    monkeypatch.setattr(logs, "scan", lambda *a, **k: scans.append(1) or plain(*a, **k))
+    for name in ("K1_scan_report", "K2_audit_rows", "F21_summary_text"):
+        found = QUERIES[name](spark, sf)
+        assert not any("rlike" in p or "regexp" in p for p in [found._jdf.queryExecution().optimizedPlan().toString().lower()]), name
+        assert not found.isEmpty()
+    assert len(scans) == 3 and not hasattr(events, "scan")
