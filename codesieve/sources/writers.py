@@ -60,5 +60,5 @@ def write_backups(fixed: DataFrame, path: str) -> None:
 
 
 def export_audit(audit: DataFrame, path: str) -> None:
-    """The whole log as JSON lines."""
-    audit.write.mode("overwrite").json(path)
+    """The whole log as JSON lines, in gzip files: its field names and entries repeat."""
+    audit.write.mode("overwrite").option("compression", "gzip").json(path)
