@@ -23,6 +23,8 @@ from codesieve.llm.common import ascii_lower, mix, text_bytes, text_sample, text
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
 FEATURES = 1 << 16
 BLOCK = 32
+#: Text bytes that are labelled at a time: each byte is a trigram of several 8-byte numbers.
+LABEL_BYTES = 1 << 19
 #: Label of texts that are null or have no letter.
 UNKNOWN = "und"
 
@@ -175,9 +177,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     return train([(r.text, r.lang) for r in text_sample(rows, per_language, ["lang"]).orderBy("lang", "h").collect()])
 
 
-def label_texts(tagger: Tagger, part: pa.RecordBatch):
-    """For each row (column ``text``): mean label probabilities, number of words, and every word's label."""
-    data, offsets = text_bytes(part.column(part.schema.get_field_index("text")))
+def label_texts(tagger: Tagger, part: pa.RecordBatch, column: str = "text"):
+    """For each row (its text in ``column``): mean label probabilities, number of words, and every word's label."""
+    data, offsets = text_bytes(part.column(part.schema.get_field_index(column)))
     data = ascii_lower(data)
     starts, ends, first = word_bounds(data, offsets, _LETTERS)
     counts = np.diff(first)
@@ -202,15 +204,19 @@ def predict(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: s
         return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *nothing)
     sent = docs.sparkSession.sparkContext.broadcast(tagger)  # FEATURES x labels numbers: a fixed size
     with_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    frame = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], with_letter.alias("letters"), F.col(text_col).cast("string").alias("text"))
+    # a text that is kept goes to Python once
+    kept_text = names.index(text_col) if text_col in names and docs.schema[text_col].dataType.simpleString() == "string" else None
+    seen = "text" if kept_text is None else f"c{kept_text}"
+    own_text = [F.col(text_col).cast("string").alias("text")] if kept_text is None else []
+    frame = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], with_letter.alias("letters"), *own_text)
     kept = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
 
     def step(batches):
         own = sent.value
         for batch in batches:
-            for part in text_steps(batch):
+            for part in text_steps(batch, seen, LABEL_BYTES):
                 letters = part.column(len(names)).to_numpy(zero_copy_only=False)
-                means, counts, best, first = label_texts(own, part)
+                means, counts, best, first = label_texts(own, part, seen)
                 known = letters & (counts > 0)
                 top = means.argmax(axis=1)
                 langs = [own.labels[j] if ok else UNKNOWN for j, ok in zip(top, known, strict=True)]

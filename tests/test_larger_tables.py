@@ -77,3 +77,20 @@ def test_exported_log_is_compressed(spark, tmp_path):
     plain = sum(len(line) + 1 for line in rows.toJSON().collect())
     assert written * 3 < plain
     assert readers.read_audit(spark, f"{tmp_path}/log").select("audit_id", "policy").exceptAll(rows.select("audit_id", "policy")).isEmpty()
+
+
+def test_language_steps_are_small_and_texts_go_once(spark):
+    from codesieve.llm import langid
+
+    rows = [(i, f"the word {i} is here " * 9, "en", "s", 1) if i % 2 else (i, f"das wort {i} ist hier " * 9, "de", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (41, None, "en", "s", 1), (42, "1 2", None, "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    tagger = langid.fit(docs)
+    kept = langid.predict(docs, tagger, keep=["doc_id", "text", "lang"])
+    sent = kept._jdf.queryExecution().optimizedPlan().toString()
+    map_line = next(line for line in sent.splitlines() if "Project" in line and "RLIKE" in line)
+    assert map_line.count("text#") == 2  # as a kept column and in the test for letters
+    plain = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, tagger).collect()}
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in kept.collect()} == plain
+    assert plain[41] == plain[42] == ("und", 0.0) and plain[1][0] == "en" and plain[2][0] == "de"
+    assert {r.doc_id: r.text for r in kept.collect()} == {r.doc_id: r.text for r in docs.collect()}
+    assert langid.LABEL_BYTES <= 1 << 20
