@@ -163,11 +163,12 @@ def _forest(batches):
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link; the component is its smallest node.
 
-    Alternating large-star and small-star rounds on the ``a``, ``b`` link table; each round is a
-    written table, minima are partial aggregates, and only a change flag comes to the driver.
+    Alternating large-star and small-star rounds on the ``a``, ``b`` link table, where ``a`` is the larger node; each
+    half of a round is a written table, so that no plan holds more than one of them, minima are partial aggregates, and only a
+    change flag comes to the driver.
     """
     edges = links.selectExpr("cast(a as bigint) a", "cast(b as bigint) b").where("a is not null and b is not null and a <> b")
-    edges = written(edges.mapInArrow(_forest, "a bigint, b bigint"))
+    edges = written(edges.mapInArrow(_forest, "a bigint, b bigint"))  # a forest's links lead to smaller nodes, and so do those of the rounds
 
     def digest(df):
         row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -176,12 +177,11 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionAll(edges.selectExpr("b as a", "a as b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
-        large = both.where("b > a").join(low, "a").selectExpr("b as a", "m as b").where("a <> b").distinct()
-        down = large.selectExpr("greatest(a, b) as a", "least(a, b) as b")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a as b", "least(a, m) as m")
+        down = written(edges.join(low, "b").selectExpr("a", "m as b").distinct())
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").where("b <> m").selectExpr("b as a", "m as b").unionAll(least.selectExpr("a", "m as b"))
-        edges = written(small.where("a <> b").distinct())
+        edges = written(small.distinct())
         now = digest(edges)
         if now == before:
             break

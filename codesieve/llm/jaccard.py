@@ -360,7 +360,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, width: int) -> tupl
     sets = _sets(dense.select("k").unionByName(for_empty.select("k")).distinct(), classes, texts, width)
     short = sets.select("k", "items").join(dense, "k").mapInArrow(_still_short, "k bigint, band int")
     short = written(short.unionAll(for_empty).distinct())
-    rest = cross.unionByName(_rare_pairs(short, sets, classes, by_key)).distinct()
+    rest = written(cross).unionByName(written(_rare_pairs(short, sets, classes, by_key))).distinct()
     links = first.unionByName(_verified(rest, classes, texts, width)).selectExpr("a", "b")
     linked = classes.drop("n", "bits", "fold").join(components(links).withColumnRenamed("component", "c"), "node", "left")
     linked = written(linked.withColumn("c", F.coalesce("c", "node")))
