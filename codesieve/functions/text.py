@@ -16,6 +16,10 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(fv.WHITESPACE))
 
 
+def lstrip(col: Column) -> Column:
+    return F.ltrim(col, F.lit(fv.WHITESPACE))
+
+
 def rstrip(col: Column) -> Column:
     return F.rtrim(col, F.lit(fv.WHITESPACE))
 
