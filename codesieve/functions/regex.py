@@ -206,8 +206,11 @@ def sum_before_sql(pair: str, i: str) -> str:
 
 
 def _measure(text: str) -> str:
-    """Length and line feeds of a text in one number, so that one running sum serves both."""
-    return f"(length({text}) + shiftleft(cast(length({text}) - length(replace({text}, '\\n', '')) as bigint), 32))"
+    """Length and line feeds of a text in one number, so that one running sum serves both.
+
+    A line feed is one byte, so bytes, which need no walk over the text, count line feeds as characters do.
+    """
+    return f"(length({text}) + shiftleft(cast(octet_length({text}) - octet_length(replace({text}, '\\n', '')) as bigint), 32))"
 
 
 def _two_pass_spans_sql(code: str, pattern: str, own: str, before: str) -> str:
