@@ -1,11 +1,12 @@
-"""Collocations by broadcast double-array tries of Apriori-safe candidates.
+"""Collocations by double-array tries of Apriori-safe candidates.
 
-Three passes over the texts.  The first counts the hashed phrases of each length in a sketch: a phrase whose bucket has
+Two passes over the texts.  The first counts the hashed phrases of each length in a sketch: a phrase whose bucket has
 fewer occurrences than asked for cannot have them itself.  The second lists the phrases that are Apriori-safe by the
-sketch, that is with all their parts; what a share of the rows lists first, no task lists again.  The third counts them exactly: the candidates, in shards of a bounded number
-of bytes, become byte-level tries in double-array form, which are broadcast one by one; numpy
-advances the states of all text positions together, a byte a level, and bincounts the accepting states at word ends.
-The tasks' counts of a candidate are summed.  Scores, containment and ranks are joins and aggregates of the counts.
+sketch, that is with all their parts: at each place the longest one, a window whose beginnings are candidates too, each once in a while of a task with its number of places.
+Windows that begin alike meet in one task, however many candidates there are, and no text is read again for them.  There the candidates, in shards of a bounded number
+of bytes, become byte-level tries in double-array form; numpy advances the states of all windows of a shard
+together, a byte a level, and bincounts the accepting states at word ends, each window as often as it occurs.
+Scores, containment and ranks are joins and aggregates of the counts.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,10 @@ from codesieve.llm.common import ascii_lower, mix, text_bytes, text_steps, word_
 
 #: Sketch: buckets of a stored slice; least and most bits of the bucket number (2^26 bits are 8 MB for each length).
 SLICE, LEAST_BITS, MOST_BITS = 1 << 16, 18, 26
-#: Counts that a sketching task holds before it sends them on; phrases that a listing task remembers.
+#: Counts that a sketching task holds before it sends them on; windows that a listing task holds.
 HELD, KNOWN = 4_000_000, 1_000_000
-#: One row in so many is listed first; at most so many phrases (8 bytes each) found there are sent, so that no task lists them again.
-EARLY, SENT = 16, 4_000_000
-#: Text bytes of a step, and bytes of all candidates of a broadcast trie, which bound its nodes.
-STEP, TRIE_BYTES = 1 << 21, 6 << 20
+#: Text bytes of a step, bytes of the windows of a trie, which bound its nodes, and text bytes for each partition of windows.
+STEP, TRIE_BYTES, DEALT = 1 << 21, 6 << 20, 32 << 20
 #: Parts into which joins and ranks of one key are dealt.
 SALTS = 8
 
@@ -127,72 +127,141 @@ def _sketched(bits: int, longest: int, least: int):
 
 
 def _merged(least: int):
-    """Bits of the buckets that have ``least`` occurrences; rows come sorted by length and slice."""
+    """Bits of the buckets that have ``least`` occurrences, and the words of each language (length 0); rows come sorted by length and slice."""
     kind = np.uint8 if least < 256 else np.uint32
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sums = None, np.zeros(SLICE, np.int64)
 
-        def sent():
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())],
-                                              names=["k", "slice", "bits"])
+        def sent(k, number, lang, n, bits):
+            columns = [pa.array([v], t) for v, t in ((k, pa.int32()), (number, pa.int32()), (lang, pa.string()), (n, pa.int64()), (bits, pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=["k", "slice", "lang", "n", "bits"])
 
+        def bits():
+            return np.packbits(sums >= least, bitorder="little").tobytes()
+
+        words: dict[str, int] = {}
         for batch in batches:
-            for k, number, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, number, lang, n, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k == 0:
+                    words[lang] = words.get(lang, 0) + n
+                    continue
                 if (k, number) != key:
                     if key is not None:
-                        yield sent()
+                        yield sent(*key, None, None, bits())
                     key = (k, number)
                     sums[:] = 0
                 sums[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, kind)  # a row names each bucket once
         if key is not None:
-            yield sent()
+            yield sent(*key, None, None, bits())
+        for lang, n in words.items():
+            yield sent(0, 0, lang, n, None)
 
     return step
 
 
-def _listed(sketch, bits: int, longest: int, told=None):
-    """Phrases all of whose parts pass the sketch and that are not among the ``told``: (lang, phrase, code), each once in a while of a task."""
+def _taken(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of all ranges, one after the other."""
+    return data[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
+
+
+def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+class _Windows:
+    """Windows by their hash: key, language, text, number of places, and whether one of them has a pair."""
+
+    def __init__(self):
+        self.codes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in the order of the codes; the other columns are in that of their arrival
+        self.n, self.part = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.new: list[tuple] = []
+
+    def add(self, codes: np.ndarray, part: np.ndarray, key: np.ndarray, lang: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        codes, first, at, n = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+        part = np.bincount(at[part], minlength=len(codes)) > 0
+        place = np.searchsorted(self.codes, codes)
+        known = np.zeros(len(codes), bool)
+        known[place < len(self.codes)] = self.codes[place[place < len(self.codes)]] == codes[place < len(self.codes)]
+        old = self.number[place[known]]
+        self.n[old] += n[known]
+        self.part[old] |= part[known]
+        first = first[~known]
+        self.number = np.insert(self.number, place[~known], len(self.n) + np.arange(len(first)))
+        self.codes = np.insert(self.codes, place[~known], codes[~known])
+        self.n, self.part = np.concatenate([self.n, n[~known]]), np.concatenate([self.part, part[~known]])
+        self.new.append((key[first], lang[first], lengths[first], _taken(data, starts[first], lengths[first])))
+
+    def sent(self, langs: list[str], parts: int) -> Iterator[pa.RecordBatch]:
+        """A row for each partition and language: the columns' bytes one after the other, compressed; windows that begin alike are neighbours."""
+        if not len(self.n):
+            return
+        key, lang, lengths, data = (np.concatenate(z) for z in zip(*self.new, strict=True))
+        starts, n, part = np.cumsum(lengths) - lengths, self.n, self.part
+        self.__init__()
+        order = np.lexsort((key, lang, key % parts))
+        key, lang, lengths, starts, n, part = (x[order] for x in (key, lang, lengths, starts, n, part))
+        to = key % parts
+        edges = np.flatnonzero(np.diff(to, prepend=-1) | np.diff(lang, prepend=-1)).tolist()
+        rows: list[tuple] = []
+        for a, b in zip(edges, [*edges[1:], len(key)], strict=True):
+            body = b"".join([key[a:b].tobytes(), lengths[a:b].astype(np.uint32).tobytes(), n[a:b].astype(np.uint32).tobytes(), part[a:b].tobytes(), _taken(data, starts[a:b], lengths[a:b]).tobytes()])
+            rows.append((int(to[a]), langs[lang[a]], b - a, len(body), pa.compress(body, codec="zstd", asbytes=True)))
+            if len(rows) == 1024 or b == len(key):
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["to", "lang", "n", "size", "body"])
+                rows = []
+
+
+def _opened(n: int, size: int, body: bytes) -> pa.Table:
+    """(phrase, key, n, part) of a row of windows."""
+    body = pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True)
+    key, lengths, times = (np.frombuffer(body, kind, n, 4 * n * i) for i, kind in enumerate((np.int32, np.uint32, np.uint32)))
+    part, data = np.frombuffer(body, bool, n, 12 * n), np.frombuffer(body, np.uint8, offset=13 * n)
+    return pa.table({"phrase": _strings(data, lengths), "key": key, "n": times.astype(np.int64), "part": part})
+
+
+def _listed(sketch, bits: int, longest: int, parts: int):
+    """At each place the longest phrase all of whose parts pass the sketch, and its first word alone, each once in a while of a task,
+    with a key, of its first two words, that deals them to the partitions, the number of places and, for a word alone, whether it lies in a longer candidate."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(t, np.uint8) for t in sketch.value]
-        skipped = told.value if told is not None else np.zeros(0, np.uint64)
-        known: set[int] = set()
+        held, names = (_Windows(), _Windows()), {}
         for batch in batches:
             for part in text_steps(batch, limit=STEP):
                 words = Words(part)
                 n = len(words.starts)
-                passed, chosen = np.ones(n + 1, bool), []
+                passed, top, code, key, pair = np.ones(n + 1, bool), np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n + 1, bool)
+                alone = None
                 for k, (at, h) in enumerate(words.phrase_hashes(_langs(part), longest)):
                     bucket = h >> np.uint64(64 - bits)
                     bit = tables[k][(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1
                     ok = (bit == 1) & passed[at] & passed[at + (k > 0)]
+                    at, h = at[ok], h[ok]
                     passed = np.zeros(n + 1, bool)
-                    passed[at[ok]] = True
-                    chosen.append((at[ok], h[ok]))
-                if longest > 1:  # of single words those that are part of a longer candidate
-                    pair = np.zeros(n + 1, bool)
-                    pair[chosen[1][0]] = True
-                    pair[chosen[1][0] + 1] = True
-                    keep = pair[chosen[0][0]]
-                    chosen[0] = chosen[0][0][keep], chosen[0][1][keep]
-                out: list[list] = [[], [], []]
-                langs, data = part.column(0).to_pylist(), words.data.tobytes()
-                for k, (at, h) in enumerate(chosen):
-                    h, first = np.unique(h, return_index=True)
-                    new = np.searchsorted(skipped, h, "left") == np.searchsorted(skipped, h, "right")
-                    h, at = h[new], at[first[new]]
-                    for i, row, code in zip(at.tolist(), words.row[at].tolist(), h.tolist(), strict=True):
-                        if code in known:
-                            continue
-                        known.add(code)
-                        out[0].append(langs[row])
-                        out[1].append(b" ".join(data[words.starts[j]:words.ends[j]] for j in range(i, i + k + 1)))
-                        out[2].append(code)
-                if len(known) > KNOWN:
-                    known.clear()
-                columns = [pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()).cast(pa.string()), pa.array(np.array(out[2], np.uint64).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "code"])
+                    passed[at] = True
+                    top[at], code[at] = k + 1, h
+                    if k == 0:
+                        alone = at, h
+                    if k == 1:
+                        key[at], pair[at], pair[at + 1] = h, True, True
+                    if longest == 1:
+                        pair[at] = True
+                stream, begins = words.stream()
+                row_lang = np.array([names.setdefault(lang, len(names)) for lang in part.column(0).to_pylist()], np.int64)
+                lang, lengths = row_lang[words.row], words.ends - words.starts
+                at, h = alone
+                held[0].add(h, pair[at], (h >> np.uint64(33)).astype(np.int32), lang[at], stream, begins[at], lengths[at])
+                at = np.flatnonzero(top > 1)
+                last = at + top[at] - 1
+                held[1].add(code[at], pair[at], (key[at] >> np.uint64(33)).astype(np.int32), lang[at], stream, begins[at], begins[last] + lengths[last] - begins[at])
+                if len(held[0].n) + len(held[1].n) > KNOWN:
+                    for own in held:
+                        yield from own.sent(list(names), parts)
+        for own in held:
+            yield from own.sent(list(names), parts)
 
     return step
 
@@ -229,29 +298,22 @@ class Trie:
         self.check[slot[child]] = slot[parent]
         self.accept[slot[node]] = np.arange(len(node))
 
-    def arrays(self) -> tuple:
-        """The trie as plain values: a broadcast names the classes in it, which workers may not have on their path."""
-        return self.roots, self.base, self.check, self.accept
-
-    @classmethod
-    def of(cls, arrays: tuple) -> Trie:
-        own = cls.__new__(cls)
-        own.roots, own.base, own.check, own.accept = arrays
-        return own
-
-    def count(self, batch: pa.RecordBatch, sums: np.ndarray) -> None:
-        """Add the occurrences of all phrases in a batch (lang, text) to ``sums``."""
-        words = Words(batch)
-        stream, at = words.stream()
-        state = np.array([self.roots.get(lang, -1) for lang in batch.column(0).to_pylist()], np.int32)[words.row]
-        at, state = at[state >= 0], state[state >= 0]
+    def count(self, langs: list[str], stream: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The occurrences of all phrases at the beginnings of windows: words in a stream, each followed by a blank, or by a line feed at a window's end."""
+        state = np.array([self.roots.get(lang, -1) for lang in langs], np.int32)
+        known = state >= 0
+        at, state, times = at[known], state[known], times[known]
+        whole, often = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         while len(at):
             symbol = stream[at]
-            whole = self.accept[state[(symbol == _GAP) | (symbol == _STOP)]]
-            sums += np.bincount(whole[whole >= 0], minlength=len(sums))
+            ends = (symbol == _GAP) | (symbol == _STOP)
+            found = self.accept[state[ends]]
+            whole.append(found[found >= 0])
+            often.append(times[ends][found >= 0])
             after = self.base[state] + symbol
             go = self.check[after] == state
-            at, state = at[go] + 1, after[go]
+            at, state, times = at[go] + 1, after[go], times[go]
+        return np.bincount(np.concatenate(whole), np.concatenate(often), len(self.accept)).astype(np.int64)
 
 
 def _placed(parent: np.ndarray, symbol: np.ndarray, child: np.ndarray, nodes: int, roots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,15 +362,57 @@ def _placed(parent: np.ndarray, symbol: np.ndarray, child: np.ndarray, nodes: in
     return slot, base
 
 
-def _counts(trie, ids):
+def _counted(lang: str, rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+    """Exact counts (lang, k, phrase, f) of the candidates of a shard: beginnings of two and more words, and words alone that lie in longer ones."""
+    blank = pc.match_substring(rows["phrase"], " ")
+    for rows in (rows.filter(pc.and_(pc.invert(blank), rows["part"])), rows.filter(blank)):  # in one trie the words alone would count the windows that begin so
+        if not len(rows):
+            continue
+        data, offsets = text_bytes(rows["phrase"].combine_chunks())
+        lengths = np.diff(offsets)
+        begins = offsets[:-1] + np.arange(len(lengths))
+        stream = np.full(len(data) + len(lengths), _STOP, np.uint8)
+        stream[np.arange(len(data)) + np.repeat(np.arange(len(lengths)), lengths)] = data
+        ends = np.flatnonzero((stream == _GAP) | (stream == _STOP))
+        row = np.searchsorted(begins, ends, "right") - 1
+        k = np.arange(len(ends)) - np.searchsorted(row, row) + 1
+        keep = (k > 1) | (k == np.bincount(row)[row])
+        row, k, ends = row[keep], k[keep], ends[keep]
+        phrases = _strings(_taken(stream, begins[row], ends - begins[row]), ends - begins[row])
+        sums = Trie([lang] * len(phrases), phrases).count([lang] * len(rows), stream, begins, rows["n"].to_numpy())
+        some = np.flatnonzero(sums >= max(least, 1))
+        columns = [pa.array([lang] * len(some), pa.string()), pa.array(k[some].astype(np.int32)), phrases.take(pa.array(some)).cast(pa.string()), pa.array(sums[some])]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "f"])
+
+
+def _merged_windows(held: list[pa.Table]) -> pa.Table:
+    """Each window once, told apart by its bytes, in the order of the keys."""
+    rows = pa.concat_tables(held).combine_chunks().group_by(["phrase", "key"], use_threads=False).aggregate([("n", "sum"), ("part", "any")])
+    return rows.rename_columns({"n_sum": "n", "part_any": "part"}).select(["phrase", "key", "n", "part"]).sort_by("key")
+
+
+def _tried(least: int):
+    """Counts of the candidates of a partition's windows; those of a key are in one trie."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names = Trie.of(trie.value), ids.value
-        sums = np.zeros(len(names), np.int64)
+        held: dict[str, list[pa.Table]] = {}
+        size: dict[str, int] = {}
         for batch in batches:
-            for part in text_steps(batch, limit=STEP):
-                own.count(part, sums)
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(sums[some])], names=["id", "f"])
+            for lang, n, length, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(lang, []).append(_opened(n, length, body))
+                size[lang] = size.get(lang, 0) + n
+                if size[lang] > max(KNOWN, 2 * len(held[lang][0])):  # the first holds what is merged
+                    held[lang] = [_merged_windows(held[lang])]
+                    size[lang] = len(held[lang][0])
+        for lang in list(held):
+            rows = _merged_windows(held.pop(lang))
+            key, ends = rows["key"].to_numpy(), np.cumsum(pc.binary_length(rows["phrase"]).to_numpy())
+            lo = 0
+            while lo < len(key):
+                hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TRIE_BYTES, "right"))
+                hi = max(int(np.searchsorted(key, key[hi])) if hi < len(key) else hi, int(np.searchsorted(key, key[lo], "right")))  # whole keys, one at least
+                yield from _counted(lang, rows.slice(lo, hi - lo), least)
+                lo = hi
 
     return step
 
@@ -322,32 +426,18 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, lang_col:
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // 4).bit_length()))
-    sketch = written(rows.mapInArrow(_sketched(bits, longest, least), "k int, slice int, lang string, n bigint, places binary, counts binary"))
-    totals = sketch.where("k = 0").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
-    dealt = sketch.where("k > 0").select("k", "slice", "places", "counts").repartition("k", "slice").sortWithinPartitions("k", "slice")
+    sketch = rows.mapInArrow(_sketched(bits, longest, least), "k int, slice int, lang string, n bigint, places binary, counts binary")
+    dealt = sketch.repartition("k", "slice").sortWithinPartitions("k", "slice")
+    merged = written(dealt.mapInArrow(_merged(least), "k int, slice int, lang string, n bigint, bits binary"))
+    totals = merged.where("k = 0 and n > 0").select("lang", "n")
     tables = [bytearray(1 << bits >> 3) for _ in range(longest)]
-    for row in dealt.mapInArrow(_merged(least), "k int, slice int, bits binary").toLocalIterator():  # at most 2^MOST_BITS bits for each length
+    for row in merged.where("k > 0").select("k", "slice", "bits").toLocalIterator():  # at most 2^MOST_BITS bits for each length
         tables[row.k - 1][row.slice * SLICE // 8:(row.slice + 1) * SLICE // 8] = row.bits
     sent = spark.sparkContext.broadcast([bytes(t) for t in tables])
-    kinds = "lang string, phrase string, code bigint"
-    early = written(rows.where(F.rand(7) < 1 / EARLY).mapInArrow(_listed(sent, bits, longest), kinds).distinct())
-    told = spark.sparkContext.broadcast(np.unique(early.select("code").limit(SENT).toArrow()["code"].to_numpy().view(np.uint64)))
-    later = rows.mapInArrow(_listed(sent, bits, longest, told), kinds)
-    listed = later.unionAll(early).select("lang", "phrase").distinct()
-    candidates = written(listed.withColumn("id", F.monotonically_increasing_id()))
-    total = candidates.agg(F.sum(F.octet_length("phrase").cast("bigint") + 1)).first()[0] or 0
-    shards = -(-total // TRIE_BYTES)
-    counts = spark.createDataFrame([], "id bigint, f bigint")
-    for shard in range(shards):
-        own = candidates.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)) == shard).toArrow()  # about TRIE_BYTES
-        trie = spark.sparkContext.broadcast(Trie(own["lang"].to_pylist(), own["phrase"].combine_chunks()).arrays())
-        ids = spark.sparkContext.broadcast(own["id"].to_numpy())
-        counts = counts.unionAll(written(rows.mapInArrow(_counts(trie, ids), "id bigint, f bigint")))
-        trie.unpersist()
-        ids.unpersist()
-    found = counts.groupBy("id").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    named = candidates.join(found, "id").select("lang", F.size(F.split("phrase", " ")).alias("k"), "phrase", "f")
-    return written(named), totals
+    parts = max(1, -(-size // DEALT))
+    listed = rows.mapInArrow(_listed(sent, bits, longest, parts), "to int, lang string, n int, size bigint, body binary")
+    met = listed.repartitionById(parts, "to").select("lang", "n", "size", "body")
+    return written(met.mapInArrow(_tried(least), "lang string, k int, phrase string, f bigint")), totals
 
 
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, first: int = 2000, contained: int = 80, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -358,7 +448,7 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, first: int
     the score is floor(2000000 * a / (l + r)), ``n`` the words of the language.  A phrase inside a longer candidate with at
     least ``contained`` percent of its count is left out.  A null language is ``und``; null and empty
     texts have no words; repeated rows count again; texts may be of any length.  Words are told apart byte by byte; only the
-    listing of candidates in a task holds phrases of one 64-bit hash as the same.
+    listing of windows in a task holds phrases of one 64-bit hash as the same.
     """
     counts, totals = phrase_counts(docs, least, longest, lang_col, text_col)
     words = F.split("phrase", " ")
