@@ -6,6 +6,9 @@ files only (batch, block hash, file, line) rows are shuffled, never text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -207,30 +210,29 @@ def shared_block_bits(files: DataFrame, min_lines: int | Column = fv.BLOCK_MIN_L
     return table
 
 
-def _chosen(hashed: DataFrame, sent, bits: int) -> DataFrame:
-    """Files with a block whose bit is set: ``hashes``, the last column, gives way to the places of those blocks (``chosen``).
+def _chosen(sent, bits: int) -> partial:
+    """A step over files that keeps those with a block whose bit is set: ``hashes``, the last column, gives way to the places of those blocks (``chosen``).
 
     A step of its own, not a column: the optimizer would copy the column, and the cutting and hashing below it, into each filter and use.
     """
-    kept = hashed.drop("hashes")
-
-    def step(batches):
-        table = sent.value
-        for batch in batches:
-            hashes = batch.column(batch.num_columns - 1)
-            lengths = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = hashes.flatten()
-            at = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
-            hit = ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & pc.is_valid(flat).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lengths)
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            inner = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
-            counts = np.bincount(row[hit], minlength=len(lengths))
-            places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(inner[hit], pa.int32()))
-            own = batch.select(range(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*own.columns, places], names=[*own.schema.names, "chosen"]).filter(pa.array(counts > 0))
-
-    return hashed.mapInArrow(step, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", chosen array<int>")
+    return partial(_with_chosen, sent, bits)
+
+
+def _with_chosen(sent, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = sent.value
+    for batch in batches:
+        hashes = batch.column(batch.num_columns - 1)
+        lengths = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = hashes.flatten()
+        at = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
+        hit = ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & pc.is_valid(flat).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        inner = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
+        counts = np.bincount(row[hit], minlength=len(lengths))
+        places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(inner[hit], pa.int32()))
+        own = batch.select(range(batch.num_columns - 1))
+        yield pa.RecordBatch.from_arrays([*own.columns, places], names=[*own.schema.names, "chosen"]).filter(pa.array(counts > 0))
 
 
 def file_blocks(files: DataFrame, min_lines: int | Column = fv.BLOCK_MIN_LINES, min_chars: int | Column = fv.BLOCK_MIN_CHARS, shared_only: bool = False,
@@ -245,7 +247,8 @@ def file_blocks(files: DataFrame, min_lines: int | Column = fv.BLOCK_MIN_LINES,
             shared_only, files = False, files.where(F.lit(False))
         else:
             hashed = _hashed(files, min_lines, min_chars)
-            found = _chosen(hashed, files.sparkSession.sparkContext.broadcast(table), bits)  # 2**bits bits
+            kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hashed.drop("hashes").schema) + ", chosen array<int>"
+            found = hashed.mapInArrow(_chosen(files.sparkSession.sparkContext.broadcast(table), bits), kinds)  # 2**bits bits
             width = F.col("_min_lines") if "_min_lines" in hashed.columns else min_lines
             items = found.withColumn("items", _some_block_items(F.col("lines"), width, F.col("chosen")))
     if not shared_only:
